@@ -250,7 +250,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text", into:
     from pyspark.sql.types import BinaryType, StructType
 
     base = docs.select(names)
-    schema = StructType(base.schema.fields).add(into, BinaryType())
+    schema = StructType([*base.schema.fields]).add(into, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -268,7 +268,7 @@ def decode(frame: DataFrame, path: str | None = None, column: str = "token_ids",
     from pyspark.sql.types import StringType, StructType
 
     base = frame.select(names)
-    schema = StructType(base.schema.fields).add(into, StringType())
+    schema = StructType([*base.schema.fields]).add(into, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
