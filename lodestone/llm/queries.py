@@ -27,11 +27,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import decontaminate
 
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_near_dedup, op6_toxicity, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_near_dedup, op6_toxicity, op7_pii, op8_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
