@@ -21,6 +21,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import packed_ids
+
+    return packed_ids.report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import toxicity
 
@@ -39,5 +45,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_near_dedup, op6_toxicity, op7_pii, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
