@@ -45,5 +45,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import html_extract
+
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
