@@ -51,5 +51,11 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.report(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import ppm
+
+    return ppm.scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
