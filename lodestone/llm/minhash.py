@@ -4,8 +4,9 @@ A document's shingle set is hashed once; the smallest hash of each bin is its
 signature, and empty bins borrow from a bin chosen by optimal densification.
 Equal sets are one class.  Class representatives meet in banded buckets, each
 bucket gives star-shaped candidate edges from a centre, and every edge is
-confirmed on the full sets.  A bucket whose members a star leaves unlinked
-gets further centres until nothing is left to compare.
+confirmed on the full sets.  In a bucket that still holds several components,
+members of different ones are compared by bitmaps that bound the intersection
+from above, and the pairs that pass are confirmed too.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from lodestone.llm._arrow import IS_SPACE, LOWER, Hasher, binaries, map_arrow, m
 from lodestone.llm._shared import written
 
 BINS, BANDS = 128, 32
-#: In a later round a bucket gets so many centres, or more while its pairs stay below the second number.
-CENTRES, PAIRS = 8, 4096
+#: Bands whose buckets give star-shaped edges.
+STAR_BANDS = 8
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _VALUE = np.uint64((1 << 52) - 1)
@@ -170,54 +171,92 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("c", "component")
 
 
-def _further(percent: int):
-    """Further centres of each bucket: pairs to compare (what = 0) and members still waiting (what = 1).
+def _bitmaps(k: int):
+    """A bit for each shingle, in the least power of two of bits that is 8 per shingle or more; halves can be folded."""
 
-    Rows come sorted by bucket.  Members outside the bucket's largest
-    component become centres against all members of other components, then
-    leave; the bucket ends when one component is left.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in _sliced(batches):
+            values, bounds = shingle_sets(data, offsets, k)
+            out = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                size = 1 << max(6, (8 * (b - a) - 1).bit_length())
+                bits = np.zeros(size, bool)
+                bits[(values[a:b] & np.uint64(size - 1)).astype(np.int64)] = True
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.binary())], names=["doc_id", "bits"])
+
+    return run
+
+
+def _fold(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[-1] // 2
+    return bits[..., :half] | bits[..., half:]
+
+
+def _rest(percent: int):
+    """Pairs of a bucket that may still be links: of different components, and not ruled out by their bitmaps.
+
+    Rows (bucket, doc, n, component, bits) come sorted by bucket.  A bit that
+    only one set has proves an element that the other lacks, which bounds the
+    intersection from above; so no link is lost, and members of the bucket's
+    largest component need not be compared with each other.
     """
 
-    def one(bucket: int, doc: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    def one(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes]):
         _, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(sizes) < 2:
+            return
         outside = np.flatnonzero(which != sizes.argmax())
-        centres = outside[: max(CENTRES, PAIRS // len(doc))]
-        for at, c in enumerate(centres):
-            other = comp != comp[c]
-            other[centres[:at]] = False
-            other &= 100 * np.minimum(n, n[c]) >= percent * np.maximum(n, n[c])
-            for x in np.flatnonzero(other):
-                a, b = (c, x) if doc[c] < doc[x] else (x, c)
-                yield 0, bucket, doc[a], doc[b], n[a], n[b]
-        if len(outside) > len(centres):
-            rest = np.delete(np.arange(len(doc)), centres)
-            for x in rest:
-                yield 1, bucket, doc[x], doc[x], n[x], n[x]
+        length = np.array([len(b) for b in bits])
+        classes = {}
+        for size in np.unique(length).tolist():
+            at = np.flatnonzero(length == size)
+            classes[size] = at, np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)
+        done = np.zeros(len(doc), bool)
+        for u in outside.tolist():
+            done[u] = True
+            mine = np.frombuffer(bits[u], np.uint64)
+            for size in (len(bits[u]) // 2, len(bits[u]), len(bits[u]) * 2):
+                if size not in classes:
+                    continue
+                at, table = classes[size]
+                use = (comp[at] != comp[u]) & ~done[at] & (100 * np.minimum(n[at], n[u]) >= percent * np.maximum(n[at], n[u]))
+                if not use.any():
+                    continue
+                at = at[use]
+                a, b = (_fold(mine) if size < len(bits[u]) else mine), table[use]
+                if size > len(bits[u]):
+                    b = _fold(b)
+                most = np.minimum(n[u] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n[at] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+                for x in at[100 * most >= percent * (n[u] + n[at] - most)].tolist():
+                    p, q = (u, x) if doc[u] < doc[x] else (x, u)
+                    yield doc[p], doc[q], n[p], n[q]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["what", "bucket", "a", "b", "na", "nb"]
-        held, out = [], []
-
-        def flush(last: bool):
-            table = [np.concatenate([h[i] for h in held]) for i in range(4)] if held else [np.empty(0, np.int64)] * 4
-            cut = np.append(np.flatnonzero(np.diff(table[0])) + 1, len(table[0])) if len(table[0]) else []
-            begin = 0
-            for k, end in enumerate(cut):
-                if not last and k == len(cut) - 1:
-                    break
-                out.extend(one(int(table[0][begin]), *(c[begin:end] for c in table[1:])))
-                begin = end
-            held[:] = [[c[begin:] for c in table]]
+        now, held, out = None, [], []
+
+        def flush():
+            if len(held) > 1:
+                doc, n, comp, bits = zip(*held, strict=True)
+                out.extend(one(np.array(doc), np.array(n), np.array(comp), list(bits)))
+            held.clear()
+
+        def batch_of():
+            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "na", "nb"])
+            out.clear()
+            return done
 
         for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(4)])
-            flush(False)
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    flush()
+                    now = bucket
+                held.append(row)
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-                out.clear()
-        flush(True)
+                yield batch_of()
+        flush()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+            yield batch_of()
 
     return run
 
@@ -236,32 +275,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketches = written(map_arrow(docs.select("doc_id", "text"), _sketch(shingle, smallest), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
     classes = written(sketches.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     heads = classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("head_n"))
-    members = sketches.where(F.size("bands") > 0).join(heads, "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("z"), F.count("*").alias("m")).where("m > 1")
-    buckets = written(members.join(centres, "bucket").select("bucket", "doc_id", "n", F.col("z.doc_id").alias("centre"), F.col("z.n").alias("centre_n")))
-    edges = buckets.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb"))
+    members = sketches.where(F.size("bands") > 0).join(heads, "doc_id", "left_semi").select("doc_id", "n", F.posexplode("bands").alias("band", "bucket"))
+    shared = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("z"), F.count("*").alias("m")).where("m > 1")
+    buckets = written(members.join(shared, "bucket").select("band", "bucket", "doc_id", "n", F.col("z.doc_id").alias("centre"), F.col("z.n").alias("centre_n")))
+    # Stars over the first bands link most of what is alike; what they leave apart is compared in all bands.
+    edges = buckets.where(F.col("band") < STAR_BANDS).where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb"))
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     holds = f"100 * shared >= {percent} * (na + nb - shared)"
     compared = confirmed(docs, edges.where(fits).distinct(), shingle)
     links = compared.where(holds).select("a", "b")
     labels = components(links)
-    waiting = buckets.where("doc_id <> centre").select("bucket", "doc_id", "n")
-    while True:
-        coloured = waiting.join(labels, "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        mixed = coloured.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        open_ = coloured.join(mixed, "bucket", "left_semi").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-        step = written(map_arrow(open_, _further(percent), "what long, bucket long, a long, b long, na long, nb long"))
-        new = written(step.where("what = 0").select("a", "b", "na", "nb").distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-        if new.head(1):
-            found = confirmed(docs, new, shingle)
-            compared = written(compared.select("a", "b", "shared", "na", "nb").union(found.select("a", "b", "shared", "na", "nb")))
-            more = found.where(holds).select("a", "b")
-            if more.head(1):
-                links = written(links.union(more))
-                labels = components(links)
-        waiting = step.where("what = 1").select("bucket", F.col("a").alias("doc_id"), F.col("na").alias("n"))
-        if not waiting.head(1):
-            break
+    coloured = written(buckets.select("bucket", "doc_id", "n").join(labels, "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
+    mixed = coloured.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    waiting = written(coloured.join(mixed, "bucket", "left_semi"))
+    bitmaps = map_arrow(semi(docs.select("doc_id", "text"), written(waiting.select("doc_id").distinct())), _bitmaps(shingle), "doc_id long, bits binary")
+    open_ = waiting.join(bitmaps, "doc_id").select("bucket", "doc_id", "n", "c", "bits").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    rest = map_arrow(open_, _rest(percent), "a long, b long, na long, nb long").distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(confirmed(docs, rest, shingle).where(holds).select("a", "b"))
+    if more.head(1):
+        labels = components(links.union(more))
     rows = sketches.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "rep")
     rows = rows.join(labels.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
