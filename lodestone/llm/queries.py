@@ -15,6 +15,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import suffix_dedup
+
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import minhash
 
@@ -57,5 +63,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
