@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import hamming_topk as _hamming
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import hamming_topk
+
+    return hamming_topk.report(table(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import bpe
 
@@ -63,5 +71,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring)}
+ORACLE_SQL: dict[str, str] = {"op1_hamming_topk": _hamming.ORACLE}
