@@ -43,6 +43,17 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker's arrays would else stay with it from one task to the next."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -81,7 +92,12 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last = offsets[1:] - 1
     after[last[last >= 0]] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    return starts, ends, document_of(starts, offsets)
+
+
+def document_of(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The document number of each of the ascending places."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(places, offsets)))
 
 
 _powers: dict[int, np.ndarray] = {}

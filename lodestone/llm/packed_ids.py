@@ -10,6 +10,7 @@ offsets, and the words.  Blocks follow ascending doc_id.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._arrow import IS_SPACE, LOWER, Hasher, binaries, map_arrow, runs, slices_by, spread, text_slices
+from lodestone.llm._arrow import IS_SPACE, LOWER, Hasher, binaries, document_of, map_arrow, runs, slices_by, spread, text_slices
 from lodestone.llm._shared import shared_folder
-from lodestone.llm.bpe import LETTER, NUMBER, OTHER, WHITE, char_classes, characters
+from lodestone.llm.bpe import LETTER, NUMBER, OTHER, char_classes, characters
 
 #: Ids in a block at least (but for the last of a part), text bytes handled at once, and units remembered by a worker.
 BLOCK_IDS, SLICE, MEMORY = 1 << 20, 2 << 20, 1_200_000
@@ -67,7 +68,15 @@ def unpack(words: np.ndarray, bits: int, start: int, stop: int) -> np.ndarray:
     return out.ravel()[start - g0 * 64 : stop - g0 * 64].astype(np.uint32)
 
 
+_BAD = 8
+
+
 @lru_cache(1)
+def _classes() -> np.ndarray:
+    """The class of each code point, and a flag where it is not normalised alone."""
+    return char_classes() + np.where(_alone(), 0, _BAD).astype(np.uint8)
+
+
 def _alone() -> np.ndarray:
     """Characters that the normaliser changes without their neighbours and within their class: below U+0300, one lower-case letter, no composition."""
     import unicodedata
@@ -94,6 +103,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.odd = re.compile("<\\||[" + "".join(f"\\u{c:04x}" for c in np.flatnonzero(~_alone()[:0x300]).tolist()) + "\\u0300-\U0010ffff]")
         self.memory: dict[bytes, bytes] = {}  # ids as 32-bit integers
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,15 +113,13 @@ class WordEncoder:
         n = len(at)
         if not n or not len(starts):
             return starts, ends, np.empty(0, np.int64)
-        kind = char_classes()[code]
-        bad = ~_alone()[code]
-        bad[:-1] |= (code[:-1] == 0x3C) & (code[1:] == 0x7C)  # may begin a special token
+        kind = _classes()[code]
         white = IS_SPACE[data[at]]
-        bad &= ~white
-        first, last = np.searchsorted(at, starts), np.searchsorted(at, ends)
-        n_bad = np.zeros(n + 1, np.int64)
-        np.cumsum(bad, out=n_bad[1:])
-        whole = n_bad[last] > n_bad[first]
+        bad = (kind >= _BAD) & ~white
+        kind &= _BAD - 1
+        bad[:-1] |= (code[:-1] == 0x3C) & (code[1:] == 0x7C)  # may begin a special token
+        number = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)  # of characters up to a byte
+        first, last = number[starts] - 1, number[ends - 1]
         begin = np.zeros(n + 1, bool)
         begin[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
         begin[first] = True
@@ -119,26 +127,27 @@ class WordEncoder:
         if len(mark):
             chunk_end = last[np.searchsorted(first, mark, "right") - 1]
             mark, chunk_end = mark[mark + 1 < chunk_end], chunk_end[mark + 1 < chunk_end]
-            low = np.where((code >= 65) & (code <= 90), code + 32, code)
-            one, two = low[mark + 1], np.where(mark + 2 < chunk_end, low[np.minimum(mark + 2, n - 1)], 0)
+            low = lambda c: np.where((c >= 65) & (c <= 90), c + 32, c)
+            one, two = low(code[mark + 1]), np.where(mark + 2 < chunk_end, low(code[np.minimum(mark + 2, n - 1)]), 0)
             long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
             size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, np.where(long, 3, 0))
             mark, size = mark[size > 0], size[size > 0]
             begin[mark + 1] = False
             begin[mark + size] = True
-        inner = np.zeros(n + 1, np.int64)  # of whole chunks only the first begins
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, first[whole] + 1, 1)
-        np.add.at(edge, last[whole], -1)
-        np.cumsum(edge, out=inner)
-        begin = begin[:-1] & ~white & (inner[:-1] <= 0)
-        u = np.flatnonzero(begin)
-        chunk = np.searchsorted(first, u, "right") - 1
-        following = np.append(u[1:], n)
-        stop = np.minimum(following, last[chunk])
-        at = np.append(at, len(data))
-        s = at[u]
-        return s, at[stop], np.searchsorted(offsets, s, "right") - 1
+        if bad.any():  # of a chunk with such a character only the first begins
+            n_bad = np.append(0, np.cumsum(bad, dtype=np.int32))
+            whole = n_bad[last] > n_bad[first]
+            edge = np.zeros(n + 1, np.int32)
+            np.add.at(edge, first[whole] + 1, 1)
+            np.add.at(edge, last[whole], -1)
+            begin &= np.cumsum(edge) <= 0
+        begin[:-1] &= ~white
+        end = begin[1:].copy()
+        end[last - 1] = True
+        end[:-1] |= white[1:]
+        end &= ~white
+        s, e = at[begin[:-1]], np.append(at, len(data))[np.flatnonzero(end) + 1]
+        return s, e, document_of(s, offsets)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents with the end id after each, and the documents' offsets in them."""
@@ -152,10 +161,22 @@ class WordEncoder:
         if len(memory) > MEMORY:
             memory.clear()
         new = [p for p in pieces if p not in memory]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                memory[p] = array("I", e.ids).tobytes()
+        odd = [p for p in new if self.odd.search(p.decode())]
+        for p in odd:  # chunks that are not cut
+            memory[p] = array("I", self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).tobytes()
+        if odd:
+            new = [p for p in new if p not in memory]
+        for k in range(0, len(new), 2048):
+            part = new[k : k + 2048]
+            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            words = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
+            if (words >= 0).all() and len(words) and words[-1] + 1 == len(part):  # each unit is one word of the library's
+                ids, size = array("I", found.ids).tobytes(), 4 * np.append(0, np.cumsum(np.bincount(words, minlength=len(part))))
+                for p, a, b in zip(part, size[:-1].tolist(), size[1:].tolist(), strict=True):
+                    memory[p] = ids[a:b]
+            else:
+                for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
+                    memory[p] = array("I", e.ids).tobytes()
         sizes = np.empty(len(pieces), np.int64)
         for i, p in enumerate(pieces):
             ids = memory[p]
