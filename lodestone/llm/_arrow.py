@@ -38,9 +38,31 @@ def worker_path(spark) -> None:
         env["PYTHONPATH"] = root + (os.pathsep + held if held else "")
 
 
+#: Bytes of an Arrow batch between the JVM and Python, unless the session asks for fewer.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _bytes(text: str) -> int:
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    digits = text.lower().rstrip("b")
+    return int(digits[:-1]) << units[digits[-1]] if digits[-1:] in units else int(digits or 0)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     worker_path(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def release() -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +34,9 @@ def written(df: DataFrame) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def set_aside(df: DataFrame, names: set[str]) -> tuple[DataFrame, list]:
+    """``df`` with those of its columns renamed that are called as in ``names``, and the columns that give the old names back."""
+    new = {c: c if c not in names else f"_aside_{i}_{uuid.uuid4().hex[:8]}" for i, c in enumerate(df.columns)}
+    return df.withColumnsRenamed(new), [F.col(f"`{n}`").alias(c) for c, n in new.items()]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._arrow import LOWER, Hasher, map_arrow, runs, spread, text_slices
+from lodestone.llm._shared import set_aside
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -188,4 +189,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the affected documents."""
-    return contamination(docs, benchmark, window).where(F.size("hit_items") == 0).select(docs.columns)
+    own, back = set_aside(docs, {"n_words", "hit_items", "hit_spans"})
+    return contamination(own, benchmark, window).where(F.size("hit_items") == 0).select(back)

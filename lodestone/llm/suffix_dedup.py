@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._arrow import Hasher, map_arrow, slices_by, spread, text_slices
+from lodestone.llm._arrow import Hasher, map_arrow, release, slices_by, spread, text_slices
 from lodestone.llm._shared import written
 
-#: Bytes of text in a slice.
-PACK_BYTES = 4 << 20
+#: Bytes of text in a slice; its compressed row stays below the size from which a JVM keeps objects apart.
+PACK_BYTES = 1 << 20
 LENGTH, PIECE = 50, 16
 SPAN = LENGTH - PIECE + 1
 
@@ -66,7 +66,7 @@ class Anchors:
         if n < LENGTH:
             self.at = np.empty(0, np.int64)
             self.distinct, self.which = np.empty(0, np.uint64), np.empty(0, np.int64)
-            self.doc = self.at
+            self.doc, self.inside = self.at, np.empty(0, bool)
             return
         place = np.arange(n - PIECE + 1)
         self.h = Hasher(data)(place, place + PIECE)
@@ -147,6 +147,7 @@ def _ask(parts: int):
                 low = ((a.distinct % np.uint64(step)) >> np.uint64(max(0, step.bit_length() - 32))).astype("<u4")
                 full = [p for p in range(parts) if cut[p + 1] > cut[p]]
                 if full:
+                    release()
                     yield pa.RecordBatch.from_arrays([pa.array([row["task"]] * len(full), pa.int32()), pa.array([row["slice"]] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([low[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], names=["task", "slice", "part", "low"])
 
     return run
@@ -215,6 +216,7 @@ def _cut(parts: int):
                         s = size[bound[p] : bound[p + 1]]
                         out.append((row["task"], row["slice"], p, 0, len(f), n[f].astype("u1").tobytes(), _squeeze(ids[doc[f]].astype("<i8").tobytes()), _squeeze(a.data[spread(begin[f], s)].tobytes()), None))
                 later = ids[doc] > ids[doc[first]][group]  # an earlier document of this slice has the same segment
+                release()
                 out.append((row["task"], row["slice"], row["slice"] % parts, 1, len(begin), _squeeze(group.astype("<u4").tobytes()), _squeeze(np.diff(begin, prepend=0).astype("<i8").tobytes()), n.astype("u1").tobytes(), np.packbits(later).tobytes()))
         return _rows(out)
 
@@ -233,8 +235,10 @@ def earlier_matches(text: np.ndarray, starts: np.ndarray, owner: np.ndarray) ->
     words = []
     for k in range(0, LENGTH, 8):
         word = np.zeros(len(starts), np.uint64)
-        for j in range(8):
-            word = (word << np.uint64(8)) | (text[starts + k + j] if k + j < LENGTH else np.uint8(0)).astype(np.uint64)
+        for j in range(k, k + 8):
+            word <<= np.uint64(8)
+            if j < LENGTH:
+                word |= text[j:][starts]
         words.append(word)
     order = np.lexsort(words[::-1])
     new = np.zeros(len(order), bool)
@@ -252,6 +256,7 @@ def earlier_matches(text: np.ndarray, starts: np.ndarray, owner: np.ndarray) ->
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A mask of marked strings for each segment of kind 0; rows of kind 1 pass."""
     rows = []
+    release()
     for b in batches:
         for r in b.to_pylist():
             if r["kind"] == 1:
@@ -262,21 +267,33 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     n = np.concatenate([np.frombuffer(r["a"], "u1") for r in rows]).astype(np.int64)
     owner = np.concatenate([np.frombuffer(_unsqueeze(r["b"]), "<i8") for r in rows])
-    text = np.frombuffer(b"".join(_unsqueeze(r["c"]) for r in rows), np.uint8)
+    text = np.concatenate([np.frombuffer(_unsqueeze(r.pop("c")), np.uint8) for r in rows])
     size = n + LENGTH - 1
     begin = slices_by(size)[:-1]
     # Equal segments of several slices are one suffix family; the least owner stands for all.
-    h = Hasher(text)(begin, begin + size)
+    blocks = slices_by(np.array([r["n"] for r in rows]))
+    base = begin[np.minimum(blocks[:-1], len(begin) - 1)]
+    bound = np.append(base, len(text))
+    h = np.empty(len(n), np.uint64)
+    for i in range(len(rows)):  # one slice's text at a time
+        x, y = blocks[i], blocks[i + 1]
+        h[x:y] = Hasher(text[bound[i] : bound[i + 1]])(begin[x:y] - base[i], begin[x:y] - base[i] + size[x:y])
     order = np.lexsort((owner, h))
     new = np.append(True, h[order][1:] != h[order][:-1])
     first = order[new]
     family = np.empty(len(order), np.int64)
     family[order] = np.cumsum(new) - 1
     marks = np.zeros(len(first), np.uint64)
+    first.sort()
+    family = np.searchsorted(first, order[new])[family]
     some, begin_, owner_ = n[first], begin[first], owner[first]
     starts = spread(begin_, some)
     # A string can only repeat in another family if its 64-bit hash does; the suffixes of these are sorted.
-    g = Hasher(text)(starts, starts + LENGTH)
+    g = np.empty(len(starts), np.uint64)
+    at = np.searchsorted(starts, bound)
+    for i in range(len(rows)):
+        mine = starts[at[i] : at[i + 1]] - base[i]
+        g[at[i] : at[i + 1]] = Hasher(text[bound[i] : bound[i + 1]])(mine, mine + LENGTH)
     s = np.sort(g)
     twice = np.unique(s[1:][s[1:] == s[:-1]])
     if len(twice):
@@ -284,11 +301,14 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sel = np.flatnonzero(twice[at] == g)
         of = np.repeat(np.arange(len(first)), some)[sel]
         hit = earlier_matches(text, starts[sel], owner_[of])
-        of, bit = of[hit], (starts[sel] - begin_[of])[hit] if len(of) == len(hit) else None
+        of, sel = of[hit], sel[hit]
+        bit = starts[sel] - begin_[of]
         np.bitwise_or.at(marks, of, np.uint64(1) << bit.astype(np.uint64))
     full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
     mask = np.where(owner > owner_[family], full, marks[family])
     at = 0
+    del text, starts, g, s, h, order, new, begin, size
+    release()
     for i in range(0, len(rows), 128):
         out = []
         for r in rows[i : i + 128]:
@@ -372,8 +392,8 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     read.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = _packed(docs, 2 * parts)
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = _packed(docs, parts)
     asked = map_arrow(packed, _ask(parts), "task int, slice int, part int, low binary")
     replies = written(map_arrow(asked.repartitionById(parts, F.col("part")), _answer, "task int, slice int, part int, bits binary"))
     segments = packed.groupBy("task").cogroup(replies.groupBy("task")).applyInArrow(_cut(parts), SEGMENTS)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._arrow import IS_SPACE, LOWER, Hasher, hash_strings, map_arrow, runs, text_slices
+from lodestone.llm._shared import set_aside
 
 #: The classifier is fitted on at most so many labelled rows and bytes of text, the first by hash of doc_id.
 SAMPLE_ROWS, SAMPLE_BYTES = 8000, 64 << 20
@@ -299,5 +300,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that are scored 0.5 or more."""
-    names = docs.columns
-    return score(docs, train(docs, labels), "_toxicity").where(F.col("_toxicity") < 0.5).select(names)
+    own, back = set_aside(docs, {"_toxicity"})
+    return score(own, train(docs, labels), "_toxicity").where(F.col("_toxicity") < 0.5).select(back)
