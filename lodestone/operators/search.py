@@ -69,7 +69,7 @@ def ground_truth_ranks(scores: DataFrame, truth: DataFrame, one_based_offset: in
     s = F.round("score", 9)
     better = scores.join(mine, "qid").where((s > F.col("gs")) | ((s == F.col("gs")) & (F.col("ord") < F.col("go")))).groupBy("qid", "gt").agg(F.count("*").alias("before"))
     found = mine.select("qid", "gt").join(better, ["qid", "gt"], "left").select("qid", F.col("gt").alias("paper_id"), F.coalesce("before", F.lit(0)).alias("before"))
-    rank = F.col("before") if one_based_offset is None else F.greatest(F.col("before") + 1 - one_based_offset, F.lit(0))
+    rank = F.col("before") if one_based_offset is None else F.when(F.col("before").isNotNull(), F.greatest(F.col("before") + 1 - one_based_offset, F.lit(0)))
     absent = F.lit(missing) if missing is not None else F.coalesce("n", F.lit(0)) + 1
     joined = pairs.join(found, ["qid", "paper_id"], "left").join(size, "qid", "left")
     return joined.select("qid", "paper_id", F.coalesce(rank, absent).cast("long").alias("rank"), F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).cast("long").alias("total"))

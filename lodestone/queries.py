@@ -163,7 +163,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {VECTORS}, {vscored("'2016-05'", False)}, vt AS (SELECT a.vec_id AS qid, b.vec_id AS paper_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rk, count(*) OVER (PARTITION BY qid) AS n FROM vscores)
-SELECT vt.qid, vt.paper_id, coalesce(greatest(rk - 5, 0), (SELECT count(*) FROM vscores s WHERE s.qid = vt.qid) + 1) AS rank, greatest((SELECT count(*) FROM vscores s WHERE s.qid = vt.qid) - 1, 0) AS total
+SELECT vt.qid, vt.paper_id, coalesce(CASE WHEN rk IS NOT NULL THEN greatest(rk - 5, 0) END, (SELECT count(*) FROM vscores s WHERE s.qid = vt.qid) + 1) AS rank, greatest((SELECT count(*) FROM vscores s WHERE s.qid = vt.qid) - 1, 0) AS total
 FROM vt LEFT JOIN r ON r.qid = vt.qid AND r.paper_id = vt.paper_id""")
 def vector_one_based_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, q = _vectors(spark, sf_dir)
