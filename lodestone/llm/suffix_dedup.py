@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._arrow import Hasher, map_arrow, release, slices_by, spread, text_slices
+from lodestone.llm._arrow import Hasher, map_arrow, mix, release, slices_by, spread, text_slices
 from lodestone.llm._shared import written
 
 #: Bytes of text in a slice; its compressed row stays below the size from which a JVM keeps objects apart.
@@ -77,7 +77,8 @@ class Anchors:
         edge = np.zeros(SPAN - 1, np.uint64)
         self.at = np.flatnonzero(slide(np.concatenate((edge, self.least, edge)), SPAN, np.maximum) == self.h)
         self.doc = doc[self.at]
-        self.distinct, self.which = np.unique(self.h[self.at], return_inverse=True)
+        # Least hashes crowd at small values: partitions take a mixture of them.
+        self.distinct, self.which = np.unique(mix(self.h[self.at] ^ np.uint64(0xD6E8FEB86659FD93)), return_inverse=True)
 
     def repeated_here(self, ids: np.ndarray) -> np.ndarray:
         """For each distinct hash, whether documents of several ids of this slice have it."""
