@@ -218,7 +218,7 @@ def _cut(parts: int):
                         out.append((row["task"], row["slice"], p, 0, len(f), n[f].astype("u1").tobytes(), _squeeze(ids[doc[f]].astype("<i8").tobytes()), _squeeze(a.data[spread(begin[f], s)].tobytes()), None))
                 later = ids[doc] > ids[doc[first]][group]  # an earlier document of this slice has the same segment
                 release()
-                out.append((row["task"], row["slice"], row["slice"] % parts, 1, len(begin), _squeeze(group.astype("<u4").tobytes()), _squeeze(np.diff(begin, prepend=0).astype("<i8").tobytes()), n.astype("u1").tobytes(), np.packbits(later).tobytes()))
+                out.append((row["task"], row["slice"], (31 * row["task"] + row["slice"]) % parts, 1, len(begin), _squeeze(group.astype("<u4").tobytes()), _squeeze(np.diff(begin, prepend=0).astype("<i8").tobytes()), n.astype("u1").tobytes(), np.packbits(later).tobytes()))
         return _rows(out)
 
     return run
