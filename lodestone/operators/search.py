@@ -56,12 +56,14 @@ def page(scores: DataFrame, top_k: int = MAX_RESULTS, offset: int = 0) -> DataFr
     return ranked.where(F.col("rn") > offset).select("qid", (F.col("rn") - 1).cast("long").alias("rank"), "paper_id", "arxiv_id", "date", "score")
 
 
-def ground_truth_ranks(scores: DataFrame, truth: DataFrame, one_based_offset: int | None = None, missing: int | None = NOT_FOUND) -> DataFrame:
+def ground_truth_ranks(scores: DataFrame, truth: DataFrame, one_based_offset: int | None = None, missing: int | None = NOT_FOUND, fetched: int | None = None) -> DataFrame:
     """(qid, paper_id, rank, total) of each ground-truth pair: papers before it, and ranked papers less one.
 
     Only better papers are counted, no list is sorted.  With
     ``one_based_offset`` ranks start at 1 and lose the offset, not below 0;
-    ``missing`` None stands for one more than the list is long.
+    ``missing`` None stands for one more than the list is long.  ``fetched``
+    takes ranks from there on as not found, as a search that fetches only so
+    many candidates does.
     """
     pairs = truth.select("qid", "paper_id").distinct()
     size = scores.groupBy("qid").agg(F.count("*").alias("n"))
@@ -71,6 +73,8 @@ def ground_truth_ranks(scores: DataFrame, truth: DataFrame, one_based_offset: in
     found = mine.select("qid", "gt").join(better, ["qid", "gt"], "left").select("qid", F.col("gt").alias("paper_id"), F.coalesce("before", F.lit(0)).alias("before"))
     rank = F.col("before") if one_based_offset is None else F.when(F.col("before").isNotNull(), F.greatest(F.col("before") + 1 - one_based_offset, F.lit(0)))
     absent = F.lit(missing) if missing is not None else F.coalesce("n", F.lit(0)) + 1
+    if fetched is not None:
+        found = found.where(F.col("before") < fetched)
     joined = pairs.join(found, ["qid", "paper_id"], "left").join(size, "qid", "left")
     return joined.select("qid", "paper_id", F.coalesce(rank, absent).cast("long").alias("rank"), F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).cast("long").alias("total"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import arxiv, parse, rouge, text, vectors
+from lodestone.functions import article, arxiv, parse, rouge, text, vectors
 from lodestone.operators import corpus, index, metrics, search
-from lodestone.plans import agents, evaluate, workflow
+from lodestone.plans import agents, build, evaluate, workflow
 from lodestone.plans.storage import stored
 
 QUERIES: dict = {}
@@ -714,3 +714,23 @@ def deep_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     run, truth = _deep_run(spark, sf_dir)
     out = evaluate.summary(evaluate.query_iterations(run, truth), 5)
     return rounded(out.select("iter", "avg_recall", "avg_precision", "avg_missed_gt_ratio"), ["avg_recall", "avg_precision", "avg_missed_gt_ratio"])
+
+
+UNESCAPED = "replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, {UNESCAPED} AS title, CAST(1 AS BIGINT) AS n_sections, CAST(1 AS INT) AS level, {UNESCAPED} AS heading FROM pages")
+def article_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "pages").select("page_id", article.article(F.col("html")).alias("a"))
+    return a.select("page_id", "a.title", F.size("a.sections").cast("long").alias("n_sections"), F.get("a.sections", F.lit(0)).alias("s")).select("page_id", "title", "n_sections", "s.level", F.col("s.title").alias("heading"))
+
+
+@query("SELECT c_custkey, ok FROM (SELECT c_custkey, c_custkey % 3 = 0 AS ok, coalesce(sum(CAST(c_custkey % 3 = 0 AS INT)) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM customer) WHERE n < 100")
+def first_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.first_successes(table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 3 == 0).alias("ok")), "c_custkey", 100)
+
+
+@query("SELECT conv_id AS qid, turn AS iter, last_value(CASE WHEN turn % 3 = 0 THEN left(text, 20) END IGNORE NULLS) OVER w AS experience, last_value(CASE WHEN turn % 2 = 1 THEN role END IGNORE NULLS) OVER w AS checklist FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def research_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return build.memory(c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("iter"), F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 20)).otherwise("").alias("experience"), F.when(F.col("turn") % 2 == 1, F.col("role")).alias("checklist")))
