@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import hamming_topk as _hamming
+from lodestone.llm import oracle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +73,4 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring)}
-ORACLE_SQL: dict[str, str] = {"op1_hamming_topk": _hamming.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_hamming_topk": _hamming.ORACLE, "op3_suffix_dedup": oracle.SUFFIX_DEDUP, "op4_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op8_decontamination": oracle.DECONTAMINATION}
