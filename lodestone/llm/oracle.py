@@ -23,8 +23,8 @@ c AS (SELECT doc_id, len(s) AS n FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * shared >= 80 * (ca.n + cb.n - shared)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT doc_id, doc_id AS at FROM c UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.at),
-m AS (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id)
+r AS (SELECT doc_id, doc_id AS node FROM c UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.node),
+m AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c JOIN m USING (doc_id)
 """
 
