@@ -110,17 +110,23 @@ class Anchors:
         return self.which[k[new]], begin[new], np.diff(np.append(new, len(k))), self.doc[k[new]]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _pack(keys: np.ndarray):
+    """Slices, numbered by their task; ``keys`` has a number for each bucket that falls into it."""
 
-    task, k = TaskContext.get().partitionId(), 0
-    for rows, data, offsets in text_slices(batches, limit=PACK_BYTES):
-        ids = rows.column(0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([ids.fill_null(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([np.asarray(ids.is_null()).astype("u1").tobytes()], pa.binary()), pa.array([offsets.astype("<i8").tobytes()], pa.binary()), pa.array([_squeeze(data.tobytes())], pa.binary())],
-            names=["task", "slice", "ids", "no_id", "offsets", "text"],
-        )
-        k += 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        turn, bucket = divmod(TaskContext.get().partitionId(), len(keys))
+        k = turn << 20
+        for rows, data, offsets in text_slices(batches, limit=PACK_BYTES):
+            ids = rows.column(0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([keys[bucket]], pa.int32()), pa.array([k], pa.int32()), pa.array([ids.fill_null(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([np.asarray(ids.is_null()).astype("u1").tobytes()], pa.binary()), pa.array([offsets.astype("<i8").tobytes()], pa.binary()), pa.array([_squeeze(data.tobytes())], pa.binary())],
+                names=["task", "slice", "ids", "no_id", "offsets", "text"],
+            )
+            k += 1
+
+    return run
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -372,10 +378,15 @@ def _remove(with_text: bool):
 
 
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Slices as a table bucketed by task in the warehouse: later steps read it without a shuffle."""
+    """Slices as a table in the warehouse, a bucket for each writing task: later steps read it without a shuffle."""
     spark = docs.sparkSession
     name = f"slices_{uuid.uuid4().hex}"
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _pack, "task int, slice int, ids binary, no_id binary, offsets binary, text binary")
+    number = F.col("id").cast("int")
+    tried = spark.range(64 * buckets).groupBy(F.pmod(F.hash(number), F.lit(buckets)).alias("b")).agg(F.min(number).alias("i")).collect()  # a row a bucket
+    keys = np.arange(buckets)
+    for bucket, i in tried:
+        keys[bucket] = i
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _pack(keys), "task int, slice int, ids binary, no_id binary, offsets binary, text binary")
     rows.write.bucketBy(buckets, "task").option("compression", "uncompressed").saveAsTable(name)
     path = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").select("data_type").first()[0]
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

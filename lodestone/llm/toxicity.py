@@ -229,6 +229,7 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """The character model of all texts, and a classifier of labelled ones; null ids and labels are left out."""
     costs = language_model(docs)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("_y"), F.xxhash64("doc_id").alias("_o")).where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy("_o", "doc_id").limit(SAMPLE_ROWS)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("_o", "doc_id", "text")  # SAMPLE_ROWS rows at most are broadcast
@@ -239,7 +240,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         if (held := held + len(texts[-1])) > SAMPLE_BYTES:
             break
     y = np.array(y, np.float64)
-    nothing = Model(costs, np.empty(0, np.uint64), np.empty(0), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0)
+    # Without rows of both classes there is nothing to go by, and no text is called toxic.
+    nothing = Model(costs, np.empty(0, np.uint64), np.empty(0), min(-0.1, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))))
     if not y.sum() or y.all():
         return nothing
     restore = Restorer(costs)

@@ -425,3 +425,14 @@ def test_lm_scores(docs, texts):
 def test_lm_edges(clashing, empty, texts):
     assert ppm.scores(empty).count() == 0
     assert ppm.scores(clashing).count() == 2 * len(texts)
+
+
+def test_null_ids_and_columns(spark, tagger):
+    rows = [(None, "a b c d e f g", None, None, None), (1, None, None, None, None), (1, "a b c d e f g", None, None, 3), (2, "a b c d e f g", "x", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(None, 1, 1), (1, None, None), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, "c d"), (4, None)], "item_id long, text string")
+    for out in (bpe.round_trip(df), suffix_dedup.report(df), minhash.near_duplicates(df), packed_ids.report(df), toxicity.report(df, labels), pii.report(df, tagger), decontaminate.report(df, bench), ppm.scores(df)):
+        assert sorted(r.doc_id or 0 for r in out.select("doc_id").collect()) == [0, 1, 1, 2]
+    for out in (toxicity.clean(df, labels), minhash.clean(df), decontaminate.clean(df, bench), pii.clean(df, tagger)):
+        assert out.columns == df.columns and out.count() >= 1
