@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import index_text, tokens
+from lodestone.plans.storage import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -27,14 +28,18 @@ def build_term_index(papers: DataFrame) -> TermIndex:
     Statistics are over indexed papers.  A term in more than half of them has
     a negative weight, which a quarter of the mean weight replaces.
     """
-    docs = papers.where((F.coalesce("title", F.lit("")) != "") | (F.coalesce("abstract", F.lit("")) != "")).withColumn("toks", tokens(index_text(F.col("title"), F.col("abstract")))).where(F.size("toks") > 0)
-    docs = docs.select("paper_id", "ord", F.coalesce("date", F.lit("")).alias("date"), "arxiv_id", F.size("toks").alias("dl"), "toks")
-    postings = docs.select("paper_id", "ord", "date", "arxiv_id", "dl", F.explode("toks").alias("term")).groupBy("term", "paper_id", "ord", "date", "arxiv_id", "dl").agg(F.count("*").alias("tf"))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    some = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("abstract", F.lit("")) != "")
+    words = papers.where(some).select("paper_id", "ord", F.coalesce("date", F.lit("")).alias("date"), "arxiv_id", tokens(index_text(F.col("title"), F.col("abstract"))).alias("toks"))
+    long = words.select("paper_id", "ord", "date", "arxiv_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    # Tokenised, counted and written once; what follows reads columns of the written table.
+    postings = stored(long.groupBy("term", "paper_id", "ord", "date", "arxiv_id", "dl").agg(F.count("*").alias("tf")))
+    # Every indexed paper has the label's token once as a row, so its postings are the papers.
+    sizes = postings.where(F.col("term") == "title").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row of sizes
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return TermIndex(postings, terms, sizes.crossJoin(mean))
+    raw = stored(raw.select("term", "df", "n", "avgdl", "raw"))
+    mean = raw.agg(F.first("n", ignorenulls=True).alias("n"), F.first("avgdl", ignorenulls=True).alias("avgdl"), F.avg("raw").alias("mean_idf"))
+    terms = raw.crossJoin(F.broadcast(mean.select("mean_idf"))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return TermIndex(postings, terms, mean)
 
 
 def save_term_index(index: TermIndex, path: str, buckets: int = 64) -> None:

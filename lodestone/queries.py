@@ -670,7 +670,7 @@ def _deep_run(spark: SparkSession, sf_dir: str) -> tuple[workflow.DeepRun, DataF
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), "quality")
     built = index.build_term_index(papers(spark, sf_dir))
-    kept = index.TermIndex(*(stored(t) for t in (built.postings, built.terms, built.stats)))
+    kept = index.TermIndex(built.postings, stored(built.terms), stored(built.stats))
     return workflow.deep_research(kept, q, truth, planner, agents.labelled_selector(labels), 3), truth
 
 
