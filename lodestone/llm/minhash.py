@@ -22,6 +22,8 @@ from lodestone.llm._arrow import IS_SPACE, LOWER, Hasher, binaries, map_arrow, m
 from lodestone.llm._shared import written
 
 BINS, BANDS = 128, 32
+#: Rows of a bucket that are compared in one block.
+BLOCK = 512
 #: Bands whose buckets give star-shaped edges.
 STAR_BANDS = 8
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
@@ -194,27 +196,25 @@ def _fold(bits: np.ndarray) -> np.ndarray:
 
 
 def _rest(percent: int):
-    """Pairs of a bucket that may still be links: of different components, and not ruled out by their bitmaps.
+    """Pairs of a block that may still be links: of different components, and not ruled out by their bitmaps.
 
-    Rows (bucket, doc, n, component, bits) come sorted by bucket.  A bit that
-    only one set has proves an element that the other lacks, which bounds the
-    intersection from above; so no link is lost, and members of the bucket's
-    largest component need not be compared with each other.
+    Rows (bucket, block, doc, n, component, outside, home, bits) come sorted
+    by bucket and block.  Each row outside the bucket's main component is
+    compared with the rows at home in the block.  A bit that only one set has
+    proves an element that the other lacks, which bounds the intersection from
+    above; so no link is lost.
     """
 
-    def one(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes]):
-        _, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(sizes) < 2:
-            return
-        outside = np.flatnonzero(which != sizes.argmax())
+    def one(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, out: np.ndarray, home: np.ndarray, bits: list[bytes]):
+        outside = np.flatnonzero(out)
         length = np.array([len(b) for b in bits])
         classes = {}
         for size in np.unique(length).tolist():
             at = np.flatnonzero(length == size)
             classes[size] = at, np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)
-        done = np.zeros(len(doc), bool)
+        done = ~home
         for u in outside.tolist():
-            done[u] = True
+            done[u] = True  # its pairs with the rows at home are all looked at now
             mine = np.frombuffer(bits[u], np.uint64)
             for size in (len(bits[u]) // 2, len(bits[u]), len(bits[u]) * 2):
                 if size not in classes:
@@ -237,8 +237,8 @@ def _rest(percent: int):
 
         def flush():
             if len(held) > 1:
-                doc, n, comp, bits = zip(*held, strict=True)
-                out.extend(one(np.array(doc), np.array(n), np.array(comp), list(bits)))
+                doc, n, comp, apart, home, bits = zip(*held, strict=True)
+                out.extend(one(*(np.array(c) for c in (doc, n, comp, apart, home)), list(bits)))
             held.clear()
 
         def batch_of():
@@ -247,10 +247,10 @@ def _rest(percent: int):
             return done
 
         for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
+            for bucket, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, block) != now:
                     flush()
-                    now = bucket
+                    now = bucket, block
                 held.append(row)
             if len(out) > 50_000:
                 yield batch_of()
@@ -286,10 +286,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = compared.where(holds).select("a", "b")
     labels = components(links)
     coloured = written(buckets.select("bucket", "doc_id", "n").join(labels, "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
-    mixed = coloured.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    waiting = written(coloured.join(mixed, "bucket", "left_semi"))
+    sizes = coloured.groupBy("bucket", "c").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max_by("c", F.struct("m", "c")).alias("main")).where("k > 1")
+    waiting = written(coloured.join(mixed.select("bucket", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "bucket"))
     bitmaps = map_arrow(semi(docs.select("doc_id", "text"), written(waiting.select("doc_id").distinct())), _bitmaps(shingle), "doc_id long, bits binary")
-    open_ = waiting.join(bitmaps, "doc_id").select("bucket", "doc_id", "n", "c", "bits").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    # A large bucket is dealt out in blocks: each row is at home in one, rows outside the main component visit all.
+    outside = F.col("c") != F.col("main")
+    dealt = waiting.join(bitmaps, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("bucket", "own", "doc_id", "n", "c", outside.alias("outside"), "bits", F.explode(F.when(outside, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("block"))
+    open_ = dealt.select("bucket", "block", "doc_id", "n", "c", "outside", (F.col("own") == F.col("block")).alias("home"), "bits").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "doc_id")
     rest = map_arrow(open_, _rest(percent), "a long, b long, na long, nb long").distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
     more = written(confirmed(docs, rest, shingle).where(holds).select("a", "b"))
     if more.head(1):
