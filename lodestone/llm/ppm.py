@@ -1,11 +1,13 @@
 """Language-model scoring by prediction by partial matching.
 
-All training texts give the counts of a byte-context trie of three bytes.
-Each context's code lengths are worked out once, with escapes by method C and
-exclusion of the symbols that longer contexts have already offered, so that a
-text is scored by array look-ups.  Beside it stands a unigram model of words
-over all training texts: slices send their distinct words to word partitions,
-which count them and answer with sums per document.
+All training texts give the counts of a byte-context trie of three bytes, of
+which every context stays.  Code lengths, with escapes by method C and
+exclusion of the symbols that longer contexts have already offered, are worked
+out once by partitions of contexts and held sparsely: those of the symbols seen
+in a context, and what an escape from it adds.  They go out in blocks of
+bounded size, of which a worker holds one at a time.  Beside it stands a
+unigram model of words over all training texts: slices send their distinct
+words to word partitions, which count them and answer with sums per document.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from lodestone.llm._arrow import IS_SPACE, LOWER, Hasher, map_arrow, runs, text_slices
 from lodestone.llm._shared import written
 
-#: The trie keeps the most frequent contexts of three and of two bytes.
-CONTEXTS_3, CONTEXTS_2 = 24576, 8192
+#: Strings of four bytes that a row of the priced table and a block of the model hold, but for one context of two bytes more.
+CHUNK, BLOCK = 1 << 18, 1 << 22
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text whose distinct words are sent together.
 SEND_BYTES = 3 << 20
@@ -75,85 +77,161 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"gram": pa.array(g.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of equal sorted keys, and the run of each key."""
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.empty(0, bool)
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _escape(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return np.where(kinds > 0, np.log10(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0.0)
+
+
+#: Binary columns of the priced table: four bytes with their cost; contexts of three with what symbols of the
+#: context of two and others pay; two bytes and a symbol with the log of the count; contexts of two alike, and what
+#: symbols of the context of one and others pay further.
+PRICED = {"key3": "<u4", "cost3": "<f4", "context3": "<u4", "into3": "<f4", "past3": "<f4", "key2": "<u4", "log2": "<f4", "context2": "<u4", "into2": "<f4", "past2": "<f4", "into1": "<f4", "past1": "<f4"}
+
+
+def _price(n1: np.ndarray):
+    """A partition of contexts of two bytes: the code lengths (log10, positive) of all that was counted after them.
+
+    A key has the bytes b-2, b-1, b-3 and the symbol, so that contexts of two, and of three in them, stand together.
+    The symbols of a context are among those of the shorter ones, so an exclusion is a subtraction.
+    """
+
+    def price(key: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        two_and_symbol = (key >> 16 << 8) | (key & 0xFF)
+        key2, which2 = np.unique(two_and_symbol, return_inverse=True)
+        n2 = np.bincount(which2, n, len(key2))
+        at2, of2 = _groups(key2 >> 8)
+        context2 = key2[at2] >> 8
+        total2, kinds2 = np.add.reduceat(n2, at2), np.bincount(of2)
+        at3, of3 = _groups(key >> 8)
+        total3, kinds3 = np.add.reduceat(n, at3), np.bincount(of3)
+        two_of_3 = np.searchsorted(context2, key[at3] >> 16)
+        left, left_kinds = total2[two_of_3] - np.add.reduceat(n2[which2], at3), kinds2[two_of_3] - kinds3
+        out3 = _escape(total3, kinds3)
+        after = n1[context2 & 0xFF]
+        left1 = after.sum(1) - np.add.reduceat(n1[(key2 >> 8) & 0xFF, key2 & 0xFF], at2)
+        left1_kinds = (after > 0).sum(1) - kinds2
+        return {
+            "key3": key, "cost3": np.log10((total3 + kinds3)[of3] / n),
+            "context3": key[at3] >> 8, "into3": out3 + np.log10(np.maximum(left + left_kinds, 1)), "past3": out3 + _escape(left, left_kinds),
+            "key2": key2, "log2": np.log10(n2),
+            "context2": context2, "into2": np.log10(total2 + kinds2), "past2": _escape(total2, kinds2), "into1": np.log10(np.maximum(left1 + left1_kinds, 1)), "past1": _escape(left1, left1_kinds),
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = ((g >> 8) & 0xFFFF) << 16 | (g >> 24) << 8 | (g & 0xFF)
+        order = np.argsort(key)
+        key, n = key[order], n[order].astype(np.float64)
+        ends = np.append(_groups(key >> 16)[0][1:], len(key))
+        begin = 0
+        while begin < len(key):
+            end = int(ends[min(np.searchsorted(ends, begin + CHUNK), len(ends) - 1)])
+            got = price(key[begin:end], n[begin:end])
+            yield pa.RecordBatch.from_pydict({c: pa.array([got[c].astype(t).tobytes()], pa.binary()) for c, t in PRICED.items()})
+            begin = end
+
+    return run
+
+
+def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
 class Model:
-    """``rows[child(b-2, b-1), b-3]`` is the row of ``costs`` (log10, positive) for the next byte's symbol."""
-
-    def __init__(self, order3: np.ndarray, order2: np.ndarray, order1: np.ndarray):
-        """Each array has rows (context, symbol, count)."""
-        c1 = np.zeros((256, 256))
-        np.add.at(c1, (order1[:, 0], order1[:, 1]), order1[:, 2])
-        seen = np.flatnonzero(c1.sum(0))
-        size = len(seen) + 1  # the last symbol stands for each byte that no training text has
-        self.symbol = np.full(256, size - 1, np.int32)
-        self.symbol[seen] = np.arange(len(seen))
-
-        def table(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            context, which = np.unique(rows[:, 0], return_inverse=True)
-            c = np.zeros((len(context), size), np.float32)
-            np.add.at(c, (which, self.symbol[rows[:, 1]]), rows[:, 2])
-            return context, c
-
-        n1 = np.zeros((256, size), np.float32)
-        np.add.at(n1, (order1[:, 0], self.symbol[order1[:, 1]]), order1[:, 2])
-        n0 = n1.sum(0, keepdims=True)
-        context2, n2 = table(order2)
-        context3, n3 = table(order3)
-        rest = 256 - len(seen)
-        last = np.zeros((1, size), np.float32)  # before any count: all bytes alike
-        last[0, :-1], last[0, -1] = 1, rest
-
-        def costs(chain: list[np.ndarray], n: int) -> np.ndarray:
-            out, spent = np.zeros((n, size), np.float32), np.zeros((n, 1), np.float32)
-            taken = np.zeros((n, size), bool)
-            for c in chain:
-                free = np.where(taken, 0, c)
-                total, kinds = free.sum(1, keepdims=True), (free > 0).sum(1, keepdims=True)
-                all_ = np.maximum(total + kinds, 1)
-                hit = free > 0
-                out = np.where(hit, spent - np.log10(np.maximum(free, 1) / all_), out)
-                taken = taken | hit
-                spent = spent - np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / all_), 0)
-            free = np.where(taken, 0, last)
-            each = np.where(np.arange(size) == size - 1, 1, free)
-            return np.where(taken, out, spent - np.log10(np.maximum(each, 1) / np.maximum(free.sum(1, keepdims=True), 1))).astype(np.float32)
-
-        of2 = np.full(65536, -1)
-        of2[context2] = np.arange(len(context2))
-        suffix = of2[context3 & 0xFFFF]
-        n2_of_3 = np.where(suffix[:, None] >= 0, n2[suffix], 0) if len(context2) else np.zeros_like(n3)
-        top = costs([n1, np.broadcast_to(n0, n1.shape)], 256)
-        mid = costs([n2, n1[context2 & 0xFF], np.broadcast_to(n0, n2.shape)], len(context2))
-        low = np.concatenate([costs([n3[i : i + 4096], n2_of_3[i : i + 4096], n1[context3[i : i + 4096] & 0xFF], np.broadcast_to(n0, n3[i : i + 4096].shape)], len(n3[i : i + 4096])) for i in range(0, max(1, len(n3)), 4096)])
-        self.costs = np.concatenate((top, mid, low))
-        self.child = np.tile(np.arange(256, dtype=np.int32), (256, 1)).ravel()  # by b-2, b-1; a context of two that is not kept falls to one
-        self.child[context2] = 256 + np.arange(len(context2), dtype=np.int32)
-        self.rows = np.repeat(np.arange(256 + len(context2), dtype=np.int32)[:, None], 256, axis=1)
-        known = suffix >= 0
-        self.rows[256 + suffix[known], context3[known] >> 16] = 256 + len(context2) + np.flatnonzero(known)
+    """Costs (log10, positive) of a byte after at most one, and broadcast blocks of those after two and three."""
+
+    def __init__(self, n1: np.ndarray, blocks: list):
+        self.blocks = blocks
+        n0, total1, kinds1 = n1.sum(0), n1.sum(1, keepdims=True), (n1 > 0).sum(1, keepdims=True)
+        self.seen1 = n1 > 0
+        left, left_kinds = n0.sum() - np.where(self.seen1, n0, 0).sum(1, keepdims=True), (n0 > 0).sum() - kinds1
+        rest = 256 - (n0 > 0).sum()  # bytes that no training text has are alike
+        #: after all symbols of the context of one are excluded
+        self.below1 = np.where(n0 > 0, np.log10(np.maximum(left + left_kinds, 1) / np.maximum(n0, 1)), _escape(left, left_kinds) + np.log10(max(rest, 1)))
+        self.log1 = np.log10(np.maximum(n1, 1))
+        self.cost1 = np.where(self.seen1, np.log10(np.maximum(total1 + kinds1, 1)) - self.log1, _escape(total1, kinds1) + self.below1)
+
+    def _fill(self, block: dict[str, np.ndarray], key: np.ndarray, cost: np.ndarray) -> None:
+        """The costs of those keys whose context of two is in the block."""
+        at, known = _find(block["context2"], key >> 16)
+        mine = np.flatnonzero(known)
+        if not len(mine):
+            return
+        key, two = key[mine], at[mine]
+        at, hit = _find(block["key3"], key)
+        out = block["cost3"][at].astype(np.float64)
+        miss = np.flatnonzero(~hit)
+        key, two = key[miss], two[miss]
+        at, known = _find(block["context3"], key >> 8)
+        into, past = (np.where(known, block[f"{c}3"][at], block[f"{c}2"][two]) for c in ("into", "past"))
+        at, hit = _find(block["key2"], (key >> 16 << 8) | (key & 0xFF))
+        one, symbol = (key >> 16) & 0xFF, key & 0xFF
+        lower = past + np.where(self.seen1[one, symbol], block["into1"][two] - self.log1[one, symbol], block["past1"][two] + self.below1[one, symbol])
+        out[miss] = np.where(hit, into - block["log2"][at], lower)
+        cost[mine] = out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 of the probability of each text."""
         p, at = _padded(data, offsets)
-        node = self.child[(p[at - 2].astype(np.int32) << 8) | p[at - 1]]
-        row = self.rows.ravel()[node * 256 + p[at - 3]]
-        cost = self.costs.ravel()[row.astype(np.int64) * self.costs.shape[1] + self.symbol[data]]
-        sums = np.append(0.0, np.cumsum(cost, dtype=np.float64))
+        packed = np.arange(len(at), dtype=np.uint64)  # slices have less than 2 ** 32 bytes
+        for back, bit in ((2, 56), (1, 48), (3, 40), (0, 32)):
+            packed |= p[at - back].astype(np.uint64) << np.uint64(bit)
+        packed.sort()
+        place = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        every = (packed >> np.uint64(32)).astype(np.uint32)
+        first, which = _groups(every)
+        key = every[first]
+        each = self.cost1[(key >> 16) & 0xFF, key & 0xFF]
+        for block in self.blocks:
+            self._fill(block.value, key, each)
+            if len(self.blocks) > 1:
+                del block._value  # one block at a time
+        cost = np.empty(len(at))
+        cost[place] = each[which]
+        sums = np.append(0.0, np.cumsum(cost))
         return sums[offsets[:-1]] - sums[offsets[1:]]
 
 
+def _blocks(priced: DataFrame) -> list:
+    """Broadcasts of at most about BLOCK strings; the driver holds one of them at a time."""
+    out, held, size = [], [], 0
+
+    def send():
+        block = {c: np.concatenate([np.frombuffer(r[c], t) for r in held]) for c, t in PRICED.items()}
+        for by, columns in (("key3", ["cost3"]), ("context3", ["into3", "past3"]), ("key2", ["log2"]), ("context2", ["into2", "past2", "into1", "past1"])):
+            order = np.argsort(block[by])
+            block |= {c: block[c][order] for c in (by, *columns)}
+        out.append(priced.sparkSession.sparkContext.broadcast(block))
+
+    for row in priced.toLocalIterator():
+        held.append(row)
+        size += len(row["key3"]) // 4
+        if size >= BLOCK:
+            send()
+            held, size = [], 0
+    if held:
+        send()
+    return out
+
+
 def train(docs: DataFrame) -> Model:
     """``docs`` has ``text`` and ``held``; all rows that are not held out count."""
     grams = written(map_arrow(docs.select("text", "held"), _count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-
-    def rows(size: int, most: int | None) -> np.ndarray:
-        c = grams.groupBy((F.shiftright("gram", 8) % (1 << 8 * size)).alias("context"), (F.col("gram") % 256).alias("symbol")).agg(F.sum("n").alias("n"))
-        if most:
-            kept = c.groupBy("context").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "context").limit(most).select("context")
-            c = c.join(F.broadcast(kept), "context")  # at most ``most`` numbers
-        got = c.toPandas()
-        return got.to_numpy(np.int64).reshape(-1, 3)
-
-    return Model(rows(3, CONTEXTS_3), rows(2, CONTEXTS_2), rows(1, None))
+    n1 = np.zeros((256, 256))
+    for context, symbol, n in grams.groupBy((F.shiftright("gram", 8) % 256).alias("context"), (F.col("gram") % 256).alias("symbol")).agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        n1[context, symbol] = n
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_context = grams.select("gram", "n").repartition(parts, F.shiftright("gram", 8) % 65536)
+    return Model(n1, _blocks(written(map_arrow(by_context, _price(n1), ", ".join(f"{c} binary" for c in PRICED)))))
 
 
 def _send(model: Model, parts: int):

@@ -425,6 +425,41 @@ def test_lm_scores(docs, texts):
         assert math.isclose(r.score, -sum(cost(b[k - 3 : k], b[k]) for k in range(3, len(b))), rel_tol=1e-5, abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("block", [1 << 22, 20_000])
+def test_lm_keeps_every_context(spark, block, monkeypatch):
+    """More contexts than a fixed trie of 24,576 would hold, in one block and in several."""
+    import random
+
+    monkeypatch.setattr(ppm, "BLOCK", block)
+    monkeypatch.setattr(ppm, "CHUNK", block // 8)
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) if rng.random() < 0.7 else rng.choice("aeinrst ") for _ in range(900)) for _ in range(60)]
+    texts += [t[rng.randrange(100) :] for t in texts[:20]] + ["plain old text", "\x7f\x7f\x7f", "", None]
+    n = [defaultdict(Counter) for _ in range(4)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    padded = [b"\0\0\0" + (t or "").encode() for t in texts]
+    for b, h in zip(padded, held, strict=True):
+        for k in range(3, 0 if h else len(b)):
+            for o in range(4):
+                n[o][b[k - o : k]][b[k]] += 1
+    assert len(n[3]) > 24576 and any(held)
+
+    def cost(b, k):
+        spent, total = set(), 0.0
+        for o in (3, 2, 1, 0):
+            if free := {s: m for s, m in n[o].get(b[k - o : k], {}).items() if s not in spent}:
+                all_ = sum(free.values()) + len(free)
+                if b[k] in free:
+                    return total - math.log10(free[b[k]] / all_)
+                total -= math.log10(len(free) / all_)
+                spent |= set(free)
+        return total + math.log10(256 - len(spent))
+
+    got = rows(ppm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, b in enumerate(padded):
+        assert math.isclose(got[i].score, -sum(cost(b, k) for k in range(3, len(b))), rel_tol=1e-5, abs_tol=1e-9), i
+
+
 def test_lm_edges(clashing, empty, texts):
     assert ppm.scores(empty).count() == 0
     assert ppm.scores(clashing).count() == 2 * len(texts)
