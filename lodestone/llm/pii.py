@@ -22,7 +22,7 @@ from lodestone.llm._arrow import map_arrow
 KINDS = ("email", "ip", "card", "phone")
 #: The classifier is fitted on at most so many windows of the corpus, the first by hash.
 SAMPLE_WINDOWS = 1200
-#: Window length, the step between windows, and the context around a digit or @; every kind holds one of these.
+#: Window length, the step between windows, and the context around a digit, @ or a written at or dot; every kind holds one of these.
 WINDOW, STEP, CONTEXT = 96, 48, 32
 EMBED, HIDDEN, BATCH, STEPS, SEED = 12, 20, 32, 360, 7
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -34,7 +34,8 @@ _PATTERNS = {
     "card": re.compile(r"[0-9](?:[ -]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),
 }
-_TRIGGER = re.compile(r"[0-9@]")
+_WRITTEN = r"\((?:at|dot)\)|\[(?:at|dot)\]"
+_TRIGGER = re.compile(rf"[0-9@]|{_WRITTEN}")
 _WORDS = re.compile(r"[^@\s]*@[^\s]*")
 
 
@@ -225,7 +226,7 @@ def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows_of(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all stretches near a digit or @."""
+    """Overlapping windows over all stretches near a digit, @ or a written at or dot."""
     out, end = [], -1
     stretches: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
@@ -332,7 +333,8 @@ def train(docs: DataFrame) -> Tagger:
             found: list[tuple[int, str]] = []
             for text in batch.column(0).to_pylist():
                 if text and _TRIGGER.search(text):
-                    found += [(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=7).digest(), "big"), w) for w in (text[b:e] for b, e in windows_of(text))]
+                    # The patterns would label a written at or dot as no data.
+                    found += [(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=7).digest(), "big"), w) for w in (text[b:e] for b, e in windows_of(text)) if not re.search(_WRITTEN, w)]
             found = sorted(set(found))[:SAMPLE_WINDOWS]
             yield pa.RecordBatch.from_pydict({"h": pa.array([h for h, _ in found], pa.int64()), "w": pa.array([w for _, w in found], pa.string())})
 

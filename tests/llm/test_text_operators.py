@@ -305,6 +305,15 @@ def test_pii_model_adds_and_keeps(spark, tagger):
     assert {"email:5:12", "card:17:33"} <= set(got[3].split(","))
 
 
+def test_pii_written_addresses_without_digits(spark, tagger):
+    some = ["please write to john.smith[at]foo[dot]org soon", "write mary_jones(at)garden(dot)com about the letter", "a (note) at the [dot] of the house"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(some)], "doc_id long, text string, n_chars long")
+    got = [r.spans for r in pii.report(df, tagger).orderBy("doc_id").collect()]
+    assert got == ["email:16:41", "email:6:34", ""]
+    masks = [r.text for r in pii.clean(df, tagger).orderBy("doc_id").collect()]
+    assert masks[:2] == ["please write to <email> soon", "write <email> about the letter"] and masks[2] == some[2]
+
+
 def test_pii_long_text_windows(tagger):
     text = ("x" * 500 + " +1 (203) 555-8282 ") * 30
     base = pii.base_spans(text)
