@@ -38,7 +38,6 @@ _CODE = np.zeros(256, np.int32)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[128:] = 27
 _TAG = [np.uint64(0x9E3779B97F4A7C15 * k % 2**64) for k in range(1 + len(PREFIXES))]
-_PLAIN = re.compile(r"[^\W\d_]{2,}(?:[^\w\s]+[^\W\d_]{2,})+")
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -149,7 +148,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> tuple[
         word = low[a:b].tobytes().decode("utf-8", "replace")
         parts = [p.encode() for p in re.findall(r"[^\W\d_]{2,}", word)]
         more += [(d, p) for p in parts]
-        if not _PLAIN.fullmatch(word) and (out := restore(word)):
+        if out := restore(word):
             more.append((d, out.encode()))
     single = np.flatnonzero(plain & (e - s == 1) & (low[s] < 128))
     if len(single) > 2:  # letters spaced out over three or more chunks

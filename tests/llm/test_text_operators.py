@@ -247,6 +247,18 @@ def test_toxicity_accuracy_and_obfuscation(spark, toxic_rows):
     assert [r.text for r in scored if r.score >= 0.5] == hidden
 
 
+@pytest.fixture(scope="module")
+def toxic_model(toxic_rows):
+    return toxicity.train(*toxic_rows)
+
+
+def test_toxicity_joints_between_longer_chunks(spark, toxic_model):
+    hidden = ["house id!ot window", "you lo$er now", "such a mo.ron here", "wor+hless paper", "stu-pid story"]
+    plain = ["sum-mer gar.den", "letter-paper house", "win$dow story!silent"]
+    scored = toxicity.score(spark.createDataFrame([(t,) for t in hidden + plain], "text string"), toxic_model).collect()
+    assert [r.text for r in scored if r.score >= 0.5] == hidden
+
+
 def test_toxicity_edges(spark, docs, clashing, empty, toxic_rows, texts):
     labels = toxic_rows[1]
     assert toxicity.report(empty, labels).count() == 0
