@@ -32,6 +32,8 @@ N = 28  # boundary, a-z, bytes of other letters
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[[ord(c) for c in LEET if ord(c) < 128 and not c.isdigit()]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _CODE = np.zeros(256, np.int32)
@@ -70,16 +72,19 @@ class Restorer:
     def __init__(self, costs: np.ndarray, memory: int = 200_000):
         self.costs, self.memory, self.known = costs.tolist(), memory, {}
 
-    def __call__(self, word: str) -> str:
-        out = self.known.get(word)
+    def __call__(self, word: str, spaced: bool = False) -> str:
+        out = self.known.get((word, spaced))
         if out is None:
             if len(self.known) >= self.memory:
                 self.known.clear()
-            out = self.known[word] = self.decode(word)
+            out = self.known[word, spaced] = self.decode(word, spaced)
         return out
 
-    def decode(self, word: str) -> str:
-        """States are the last two letters; each has its cost and the letters so far, as a linked list."""
+    def decode(self, word: str, spaced: bool = False) -> str:
+        """States are the last two letters; each has its cost and the letters so far, as a linked list.
+
+        With ``spaced`` words may end between any two characters; a space stands there.
+        """
         costs = self.costs
         states = {(0, 0): (0.0, None)}
         run, before = 0, ""
@@ -105,6 +110,10 @@ class Restorer:
                         new[b, k] = (c, (x, back))
                 if drop is not None and ((held := new.get((a, b))) is None or cost + drop < held[0]):
                     new[a, b] = (cost + drop, back)
+            if spaced:
+                for (a, b), (cost, back) in list(new.items()):
+                    if b and ((held := new.get((b, 0))) is None or cost + costs[a][b][0] < held[0]):
+                        new[b, 0] = (cost + costs[a][b][0], (" ", back))
             states = new
         back = min(((cost + costs[a][b][0], back) for (a, b), (cost, back) in states.items()), key=lambda x: x[0])[1]
         out = []
@@ -114,6 +123,39 @@ class Restorer:
         return "".join(reversed(out))
 
 
+def _spaced_out(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, restore: Restorer) -> list[tuple[int, bytes]]:
+    """Restored words of three or more chunks in a row of one character each, whole and cut into words.
+
+    A chunk of decoration only does not count, but for a symbol that stands for
+    letters: a run with such symbols is read with and without them.
+    """
+    core = j > i
+    first, last = at[np.minimum(i, len(at) - 1)] if len(at) else starts, at[j - 1] + 1 if len(at) else ends
+    s, e = np.where(core, first, starts), np.where(core, last, ends)
+    heads = np.zeros(len(low) + 1, np.int64)
+    np.cumsum((low < 128) | (low >= 192), out=heads[1:])
+    one = heads[e] - heads[s] == 1
+    symbol = ~core & one & _SYMBOL[low[s]]
+    out: list[tuple[int, bytes]] = []
+    before: set[tuple[int, str]] = set()
+    for among in (core, core | symbol):
+        chunk = np.flatnonzero(among)
+        single = np.flatnonzero(one[chunk])
+        if len(single) < 3:
+            continue
+        cut = np.flatnonzero((np.diff(single) != 1) | (np.diff(doc[chunk[single]]) != 0)) + 1
+        bounds = np.concatenate(([0], cut, [len(single)]))
+        for k in np.flatnonzero(np.diff(bounds) > 2).tolist():
+            g = chunk[single[bounds[k] : bounds[k + 1]]]
+            d = int(doc[g[0]])
+            word = b"".join(low[a:b].tobytes() for a, b in zip(s[g].tolist(), e[g].tolist(), strict=True)).decode("utf-8", "replace")
+            if (d, word) in before or not any(c.isalpha() for c in word):
+                continue
+            before.add((d, word))
+            out += [(d, w.encode()) for w in {restore(word), *restore(word, True).split(" ")} if w]
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
     """Plain words as (documents, feature hashes by kind) and restored words as (document, bytes)."""
     low = LOWER[data]
@@ -133,6 +175,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> tuple[
     at = np.flatnonzero(core)
     i, j = np.searchsorted(at, starts), np.searchsorted(at, ends)
     keep = j > i
+    more = _spaced_out(low, starts, ends, doc, at, i, j, restore)
     i, j, doc = i[keep], j[keep], doc[keep]
     s, e = at[i], at[j - 1] + 1
     letters = np.zeros(n + 1, np.int64)
@@ -143,19 +186,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> tuple[
         np.cumsum(np.append([False, False], (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _LETTER[low[2:]]), out=triple[1:])
     odd = (n_letters > 0) & ((n_letters < e - s) | ((e - s > 2) & (triple[e] - triple[np.minimum(s + 2, e)] > 0)))
     plain = (n_letters == e - s) & ~odd
-    more: list[tuple[int, bytes]] = []
     for a, b, d in zip(s[odd].tolist(), e[odd].tolist(), doc[odd].tolist(), strict=True):
         word = low[a:b].tobytes().decode("utf-8", "replace")
         parts = [p.encode() for p in re.findall(r"[^\W\d_]{2,}", word)]
         more += [(d, p) for p in parts]
         if out := restore(word):
             more.append((d, out.encode()))
-    single = np.flatnonzero(plain & (e - s == 1) & (low[s] < 128))
-    if len(single) > 2:  # letters spaced out over three or more chunks
-        cut = np.flatnonzero((np.diff(single) != 1) | (np.diff(doc[single]) != 0)) + 1
-        for g in np.split(single, cut):
-            if len(g) > 2 and (out := restore(low[s[g]].tobytes().decode())):
-                more.append((int(doc[g[0]]), out.encode()))
     use = plain & (e - s > 2)
     s, e, doc = s[use], e[use], doc[use]
     h = Hasher(low)

@@ -259,6 +259,15 @@ def test_toxicity_joints_between_longer_chunks(spark, toxic_model):
     assert [r.text for r in scored if r.score >= 0.5] == hidden
 
 
+def test_toxicity_spaced_out_runs(spark, toxic_model):
+    hidden = ["house i d 1 0 t window", "window 1 d 1 o t", "paper i d ! o t house", "such a m o r o n here", "h o u s e i d i o t", "p a p e r m o r o n s t o r y", "m - o - r - o - n", "m | o | r | o | n"]
+    plain = ["such a g a r d e n here", "a b c", "1 2 3 4 5", "p a p e r s t o r y", "x | y | z"]
+    scored = toxicity.score(spark.createDataFrame([(t,) for t in hidden + plain], "text string"), toxic_model).collect()
+    assert [r.text for r in scored if r.score >= 0.5] == hidden
+    words = lambda t: [w.decode() for _, w in toxicity.words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), toxicity.Restorer(toxic_model.costs))[2]]
+    assert "größe" in words("die g r ö ß e hier") and words("") == words("! ! !") == []
+
+
 def test_toxicity_edges(spark, docs, clashing, empty, toxic_rows, texts):
     labels = toxic_rows[1]
     assert toxicity.report(empty, labels).count() == 0
