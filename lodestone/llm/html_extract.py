@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a flat tree.  Menus, forms, adverts and the like go by tag,
-role and the words of class and id.  Each paragraph gives points for its
+role and the words of class and id; such words do not count on what is around
+the article.  Each paragraph gives points for its
 length and commas to its ancestors, less with distance; a container's points
 are discounted by its link density; the best one and its fitting siblings are
 kept.
@@ -39,33 +40,36 @@ IMPLIED = {
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id that name what is not the article.
 UNLIKELY = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus disclaimer footer foot gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion recommended related replies respond rss share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar tooltip widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer foot gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion recommended related replies respond rss share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar tooltip widget widgets".split()
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 KEEPS = frozenset("html body article main".split())
 #: Levels that a paragraph's points reach; the share of the best score, and the length without links, by which a sibling is kept.
 LEVELS, SIBLING_SHARE, SIBLING_LENGTH = 5, 0.2, 80
+#: How many times the points of the text outside an element must hold that class or id names as unlikely, to stay without an article or main in it.
+UNLIKELY_WEIGHT = 4
 
 
-def _unlikely(tag: str, raw: str) -> bool:
+def _unlikely(tag: str, raw: str) -> tuple[bool, bool]:
+    """Whether an element is hidden or has a role besides the article, and whether its class or id is unlikely."""
     if not raw or raw.isspace():
-        return False
+        return False, False
+    named = False
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         name = name.lower()
         value = a or b or c
         if name in ("class", "id"):
-            if tag not in KEEPS and any(w.lower() in UNLIKELY for w in _WORD.findall(value)):
-                return True
+            named = named or any(w.lower() in UNLIKELY for w in _WORD.findall(value))
         elif name == "role" and value.lower() in ROLES or name == "hidden" and tag not in KEEPS or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
 class Page:
     """Nodes in page order with their parents, and text pieces with their node and block number."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.gone = ["html"], [-1], [False]
+        self.tag, self.parent, self.gone, self.named = ["html"], [-1], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []
         stack, block, at, n = [0], 0, 0, len(source)
         low = None
@@ -112,10 +116,12 @@ class Page:
             if name == "br":
                 self.pieces.append((stack[-1], block, " "))
             parent = stack[-1]
-            gone = self.gone[parent] or name in RAW or name in GONE and not (name == "header" and inside_article) or _unlikely(name, raw)
+            hidden, named = _unlikely(name, raw)
+            gone = self.gone[parent] or name in RAW or name in GONE and not (name == "header" and inside_article) or hidden
             self.tag.append(name)
             self.parent.append(parent)
             self.gone.append(gone)
+            self.named.append(named)
             if name in RAW:
                 if not raw.endswith("/"):
                     low = low if low is not None else source.lower()
@@ -137,17 +143,51 @@ class Page:
                 return
 
 
+def _without_unlikely(page: Page, link: list[bool]) -> list[bool]:
+    """Which nodes go, with those of unlikely class or id but for what holds the article."""
+    tag, parent, n = page.tag, page.parent, len(page.tag)
+    unlikely = [page.named[i] and tag[i] not in KEEPS for i in range(n)]
+    if not any(unlikely):
+        return page.gone
+    near = [0] * n
+    points = [0.0] * n  # of each node without the unlikely ones in it
+    for i in range(1, n):
+        near[i] = i if unlikely[i] else near[parent[i]]
+    for node, _, raw in page.pieces:
+        if not page.gone[node] and not link[node]:
+            text = raw.strip()
+            points[node] += len(text) / 100 + text.count(",") + text.count("，") + text.count("、")
+    for i in range(n - 1, 0, -1):
+        if not unlikely[i]:
+            points[parent[i]] += points[i]
+    article = max((i for i in range(1, n) if tag[i] in ("article", "main") and not page.named[i] and not page.gone[i]), key=points.__getitem__, default=0)
+    holder = 0
+    if near[article] and points[article] > points[0]:
+        holder = near[article]
+    elif not article or near[article] or points[article] < 1:  # no article of a paragraph's length stands outside
+        best = max((i for i in range(1, n) if unlikely[i]), key=points.__getitem__)
+        holder = best if points[best] > UNLIKELY_WEIGHT * points[0] else 0
+    while holder:
+        unlikely[holder] = False
+        holder = near[parent[holder]]
+    gone = list(page.gone)
+    for i in range(1, n):
+        gone[i] = gone[i] or gone[parent[i]] or unlikely[i]
+    return gone
+
+
 def extract(source: str | None) -> str:
     """The article's blocks, joined by empty lines; empty if there are none."""
     if not source:
         return ""
     page = Page(source)
-    tag, parent, gone = page.tag, page.parent, page.gone
+    tag, parent = page.tag, page.parent
     n = len(tag)
     owner, link = [0] * n, [False] * n
     for i in range(1, n):
         owner[i] = i if tag[i] in BLOCK else owner[parent[i]]
         link[i] = tag[i] == "a" or link[parent[i]]
+    gone = _without_unlikely(page, link)
     blocks: list[list] = []  # owner, node pieces
     last = None
     for node, block, raw in page.pieces:
@@ -188,11 +228,13 @@ def extract(source: str | None) -> str:
                 density = linked_length[i] / length[i]
                 if final[i] >= max(10, SIBLING_SHARE * final[best]) or tag[i] == "p" and length[i] > SIBLING_LENGTH and density < 0.25 or tag[i] in ("h1", "h2") and density < 0.5:
                     kept.add(i)
-    inside, dense = [False] * n, [False] * n
+    inside, dense, marked = [False] * n, [False] * n, [False] * n
+    mark = "article" if any(tag[i] == "article" and length[i] for i in range(n)) else "main"
     for i in range(n):
         up = parent[i]
         inside[i] = i in kept or up >= 0 and inside[up]
-        dense[i] = up >= 0 and dense[up] or i not in kept and tag[i] in ("ul", "ol", "div", "section", "table", "dl") and length[i] > 0 and linked_length[i] > 0.5 * length[i]
+        marked[i] = tag[i] == mark or up >= 0 and marked[up]  # lists of links within the article are its own
+        dense[i] = up >= 0 and dense[up] or i not in kept and not marked[i] and tag[i] in ("ul", "ol", "div", "section", "table", "dl") and length[i] > 0 and linked_length[i] > 0.5 * length[i]
     return "\n\n".join(text for own, text, _ in found if inside[own] and not dense[own])
 
 

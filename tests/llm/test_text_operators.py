@@ -408,6 +408,25 @@ def test_html_extraction():
     assert html_extract.extract('<p>a < b and <a title="x > y">c</a></p>') == "a < b and c"
 
 
+def test_html_unlikely_names_around_the_article():
+    story = "<p>A first paragraph, with commas, and enough words to be the text of a page.</p><p>A second one, which goes on, and on, for a while.</p>"
+    want = "A first paragraph, with commas, and enough words to be the text of a page.\n\nA second one, which goes on, and on, for a while."
+    for page in (
+        f"<div class='layout has-sidebar'><article>{story}</article><div class='sidebar'><p>Other, stories, here.</p></div></div>",
+        f"<div id='post-and-comments'><div>{story}</div><div class='comments'><p>Great, really.</p></div></div>",
+        f"<div class='has-sidebar'><div class='content share-enabled'>{story}<div class='share'>Share this</div></div></div><p>Contact</p>",
+        f"<main><div class='content share-enabled'>{story}</div></main><div class='ad'>Buy, now</div>",
+        f"<div class='post'>{story}</div><div class='related'><article><p>Teaser, short.</p></article></div>",
+        f"<article>{story}</article><div id='comments'><article class='comment'>{story}{story}{story}</article></div>",
+    ):
+        assert html_extract.extract(page) == want, page
+
+
+def test_html_keeps_the_articles_own_links_and_byline():
+    page = "<ul><li><a href=/>Home page</a></ul><article><h1>Title</h1><div class='byline'>By A. Writer</div><p>Some text, with commas, and more of it, to be the article.</p><section><ol><li><a href=a>First reference</a><li><a href=b>Second reference</a></ol></section><table><tr><td><a href=c>Linked cell</a></table></article>"
+    assert html_extract.extract(page) == "Title\n\nBy A. Writer\n\nSome text, with commas, and more of it, to be the article.\n\nFirst reference\n\nSecond reference\n\nLinked cell"
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.report(pages).collect()) == [(1, "x", 1), (1, "x", 1), (2, "", 0)]
