@@ -7,6 +7,7 @@ array with document offsets, so no Python object is made per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 #: ASCII lower-casing of bytes; other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -122,21 +121,6 @@ def document_of(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(places, offsets)))
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... modulo 2 ** 64, at least n of them."""
-    held = _powers.get(base)
-    if held is None or len(held) < n:
-        held = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        held[0] = 1
-        held = np.multiply.accumulate(held)
-        if len(held) <= 2 * SLICE_BYTES:
-            _powers[base] = held
-    return held
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = h ^ (h >> np.uint64(30))
@@ -146,20 +130,92 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Spans longer than this are hashed and compared one by one, as bytes.
+LONG = 1024
+_KEEP = np.array([(1 << 8 * r) - 1 for r in range(9)], np.uint64)
+
+
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 class Hasher:
-    """64-bit hashes of any substrings of a byte array, by prefix sums of a polynomial."""
+    """64-bit hashes of any substrings of a byte array.
+
+    A chain of splitmix64 over words of 8 bytes, begun with the length; long
+    spans take BLAKE2.  It is not linear, so no rule makes unlike texts agree,
+    but equal hashes prove nothing: ``distinct_spans`` and ``same_spans``
+    compare the bytes.
+    """
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.sums = np.zeros(n + 1, np.uint64)
-        terms = data.astype(np.uint64)
-        terms += np.uint64(1)
-        terms *= powers(_BASE, n + 1)[:n]
-        np.cumsum(terms, out=self.sums[1:])
-        self.inverse = powers(_INVERSE, n + 1)
+        self.data, self.words = data, words_at(data)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        size = ends - starts
+        h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        if len(size):
+            h = mix(h ^ (self.words[starts] & _KEEP[np.minimum(size, 8)]))
+        live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(live):
+            h[live] = mix(h[live] ^ (self.words[starts[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]))
+            at += 8
+            live = live[size[live] > at]
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return h
+
+    def windows(self, width: int) -> np.ndarray:
+        """Hashes of the ``width`` bytes, a multiple of 8, from each byte on."""
+        n = len(self.data) - width + 1
+        h = np.full(n, np.uint64(width * 0x9E3779B97F4A7C15 % 2**64))
+        for k in range(0, width, 8):
+            h = mix(h ^ self.words[k : k + n])
+        return h
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of ``a`` are those of the span of ``b`` of the same length."""
+    x = words_at(a)
+    y = x if a is b else words_at(b)
+    out = ((x[a_starts] ^ y[b_starts]) & _KEEP[np.minimum(size, 8)]) == 0
+    live, at = np.flatnonzero(out & (size > 8) & (size <= LONG)), 8
+    while len(live):
+        same = ((x[a_starts[live] + at] ^ y[b_starts[live] + at]) & _KEEP[np.minimum(size[live] - at, 8)]) == 0
+        out[live[~same]] = False
+        at += 8
+        live = live[same]
+        live = live[size[live] > at]
+    for i in np.flatnonzero(out & (size > LONG)).tolist():
+        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + size[i]], b[b_starts[i] : b_starts[i] + size[i]])
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(one, which): a span of each distinct text, and for each span the number of its text.
+
+    Spans are grouped by hash and compared by bytes; where unlike texts share a
+    hash, the later ones get numbers of their own at the end.
+    """
+    h = Hasher(data)(starts, ends) if hashes is None else hashes
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    size = ends - starts
+    first = one[which]
+    apart = np.flatnonzero((size != size[first]) | ~same_spans(data, starts, data, starts[first], np.minimum(size, size[first])))
+    if len(apart):
+        own: dict[bytes, int] = {}
+        more: list[int] = []
+        for i in apart.tolist():
+            text = data[starts[i] : ends[i]].tobytes()
+            if text not in own:
+                own[text] = len(one) + len(more)
+                more.append(i)
+            which[i] = own[text]
+        one = np.append(one, more)
+    return one, which
 
 
 def hash_strings(words: list[bytes]) -> np.ndarray:

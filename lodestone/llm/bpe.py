@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a two-tier lookup.
 
 Texts are cut into pre-tokens on whole arrays.  A minimal perfect hash over
-the vocabulary resolves the pre-tokens that are tokens themselves; the others
-are merged by a heap over linked bytes, once per distinct pre-token and
-worker memory.
+the vocabulary resolves the pre-tokens that are tokens themselves, which their
+bytes confirm; the others are merged by a heap over linked bytes, once per
+distinct pre-token and worker memory.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm._arrow import Hasher, binaries, hash_strings, map_arrow, mix, slices_by, spread, text_slices
+from lodestone.llm._arrow import Hasher, binaries, distinct_spans, hash_strings, map_arrow, mix, same_spans, slices_by, spread, text_slices
 
 #: Bytes of text handled at once, and pre-tokens remembered by a worker.
 SLICE, MEMORY = 2 << 20, 300_000
@@ -149,7 +149,6 @@ class Vocabulary:
         tokens = sorted(self.ranks, key=self.ranks.get)
         self.ids = np.array([self.ranks[t] for t in tokens], np.uint32)
         self.table = PerfectHash(h := hash_strings(tokens))
-        self.at = np.zeros(len(tokens), np.int64)
         slot = self.table(h)
         self.id_of_slot = np.zeros(len(tokens), np.uint32)
         self.id_of_slot[slot] = self.ids
@@ -196,9 +195,11 @@ class Vocabulary:
         h = Hasher(data)(starts, ends)
         slot = self.table(h)
         hit = (self.table.keys[slot] == h) & (self.size_of_slot[slot] == ends - starts)
+        maybe = np.flatnonzero(hit)
+        hit[maybe] = same_spans(data, starts[maybe], self.blob, self.start[self.id_of_slot[slot[maybe]]], (ends - starts)[maybe])
         counts = np.ones(len(starts), np.int64)
         miss = np.flatnonzero(~hit)
-        _, one, which = np.unique(h[miss], return_index=True, return_inverse=True)
+        one, which = distinct_spans(data, starts[miss], ends[miss], h[miss])
         memory, flat, sizes = self.memory, [], []
         text = data.tobytes()
         for s, e in zip(starts[miss[one]].tolist(), ends[miss[one]].tolist(), strict=True):

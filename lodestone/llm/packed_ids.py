@@ -3,8 +3,9 @@
 Each id takes the least number of bits that the vocabulary needs.  Ids lie in
 groups of 64, so that a group fills whole 64-bit words: arrays are packed and
 unpacked in numpy, and id k is read from group k // 64 alone.  A file is a
-Parquet container of blocks; a block holds consecutive documents, their ids'
-offsets, and the words.  Blocks follow ascending doc_id.
+Parquet container of blocks; a block holds consecutive documents, the least and
+greatest of their ids, their offsets, and the words.  Blocks follow ascending
+doc_id, so a document is found by the blocks' bounds.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._arrow import IS_SPACE, LOWER, Hasher, binaries, document_of, map_arrow, runs, slices_by, spread, text_slices
+from lodestone.llm._arrow import IS_SPACE, LOWER, binaries, distinct_spans, document_of, map_arrow, runs, slices_by, spread, text_slices
 from lodestone.llm._shared import shared_folder
 from lodestone.llm.bpe import LETTER, NUMBER, OTHER, char_classes, characters
 
 #: Ids in a block at least (but for the last of a part), text bytes handled at once, and units remembered by a worker.
 BLOCK_IDS, SLICE, MEMORY = 1 << 20, 2 << 20, 1_200_000
 END_ID = 1
-BLOCK_SCHEMA = "part int, block int, first long, bits int, doc_ids array<long>, ends array<long>, words binary"
+#: Bytes of a file that a look-up reads at least: a row group has a few blocks.
+ROW_GROUP = 8 << 20
+BLOCK_SCHEMA = "part int, block int, first long, bits int, low long, high long, doc_ids array<long>, ends array<long>, words binary"
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -155,7 +158,7 @@ class WordEncoder:
         starts, ends, doc = self.units(low, offsets)
         n_docs = len(offsets) - 1
         memory, flat = self.memory, []
-        _, one, which = np.unique(Hasher(low)(starts, ends), return_index=True, return_inverse=True)
+        one, which = distinct_spans(low, starts, ends)
         text = low.tobytes()
         pieces = [text[s:e] for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
         if len(memory) > MEMORY:
@@ -211,7 +214,11 @@ def _blocks(bits: int):
         def flush():
             nonlocal total
             words = pack(np.concatenate(ids) if ids else np.empty(0, np.uint32), bits)
-            row = {"part": pa.array([state["part"]], pa.int32()), "block": pa.array([state["block"]], pa.int32()), "first": pa.array([state["first"]], pa.int64()), "bits": pa.array([bits], pa.int32()), "doc_ids": pa.array([docs[:]], pa.list_(pa.int64())), "ends": pa.array([ends[:]], pa.list_(pa.int64())), "words": pa.array([words.astype("<u8").tobytes()], pa.binary())}
+            known = [d for d in docs if d is not None] or [None]
+            row = {
+                "part": pa.array([state["part"]], pa.int32()), "block": pa.array([state["block"]], pa.int32()), "first": pa.array([state["first"]], pa.int64()), "bits": pa.array([bits], pa.int32()), "low": pa.array(known[:1], pa.int64()), "high": pa.array(known[-1:], pa.int64()),
+                "doc_ids": pa.array([docs[:]], pa.list_(pa.int64())), "ends": pa.array([ends[:]], pa.list_(pa.int64())), "words": pa.array([words.astype("<u8").tobytes()], pa.binary()),
+            }
             state["block"] += 1
             state["first"] += total
             ids.clear(), docs.clear(), ends.clear()
@@ -263,7 +270,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, parts: int |
 
     rows = map_arrow(docs.select("doc_id", "text"), run, "part int, doc_id long, ids binary")
     rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    map_arrow(rows, _blocks(bits), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    map_arrow(rows, _blocks(bits), BLOCK_SCHEMA).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return bits
 
 
@@ -297,11 +304,13 @@ def _read(spark: SparkSession, path: str, of_ids, column: str, kind: pa.DataType
 
 
 def document(spark: SparkSession, path: str, doc_id: int) -> list[int]:
-    """The ids of one document, from its block alone."""
-    for row in spark.read.schema(BLOCK_SCHEMA).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id))).collect():
-        k = row["doc_ids"].index(doc_id)
-        return unpack(np.frombuffer(row["words"], "<u8"), row["bits"], row["ends"][k - 1] if k else 0, row["ends"][k]).tolist()
-    raise KeyError(doc_id)
+    """The ids of one document (the first of those with this id): Parquet leaves out row groups whose bounds exclude it, and only its groups of words are unpacked."""
+    near = spark.read.schema(BLOCK_SCHEMA).parquet(path).where((F.col("low") <= doc_id) & (F.col("high") >= doc_id)).where(F.array_contains("doc_ids", F.lit(doc_id)))
+    row = near.orderBy("part", "block").first()
+    if row is None:
+        raise KeyError(doc_id)
+    k = row["doc_ids"].index(doc_id)
+    return unpack(np.frombuffer(row["words"], "<u8"), row["bits"], row["ends"][k - 1] if k else 0, row["ends"][k]).tolist()
 
 
 def report(docs: DataFrame) -> DataFrame:
