@@ -10,10 +10,15 @@ documents have:
    answer with a bit for each that another slice has too;
 3. slices send the distinct segments around shared minimizers, once each
    whatever the number of documents that hold it;
-4. each partition sorts the suffixes of its segments (to 50 bytes) and takes,
-   for every suffix, the previous and next one of a smaller document: if the
-   longer common prefix of both reaches 50, the position has an earlier match;
+4. each partition keeps segments of equal bytes once, sorts the suffixes (to
+   50 bytes) that may occur in several, and takes, for every suffix, the
+   previous and next one of a smaller document in suffix order with their
+   common prefixes: if the longer one, the longest previous factor, reaches 50,
+   the position has an earlier match;
 5. slices cover the marked strings and cut them out.
+
+Hashes only choose what is compared: equal segments and equal strings are
+settled by their bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._arrow import Hasher, map_arrow, mix, release, slices_by, spread, text_slices
+from lodestone.llm._arrow import Hasher, distinct_spans, map_arrow, mix, release, slices_by, spread, text_slices
 from lodestone.llm._shared import written
 
 #: Bytes of text in a slice; its compressed row stays below the size from which a JVM keeps objects apart.
@@ -68,8 +73,7 @@ class Anchors:
             self.distinct, self.which = np.empty(0, np.uint64), np.empty(0, np.int64)
             self.doc, self.inside = self.at, np.empty(0, bool)
             return
-        place = np.arange(n - PIECE + 1)
-        self.h = Hasher(data)(place, place + PIECE)
+        self.h = Hasher(data).windows(PIECE)
         least = slide(self.h, SPAN, np.minimum)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.int32)
         self.inside = doc[: len(least)] == doc[LENGTH - 1 : LENGTH - 1 + len(least)]
@@ -209,9 +213,9 @@ def _cut(parts: int):
                 which, begin, n, doc = a.segments(shared)
                 if not len(begin):
                     continue
-                text = Hasher(a.data)(begin, begin + n + LENGTH - 1)
-                order = np.lexsort((ids[doc], text, n, which))
-                new = np.append(True, (which[order][1:] != which[order][:-1]) | (n[order][1:] != n[order][:-1]) | (text[order][1:] != text[order][:-1]))
+                _, text = distinct_spans(a.data, begin, begin + n + LENGTH - 1)
+                order = np.lexsort((ids[doc], text, which))  # equal texts have one minimizer
+                new = np.append(True, text[order][1:] != text[order][:-1])
                 group = np.empty(len(order), np.int64)
                 group[order] = np.cumsum(new) - 1
                 first = order[new]  # of least id
@@ -230,33 +234,59 @@ def _cut(parts: int):
     return run
 
 
-def earlier_matches(text: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each suffix (begun at ``starts``, 50 bytes long), whether its longest previous factor has 50 bytes.
+def _nearest_smaller(owner: np.ndarray, lcp: np.ndarray, enough: int) -> np.ndarray:
+    """For each place the common prefix with the nearest place before it of a smaller owner; 0 where it is under ``enough``.
 
-    Suffixes are sorted; where neighbours agree in 50 bytes they form a run,
-    in which the previous or the next suffix of a smaller owner, if there is
-    one, has a common prefix of 50 bytes with it.
+    ``lcp`` has the common prefix with the place before.  All that stands
+    between a place and the one it points at has no smaller owner, so a
+    pointer may follow the pointer of where it points; all jump at once.
+    """
+    to, common = np.arange(len(owner)) - 1, lcp.copy()
+    live = np.flatnonzero(common >= enough)
+    while True:
+        live = live[owner[to[live]] >= owner[live]]
+        if not len(live):
+            break
+        through = to[live]
+        to[live], common[live] = to[through], np.minimum(common[live], common[through])
+        common[live[to[live] < 0]] = 0
+        live = live[common[live] >= enough]
+    return np.where(common >= enough, common, 0)
+
+
+def longest_previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each suffix (begun at ``starts``, read to 50 bytes) its longest common prefix with one of a smaller owner, if that has 50 bytes, else 0.
+
+    The suffixes are sorted; the longest is the longer one of those with the
+    previous and the next suffix of a smaller owner in that order.
     """
-    if not len(starts):
-        return np.empty(0, bool)
+    n = len(starts)
+    if not n:
+        return np.empty(0, np.int64)
     words = []
     for k in range(0, LENGTH, 8):
-        word = np.zeros(len(starts), np.uint64)
+        word = np.zeros(n, np.uint64)
         for j in range(k, k + 8):
             word <<= np.uint64(8)
             if j < LENGTH:
                 word |= text[j:][starts]
         words.append(word)
     order = np.lexsort(words[::-1])
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for w in words:
-        s = w[order]
-        new[1:] |= s[1:] != s[:-1]
-    run = np.flatnonzero(new)
-    least = np.minimum.reduceat(owner[order], run)
-    out = np.empty(len(order), bool)
-    out[order] = owner[order] > np.repeat(least, np.diff(np.append(run, len(order))))
+    lcp, alike = np.zeros(n + 1, np.int64), np.ones(n - 1, bool)  # with the one before; the end has none
+    for k, word in enumerate(words):
+        s = word[order]
+        differs = s[1:] ^ s[:-1]
+        zeros = np.zeros(n - 1, np.int64)  # leading bytes that agree
+        for j in range(1, 9):
+            zeros += (differs >> np.uint64(64 - 8 * j)) == 0
+        lcp[1:n] += np.where(alike, zeros, 0)
+        alike &= differs == 0
+    np.minimum(lcp, LENGTH, out=lcp)
+    mine = owner[order]
+    before = _nearest_smaller(mine, lcp[:n], LENGTH)
+    after = _nearest_smaller(mine[::-1], lcp[:0:-1], LENGTH)[::-1]
+    out = np.empty(n, np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -278,43 +308,28 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = n + LENGTH - 1
     begin = slices_by(size)[:-1]
     # Equal segments of several slices are one suffix family; the least owner stands for all.
-    blocks = slices_by(np.array([r["n"] for r in rows]))
-    base = begin[np.minimum(blocks[:-1], len(begin) - 1)]
-    bound = np.append(base, len(text))
-    h = np.empty(len(n), np.uint64)
-    for i in range(len(rows)):  # one slice's text at a time
-        x, y = blocks[i], blocks[i + 1]
-        h[x:y] = Hasher(text[bound[i] : bound[i + 1]])(begin[x:y] - base[i], begin[x:y] - base[i] + size[x:y])
-    order = np.lexsort((owner, h))
-    new = np.append(True, h[order][1:] != h[order][:-1])
-    first = order[new]
-    family = np.empty(len(order), np.int64)
-    family[order] = np.cumsum(new) - 1
+    _, family = distinct_spans(text, begin, begin + size)
+    order = np.lexsort((owner, family))
+    first = order[np.append(True, family[order][1:] != family[order][:-1])]
     marks = np.zeros(len(first), np.uint64)
-    first.sort()
-    family = np.searchsorted(first, order[new])[family]
     some, begin_, owner_ = n[first], begin[first], owner[first]
     starts = spread(begin_, some)
     # A string can only repeat in another family if its 64-bit hash does; the suffixes of these are sorted.
-    g = np.empty(len(starts), np.uint64)
-    at = np.searchsorted(starts, bound)
-    for i in range(len(rows)):
-        mine = starts[at[i] : at[i + 1]] - base[i]
-        g[at[i] : at[i + 1]] = Hasher(text[bound[i] : bound[i + 1]])(mine, mine + LENGTH)
+    g = Hasher(text)(starts, starts + LENGTH)
     s = np.sort(g)
     twice = np.unique(s[1:][s[1:] == s[:-1]])
     if len(twice):
         at = np.minimum(np.searchsorted(twice, g), len(twice) - 1)
         sel = np.flatnonzero(twice[at] == g)
         of = np.repeat(np.arange(len(first)), some)[sel]
-        hit = earlier_matches(text, starts[sel], owner_[of])
+        hit = longest_previous_factors(text, starts[sel], owner_[of]) >= LENGTH
         of, sel = of[hit], sel[hit]
         bit = starts[sel] - begin_[of]
         np.bitwise_or.at(marks, of, np.uint64(1) << bit.astype(np.uint64))
     full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
     mask = np.where(owner > owner_[family], full, marks[family])
     at = 0
-    del text, starts, g, s, h, order, new, begin, size
+    del text, starts, g, s, order, begin, size
     release()
     for i in range(0, len(rows), 128):
         out = []

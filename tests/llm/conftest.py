@@ -36,7 +36,7 @@ def clashing(docs):
     """The same rows with columns called as the operators' own, twice over."""
     from pyspark.sql import functions as F
 
-    extra = ["n", "bands", "f1", "rep", "bucket", "score", "held", "_toxicity", "hit_items", "n_words", "hit_spans", "token_ids", "component_id", "kept", "part", "slice", "task", "ids", "spans", "html", "a", "b", "labels"]
+    extra = ["n", "bands", "f1", "rep", "bucket", "score", "held", "_toxicity", "matches", "n_words", "hit_spans", "token_ids", "component_id", "kept", "part", "slice", "task", "ids", "spans", "html", "a", "b", "labels"]
     both = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(extra)))
     return both.unionAll(both)
 

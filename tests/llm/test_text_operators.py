@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodestone.llm import bpe, decontaminate, html_extract, minhash, packed_ids, pii, ppm, suffix_dedup, toxicity
+from lodestone.llm import _arrow, bpe, decontaminate, html_extract, minhash, packed_ids, pii, ppm, suffix_dedup, toxicity
 
 WS = "[^\x20\x09-\x0D]+"
 
@@ -376,12 +376,12 @@ def brute_hits(texts, items):
 
 @pytest.mark.parametrize("block", [1 << 24, 300])
 def test_decontamination(spark, docs, clashing, texts, block, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
     long = [t for t in texts if t and 30 < len(t.split()) < 200]
     items = [(1, " ".join(long[0].split()[3:17])), (2, long[1].upper()), (3, "two   WORDS"), (4, None), (5, ""), (6, long[0]), (10, "never seen words " * 5), (11, "!!!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = rows(decontaminate.report(docs, bench))
-    assert [tuple(got[i])[1:] for i in range(len(texts))] == list(brute_hits(texts, items))
+    assert [tuple(got[i])[1:6] for i in range(len(texts))] == list(brute_hits(texts, items))
     left = decontaminate.clean(clashing, bench)
     assert left.columns == clashing.columns and left.count() == 2 * sum(not r.contaminated for r in got.values())
 
@@ -523,3 +523,92 @@ def test_null_ids_and_columns(spark, tagger):
         assert sorted(r.doc_id or 0 for r in out.select("doc_id").collect()) == [0, 1, 1, 2]
     for out in (toxicity.clean(df, labels), minhash.clean(df), decontaminate.clean(df, bench), pii.clean(df, tagger)):
         assert out.columns == df.columns and out.count() >= 1
+
+
+# Texts that a hash takes for equal
+
+
+def thue_morse(n):
+    """A word and its complement, which a polynomial modulo 2 ** 64 takes for equal whatever its base."""
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_unlike_texts_of_equal_hash(spark, monkeypatch, tiktoken_encoding):
+    """Thue-Morse words, and all hashes forced onto a few values: bytes decide."""
+    p, q = thue_morse(2048)
+    some = [p, q, f"{p} x", f"{q} x", f"one two {p} three", f"one two {q} three", "one two three four five six seven eight nine ten eleven twelve", "two one three four five six seven eight nine ten eleven"]
+    raw = [t.encode() for t in some]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+    items = [("7", f"three {p} five"), ("8", q), ("9", "three four five six seven eight nine ten eleven twelve")]
+    for forced in (False, True):
+        if forced:
+            monkeypatch.setattr(_arrow.Hasher, "__call__", lambda self, s, e: (np.asarray(e - s) % 3).astype(np.uint64))
+        ids, cut = bpe.Vocabulary.encode(bpe.vocabulary(bpe.default_path()), data, offsets)
+        e = packed_ids.encoder(packed_ids.default_path())
+        e.memory.clear()
+        packed, at = e.encode(data, offsets)
+        for i, t in enumerate(some):
+            assert forced or ids[cut[i] : cut[i + 1]].tolist() == tiktoken_encoding.encode_ordinary(t)
+            assert packed[at[i] : at[i + 1]].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        low, s, f, doc = decontaminate.words_of(data, offsets)
+        test = decontaminate.TestSuffixes(items)
+        number = test.numbers(low, s, f)
+        words = [data[a:b].tobytes().decode() for a, b in zip(s, f)]
+        known = {w for _, t in items for w in t.split()}
+        assert [n >= 0 for n in number] == [w in known for w in words] and len({(n, w) for n, w in zip(number, words) if n >= 0}) == len(set(words) & known)
+        one, which = _arrow.distinct_spans(data, s, f)
+        assert [words[one[k]] for k in which] == words
+    monkeypatch.undo()
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    bench = spark.createDataFrame([(int(i), t) for i, t in items], "item_id long, text string")
+    got = rows(decontaminate.report(df, bench))
+    assert [tuple(got[i])[1:6] for i in range(len(some))] == list(brute_hits(some, items))
+    got = rows(minhash.near_duplicates(df, 2))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(list(enumerate(some)), 2)
+    got = rows(bpe.round_trip(df))
+    assert all(got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(some))
+    got = rows(ppm.scores(df))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(some))]
+    c = Counter(w for i, t in enumerate(some) if not held[i] for w in t.split())
+    assert [got[i].n_known for i in range(len(some))] == [sum(c[w] > 0 for w in t.split()) + 1 for t in some]
+
+
+def test_longest_previous_factors():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(20):
+        text = "".join(rng.choice(["ab", "a", "b" * 20, "a" * 30, "ab" * 25]) for _ in range(40)).encode()
+        starts = np.array(sorted(rng.sample(range(len(text) - 49), min(120, len(text) - 49))))
+        owner = np.array([rng.randrange(6) for _ in starts])
+        want = [50 * any(owner[j] < owner[i] and text[starts[j] : starts[j] + 50] == text[starts[i] : starts[i] + 50] for j in range(len(starts))) for i in range(len(starts))]
+        assert suffix_dedup.longest_previous_factors(np.frombuffer(text, np.uint8), starts, owner).tolist() == want
+
+
+def test_suffix_dedup_by_bytes(spark, monkeypatch):
+    """Equal hashes of segments and strings prove nothing."""
+    import random
+
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abc ") for _ in range(rng.randrange(30, 90))) for _ in range(8)]
+    pairs = [(i, "".join(rng.choice(pool) for _ in range(rng.randrange(0, 5)))) for i in range(40)]
+    p, q = thue_morse(1024)
+    pairs += [(40, p), (41, q), (42, p + "z")]
+    want = brute_passages(pairs)
+    got = rows(suffix_dedup.report(spark.createDataFrame(pairs, "doc_id long, text string")))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
+    # One slice, its steps called here with hashes of three values.
+    monkeypatch.setattr(_arrow.Hasher, "__call__", lambda self, s, e: (self.data[s] % 3).astype(np.uint64))
+    data = np.frombuffer(b"".join(t.encode() for _, t in pairs), np.uint8)
+    sizes = np.array([len(t.encode()) for _, t in pairs])
+    import pyarrow as pa
+
+    row = {"task": 0, "slice": 0, "ids": np.arange(len(pairs)).astype("<i8").tobytes(), "no_id": bytes(len(pairs)), "offsets": np.append(0, np.cumsum(sizes)).astype("<i8").tobytes(), "text": suffix_dedup._squeeze(data.tobytes())}
+    packed = pa.Table.from_pylist([row])
+    asked = [r for b in suffix_dedup._ask(2)(iter(packed.to_batches())) for r in b.to_pylist()]
+    replies = [r for part in (0, 1) for b in suffix_dedup._answer(iter(pa.Table.from_pylist([r for r in asked if r["part"] == part]).to_batches())) for r in b.to_pylist()]
+    cut = suffix_dedup._cut(2)(packed, pa.Table.from_pylist(replies))
+    answers = [b for part in (0, 1) for b in suffix_dedup._match(iter(pa.Table.from_pylist([r for r in cut.to_pylist() if r["part"] == part], schema=cut.schema).to_batches()))]
+    got = suffix_dedup._remove(False)(packed, pa.Table.from_batches(answers)).to_pylist()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
