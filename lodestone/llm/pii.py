@@ -5,6 +5,7 @@ trained in numpy on spans that the patterns label in a bounded sample of the
 corpus and on written variants of them, reads overlapping windows; their
 labels are reconciled over the document, each position from the window in
 which it lies furthest from an edge, and spans off the base ones are added.
+Windows cover every word around a digit, an @ or a written at or dot.
 """
 
 from __future__ import annotations
@@ -17,26 +18,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm._arrow import map_arrow
+from lodestone.llm._arrow import map_arrow, slices_by
 
 KINDS = ("email", "ip", "card", "phone")
-#: The classifier is fitted on at most so many windows of the corpus, the first by hash.
-SAMPLE_WINDOWS = 1200
-#: Window length, the step between windows, and the context around a digit, @ or a written at or dot; every kind holds one of these.
+#: The classifier is fitted on at most so many windows of the corpus, the first by hash, and so many written variants.
+SAMPLE_WINDOWS, VARIANTS = 1200, 3000
+#: Window length, the step between windows, and the context around a digit, @ or a written at or dot, which goes on to the ends of words.
+#: Nothing else is left out: an added span of every kind must hold one of these (see shaped).
 WINDOW, STEP, CONTEXT = 96, 48, 32
-EMBED, HIDDEN, BATCH, STEPS, SEED = 12, 20, 32, 360, 7
+EMBED, HIDDEN, BATCH, STEPS, SEED = 12, 20, 32, 600, 7
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 MASK = {"email": "<email>", "ip": "<ip>", "card": "<card>", "phone": "<phone>"}
 
+# No pattern can begin within what another start has already read, so that all are linear: a local part is read from
+# its @ backwards, and the digits of an ip begin at the first of their run, as an earlier start finds whatever a later one does.
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": re.compile(r"[0-9](?:[ -]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),
 }
-_WRITTEN = r"\((?:at|dot)\)|\[(?:at|dot)\]"
-_TRIGGER = re.compile(rf"[0-9@]|{_WRITTEN}")
-_WORDS = re.compile(r"[^@\s]*@[^\s]*")
+_WRITTEN = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]", re.I)
+_TRIGGER = re.compile(rf"[0-9@]|{_WRITTEN.pattern}", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -64,7 +68,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not _TRIGGER.search(text):
         return out
     if "@" in text:
-        out += [(0, m.start(), m.end()) for m in _PATTERNS["email"].finditer(text)]
+        last = 0
+        for m in _DOMAIN.finditer(text):
+            s = at = m.start()
+            while s > last and text[s - 1] in _LOCAL:
+                s -= 1
+            if s < at:
+                out.append((0, s, last := m.end()))
     for k, kind in enumerate(KINDS[1:], 1):
         if kind == "ip" and "." not in text or kind == "phone" and "+" not in text:
             continue
@@ -225,89 +235,119 @@ def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def windows_of(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all stretches near a digit, @ or a written at or dot."""
-    out, end = [], -1
-    stretches: list[list[int]] = []
+def stretches_of(text: str) -> list[tuple[int, int]]:
+    """The parts of a text that windows cover: the context of each digit, @ and written at or dot, on to the ends of words."""
+    out: list[tuple[int, int]] = []
+    last, n = 0, len(text)
     for m in _TRIGGER.finditer(text):
         p = m.start()
-        if stretches and p - CONTEXT <= stretches[-1][1]:
-            stretches[-1][1] = p + CONTEXT
+        if out and p < last:
+            if p + CONTEXT <= last:
+                continue
+            begin = out.pop()[0]
         else:
-            stretches.append([max(0, p - CONTEXT), p + CONTEXT])
-    for begin, end in stretches:
-        end = min(end, len(text))
-        while True:
-            out.append((begin, min(begin + WINDOW, end)))
-            if begin + WINDOW >= end:
-                break
-            begin += STEP
+            begin = max(p - CONTEXT, last)
+            while begin > last and not text[begin - 1].isspace():
+                begin -= 1
+            if out and begin == last:
+                begin = out.pop()[0]
+        last = min(p + CONTEXT, n)
+        while last < n and not text[last].isspace():
+            last += 1
+        out.append((begin, last))
     return out
 
 
-def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
-    out, open_ = [], None
-    for i, t in enumerate([*tags.tolist(), 0]):
-        kind = (t - 1) // 2
-        if open_ and (t == 0 or t % 2 or kind != open_[0]):
-            out.append((open_[0], open_[1], i))
-            open_ = None
-        if t and open_ is None:
-            open_ = (kind, i)
-    return out
+def windows_in(begin: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping windows of a stretch."""
+    return [(b, min(b + WINDOW, end)) for b in range(begin, max(begin + 1, end - WINDOW + STEP), STEP)]
 
 
-def _looks_right(kind: int, text: str) -> bool:
-    """Shape that an added span must have."""
-    digits = len(re.sub(r"[^0-9]", "", text))
-    if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+ ?(?:@|\(at\)|\[at\]) ?[^\s@]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[^\s@.]+)+", text))
-    if re.search(r"[^0-9 .()+/\-]", text):
-        return False
+def windows_of(text: str) -> list[tuple[int, int]]:
+    return [w for s in stretches_of(text) for w in windows_in(*s)]
+
+
+def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end): a span begins at its begin tag, or where its kind begins, and goes on over inside tags of the kind."""
+    kind = np.where(tags > 0, (tags - 1) // 2, -1)
+    begin = np.flatnonzero((kind >= 0) & ((tags % 2 == 1) | (kind != np.append(-1, kind[:-1]))))
+    edge = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (tags[1:] % 2 == 1)))
+    end = np.append(edge, len(tags))[np.searchsorted(edge, begin, "right")]
+    return list(zip(kind[begin].tolist(), begin.tolist(), end.tolist(), strict=True))
+
+
+#: Shapes of added spans, and the length up to which a tagged span is looked at.
+_SHAPES = (
+    re.compile(r"[^\s@]+ ?(?:@|\(at\)|\[at\]) ?[^\s@]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[^\s@.]+)+", re.I),
+    re.compile(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}(?![0-9])"),
+    re.compile(r"[0-9][0-9 .()+/\-]*[0-9]"),
+    re.compile(r"[0-9+(][0-9 .()+/\-]*[0-9]"),
+)
+LONGEST = 320
+
+
+def shaped(kind: int, text: str) -> tuple[int, int] | None:
+    """The part of a tagged span, from its first character on, that has the shape of its kind; None if there is none."""
+    start = len(text) - len(text.lstrip())
+    m = _SHAPES[kind].match(text, start) if len(text) <= LONGEST else None
+    if m is None:
+        return None
+    found = m.group()
+    digits = re.sub(r"[^0-9]", "", found)
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}", text)) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", text))
-    if kind == 2:
-        return 13 <= digits <= 19 and luhn(re.sub(r"[^0-9]", "", text))
-    return 9 <= digits <= 15 and bool(re.match(r"00", text) or re.search(r"[0-9)][ ().+/-]+[0-9]", text))
+        good = all(int(x) <= 255 for x in re.findall(r"[0-9]+", found))
+    elif kind == 2:
+        good = 13 <= len(digits) <= 19 and luhn(digits)
+    else:
+        good = kind == 0 or 9 <= len(digits) <= 15 and bool(found.startswith("00") or re.search(r"[0-9)][ ().+/-]+[0-9]", found))
+    return m.span() if good else None
 
 
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]], batch: int = 256) -> list[list[tuple[int, int, int]]]:
     """Spans of the model in each text that overlap no base span."""
-    jobs = [(d, b, e) for d, t in enumerate(texts) for b, e in windows_of(t)]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    held: dict[int, dict[int, tuple[int, int]]] = {}
+    stretches = [(d, b, e) for d, t in enumerate(texts) for b, e in stretches_of(t)]
+    jobs = [(k, b, e) for k, (_, x, y) in enumerate(stretches) for b, e in windows_in(x, y)]
+    starts = slices_by(np.array([e - b for _, b, e in stretches], np.int64))
+    depth, label = np.full(starts[-1], -1, np.int16), np.zeros(starts[-1], np.int8)
     for k in range(0, len(jobs), batch):
         part = jobs[k : k + batch]
-        x, mask = _padded([texts[d][b:e] for d, b, e in part])
+        x, mask = _padded([texts[stretches[j][0]][b:e] for j, b, e in part])
         tags = tagger.viterbi(x, mask)
-        for j, (d, b, e) in enumerate(part):
-            mine = held.setdefault(d, {})
-            for i, t in enumerate(tags[: e - b, j].tolist()):
-                depth = min(i, e - b - 1 - i)
-                if (old := mine.get(b + i)) is None or depth > old[0]:
-                    mine[b + i] = (depth, t)
-    for d, mine in held.items():
-        at = sorted(mine)
-        cut = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1] + 1), len(at)]
-        taken = [(s, e) for _, s, e in base[d]]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            for kind, s, e in spans_of(np.array([mine[p][1] for p in at[a:b]])):
-                s, e = s + at[a], e + at[a]
-                piece = texts[d][s:e]
-                s, e = s + len(piece) - len(piece.lstrip()), e - len(piece) + len(piece.rstrip())
-                if e > s and not any(s < y and x < e for x, y in taken) and _looks_right(kind, texts[d][s:e]):
-                    out[d].append((kind, s, e))
-                    taken.append((s, e))
+        for i, (j, b, e) in enumerate(part):
+            at = starts[j] + b - stretches[j][1]
+            here = np.arange(e - b)
+            deep = np.minimum(here, here[::-1])
+            better = np.flatnonzero(deep > depth[at : at + e - b])
+            depth[at + better], label[at + better] = deep[better], tags[better, i]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    now, taken = -1, np.empty(0, bool)
+    for j, (d, begin, end) in enumerate(stretches):
+        mine = label[starts[j] : starts[j + 1]]
+        if not mine.any():
+            continue
+        if d != now:
+            now, taken = d, np.zeros(len(texts[d]), bool)
+            for _, s, e in base[d]:
+                taken[s:e] = True
+        for kind, s, e in spans_of(mine.astype(np.int64)):
+            if (fit := shaped(kind, texts[d][begin + s : begin + e])) is None:
+                continue
+            s, e = begin + s + fit[0], begin + s + fit[1]
+            if not taken[s:e].any():
+                out[d].append((kind, s, e))
+                taken[s:e] = True
     return out
 
 
-def _variants(rng: np.random.Generator, kind: int) -> str:
-    """A written form of a kind, drawn by rule."""
+def _variants(rng: np.random.Generator, kind: int, words: list[str]) -> str:
+    """A written form of a kind, drawn by rule; names are random letters or ``words``."""
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
     pick = lambda *x: x[rng.integers(0, len(x))]
     if kind == 0:
-        return letters(rng.integers(2, 9)) + pick("", ".", "_") + pick(digits(2), letters(4)) + pick("@", "@", "@", " @ ", "(at)", "[at]") + letters(rng.integers(3, 9)) + pick(".", ".", "[dot]", "(dot)") + pick("com", "org", "net", "example.com")
+        written = pick(("@", "."), (" @ ", "."), (" @ ", " . "), ("(at)", "(dot)"), ("[at]", "[dot]"), ("(at)", "."), ("[at]", "."), ("@", "(dot)"), ("@", "[dot]"))
+        part = lambda: pick(letters(rng.integers(2, 9)), pick(*words))
+        return part() + pick("", digits(2), pick(".", "_", "-") + part()) + written[0] + part() + "".join(written[1] + x for x in pick(("com",), ("org",), ("net",), ("example", "com"), (letters(2),)))
     if kind == 1:
         return pick(".", ".", " . ").join(str(rng.integers(1, 256)) for _ in range(4))
     if kind == 2:
@@ -334,7 +374,7 @@ def train(docs: DataFrame) -> Tagger:
             for text in batch.column(0).to_pylist():
                 if text and _TRIGGER.search(text):
                     # The patterns would label a written at or dot as no data.
-                    found += [(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=7).digest(), "big"), w) for w in (text[b:e] for b, e in windows_of(text)) if not re.search(_WRITTEN, w)]
+                    found += [(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=7).digest(), "big"), w) for w in (text[b:e] for b, e in windows_of(text)) if not _WRITTEN.search(w)]
             found = sorted(set(found))[:SAMPLE_WINDOWS]
             yield pa.RecordBatch.from_pydict({"h": pa.array([h for h, _ in found], pa.int64()), "w": pa.array([w for _, w in found], pa.string())})
 
@@ -353,10 +393,11 @@ def train(docs: DataFrame) -> Tagger:
     for _, w in rows:
         add(w, base_spans(w))
     plain = [re.sub(r"\S*[0-9@]\S*", "", w) for _, w in rows] or ["text without any data in it "]
-    for k in range(2000):
+    words = [w for t in plain for w in re.findall("[a-z]{2,12}", t)] or ["text"]
+    for k in range(VARIANTS):
         around = plain[rng.integers(0, len(plain))].split(" ")
         left, right = " ".join(around[: len(around) // 2])[-int(rng.integers(1, 40)) :], " ".join(around[len(around) // 2 :])
-        piece = _noise(rng) if k % 5 == 4 else _variants(rng, k % 5)
+        piece = _noise(rng) if k % 5 == 4 else _variants(rng, k % 5, words)
         left = (left + " ")[: WINDOW - len(piece)]
         text = left + piece + [" ", ". ", ", ", "\n"][rng.integers(0, 4)] + right
         add(text, [] if k % 5 == 4 else [(k % 5, len(left), min(WINDOW, len(left) + len(piece)))])
