@@ -21,16 +21,16 @@ from pyspark.sql.types import LongType, StringType, StructType
 from lodestone.llm._arrow import map_arrow
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)(?:>|\Z)""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg select".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-GONE = frozenset("head nav header footer aside form menu dialog button input label fieldset legend canvas audio video applet embed".split())
+GONE = frozenset("head nav header footer aside form menu dialog button input label fieldset legend canvas audio video applet embed annotation annotation-xml".split())
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 #: An opening tag that ends open elements of the second set, up to one of the third.
 IMPLIED = {
@@ -44,6 +44,13 @@ UNLIKELY = frozenset(
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 KEEPS = frozenset("html body article main".split())
+KEEPS_HEADER = frozenset("article main".split())
+#: Elements within which an opening block does not end a paragraph outside of them.
+P_STAYS = {"article", "section", "div", "td", "th", "table", "li", "body", "button", "blockquote"}
+#: Elements of formulas that may be written closed in themselves.
+MATHML = frozenset("mi mn mo ms mspace mtext mglyph none mprescripts".split())
+#: Open elements that an end tag does not look past: of what is no block by any block, of paragraphs, items and cells by these.
+WALLS, WALLED = frozenset("article body table".split()), frozenset("p li td tr".split())
 #: Levels that a paragraph's points reach; the share of the best score, and the length without links, by which a sibling is kept.
 LEVELS, SIBLING_SHARE, SIBLING_LENGTH = 5, 0.2, 80
 #: How many times the points of the text outside an element must hold that class or id names as unlikely, to stay without an article or main in it.
@@ -65,15 +72,60 @@ def _unlikely(tag: str, raw: str) -> tuple[bool, bool]:
     return False, named
 
 
+class Open:
+    """The stack of open elements, with the places of each name in it, so that no look-up walks down the stack."""
+
+    def __init__(self, page: Page):
+        self.page, self.nodes = page, [0]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of block elements
+        self.articles = 0
+
+    def push(self, node: int) -> None:
+        name = self.page.tag[node]
+        self.places.setdefault(name, []).append(len(self.nodes))
+        if name in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.articles += name in KEEPS_HEADER
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes all from ``place`` on."""
+        while len(self.nodes) > place:
+            name = self.page.tag[self.nodes.pop()]
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+            self.articles -= name in KEEPS_HEADER
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((held[-1] for n in names if (held := self.places.get(n))), default=0)
+
+    def close(self, name: str) -> None:
+        """An end tag."""
+        place = self.last((name,))
+        if not place or name not in BLOCK and self.blocks and self.blocks[-1] > place or name in WALLED and self.last(WALLS) > place:
+            return
+        self.cut(place)
+
+    def imply(self, ends: set[str], until: set[str]) -> None:
+        """An opening tag that ends open elements; a row ends with its cell."""
+        while (place := self.last(ends)) and place > self.last(until - ends):
+            name = self.page.tag[self.nodes[place]]
+            self.cut(place)
+            if name not in ("td", "th", "tr") or len(ends) == 1:
+                return
+
+
 class Page:
     """Nodes in page order with their parents, and text pieces with their node and block number."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.gone, self.named = ["html"], [-1], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []
-        stack, block, at, n = [0], 0, 0, len(source)
+        stack, block, at, n = Open(self), 0, 0, len(source)
         low = None
-        inside_article = 0
         while at < n:
             lt = source.find("<", at)
             m = _TOKEN.match(source, lt) if lt >= 0 else None
@@ -82,7 +134,7 @@ class Page:
                 m = _TOKEN.match(source, lt) if lt >= 0 else None
             end = lt if lt >= 0 else n
             if end > at:
-                self.pieces.append((stack[-1], block, source[at:end]))
+                self.pieces.append((stack.nodes[-1], block, source[at:end]))
             if m is None:
                 break
             at = m.end()
@@ -94,30 +146,22 @@ class Page:
             if closing:
                 if name in BLOCK:
                     block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    held = self.tag[stack[k]]
-                    if held == name:
-                        for x in stack[k:]:
-                            inside_article -= self.tag[x] in ("article", "main")
-                        del stack[k:]
-                        break
-                    if held in BLOCK and name not in BLOCK or held in ("article", "body", "table") and name in ("p", "li", "td", "tr"):
-                        break
+                stack.close(name)
                 continue
-            if name in ("html", "body") and len(stack) == 1:
+            if name in ("html", "body") and len(stack.nodes) == 1:
                 self.tag[0] = name if name == "body" else self.tag[0]
                 continue
             if name in ENDS_P:
-                self._close(stack, {"p"}, {"article", "section", "div", "td", "th", "table", "li", "body", "button", "blockquote"} - {name})
+                stack.imply({"p"}, P_STAYS - {name})
             if (rule := IMPLIED.get(name)) is not None:
-                self._close(stack, *rule)
+                stack.imply(*rule)
             if name in BLOCK:
                 block += 1
             if name == "br":
-                self.pieces.append((stack[-1], block, " "))
-            parent = stack[-1]
+                self.pieces.append((stack.nodes[-1], block, " "))
+            parent = stack.nodes[-1]
             hidden, named = _unlikely(name, raw)
-            gone = self.gone[parent] or name in RAW or name in GONE and not (name == "header" and inside_article) or hidden
+            gone = self.gone[parent] or name in RAW or name in GONE and not (name == "header" and stack.articles) or hidden
             self.tag.append(name)
             self.parent.append(parent)
             self.gone.append(gone)
@@ -127,20 +171,8 @@ class Page:
                     low = low if low is not None else source.lower()
                     close = low.find(f"</{name}", at)
                     at = n if close < 0 else (source.find(">", close) + 1 or n)
-            elif name not in VOID:
-                stack.append(len(self.tag) - 1)
-                inside_article += name in ("article", "main")
-
-    def _close(self, stack: list[int], ends: set[str], until: set[str]):
-        for k in range(len(stack) - 1, 0, -1):
-            held = self.tag[stack[k]]
-            if held in ends:
-                del stack[k:]
-                if held in ("td", "th", "tr") and len(ends) > 1:  # a row ends with its cell
-                    self._close(stack, ends, until)
-                return
-            if held in until:
-                return
+            elif name not in VOID and not (raw.endswith("/") and name in MATHML):
+                stack.push(len(self.tag) - 1)
 
 
 def _without_unlikely(page: Page, link: list[bool]) -> list[bool]:

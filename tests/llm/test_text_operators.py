@@ -612,3 +612,136 @@ def test_suffix_dedup_by_bytes(spark, monkeypatch):
     answers = [b for part in (0, 1) for b in suffix_dedup._match(iter(pa.Table.from_pylist([r for r in cut.to_pylist() if r["part"] == part], schema=cut.schema).to_batches()))]
     got = suffix_dedup._remove(False)(packed, pa.Table.from_batches(answers)).to_pylist()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
+# Long and hostile texts
+
+
+PII_PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_base(text):
+    out = []
+    for k, p in enumerate(PII_PATTERNS):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            total = sum((d * 2 - 9 * (d > 4)) if j % 2 else d for j, d in enumerate(map(int, reversed(digits))))
+            if [True, k == 1 and all(int(x) <= 255 for x in m.group().split(".")), 13 <= len(digits) <= 19 and total % 10 == 0, 9 <= len(digits) <= 15][k]:
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def random_pii(seed, n, most=14):
+    import random
+
+    rng = random.Random(seed)
+    parts = ["a", "b.c", "@", "@", "x-y", ".", ".", "1", "23", "255", "256", "4111111111111111", " ", " ", "-", "+", "(", "é", "_", "%", "+1 203 555 8282", "\n", "１", "[at]", "(dot)", "word ", "10.0.0.1"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(0, most))) for _ in range(n)]
+
+
+def test_pii_base_spans_by_plain_patterns():
+    for t in random_pii(1, 8000):
+        assert pii.base_spans(t) == brute_base(t), t
+
+
+def test_pii_query_by_plain_patterns_and_single_windows(spark, tagger):
+    """All columns, with added spans read from each window alone and reconciled in a dictionary."""
+    some = [*random_pii(2, 60, 60), None, "", "x" * 300 + "7" * 400 + "y@z.com"]
+
+    def added(text, base):
+        held = {}
+        for b, e in pii.windows_of(text):
+            tags = tagger.viterbi(*pii._padded([text[b:e]]))[:, 0]
+            for i in range(e - b):
+                deep = min(i, e - b - 1 - i)
+                if b + i not in held or deep > held[b + i][0]:
+                    held[b + i] = deep, int(tags[i])
+        out, taken, i = [], {x for _, s, e in base for x in range(s, e)}, 0
+        while i < len(text):
+            tag = held.get(i, (0, 0))[1]
+            if not tag:
+                i += 1
+                continue
+            end = i + 1
+            while (next_ := held.get(end, (0, 0))[1]) and next_ % 2 == 0 and (next_ - 1) // 2 == (tag - 1) // 2:
+                end += 1
+            fit = pii.shaped((tag - 1) // 2, text[i:end])
+            if fit and not taken & set(range(i + fit[0], i + fit[1])):
+                out.append(((tag - 1) // 2, i + fit[0], i + fit[1]))
+                taken |= set(range(i + fit[0], i + fit[1]))
+            i = end
+        return out
+
+    got = rows(pii.report(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), tagger))
+    n_added = 0
+    for i, t in enumerate(some):
+        base = brute_base(t or "")
+        more = added(t or "", base)
+        n_added += len(more)
+        said = lambda spans: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
+        assert [got[i][f"n_{kind}"] for kind in pii.KINDS] == [sum(s[0] == k for s in base) for k in range(4)]
+        assert got[i].base_sha256 == hashlib.sha256(said(base).encode()).hexdigest() and got[i].spans == said(base + more), t
+    assert n_added
+
+
+def test_pii_windows_cover_whole_words():
+    text = "x" * 90 + ".smith[AT]" + "y" * 90 + "[dot]org end"
+    b, e = pii.stretches_of(text)[0]
+    assert b == 0 and e >= text.index(" end") and pii.shaped(0, text[: text.index(" end")]) == (0, text.index(" end"))
+    for t in random_pii(3, 300, 80):
+        covered = np.zeros(len(t) + 1, bool)
+        for b, e in pii.windows_of(t):
+            covered[b:e] = True
+        for m in re.finditer(r"\S*(?:[0-9@]|\((?:at|dot)\)|\[(?:at|dot)\])\S*", t):
+            assert covered[m.start() : m.end()].all()
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    n = 1_000_000
+    for t in ("a" * n + " @", "1" * n + ".", "1." * (n // 2), "a" * n + "@b.c", "@" * n, "a@" * (n // 2), "+1" * (n // 2)):
+        began = time.time()
+        pii.base_spans(t)
+        pii.windows_of(t)
+        assert time.time() - began < 2, t[:4]
+    n = 70_000
+    for t in ("<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<span>" * n + "<div></div>" * n, "<b" * n, '<a "' * n, "<p>" * n, "<table><tr><td>" * n, "<svg>" * n):
+        began = time.time()
+        html_extract.extract(t)
+        assert time.time() - began < 3, t[:12]
+
+
+def test_html_reads_formulas_and_fallbacks():
+    page = "<article><p>The value <math><mi>x</mi><mo>=</mo><mn>3</mn><annotation>x=3</annotation></math> holds, in all, of the cases.</p><object><p>Shown, where nothing else, can be.</p></object></article>"
+    assert html_extract.extract(page) == "The value x=3 holds, in all, of the cases.\n\nShown, where nothing else, can be."
+
+
+def test_html_random_pages():
+    """Pages written by rule around known blocks."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeioubcdfgst") for _ in range(rng.randrange(2, 9)))
+    line = lambda n: ", ".join(" ".join(word() for _ in range(6)) for _ in range(n)) + "."
+    for _ in range(150):
+        blocks, body = [], ""
+        for k in range(rng.randrange(3, 8)):
+            t = line(rng.randrange(2, 6))
+            kind = rng.choice(["p", "p", "p", "h2", "list", "quote", "pre"]) if k else "p"
+            if kind == "list":
+                items = [line(1) for _ in range(rng.randrange(1, 4))]
+                blocks += items
+                body += "<ul>" + "".join(f"<li>{i}" + rng.choice(["", "</li>"]) for i in items) + "</ul>"
+            else:
+                blocks.append(t)
+                shown = t.replace(" ", rng.choice([" ", "\n  ", "&#32;"]), 1).replace(t.split()[1], f"<{(x := rng.choice(['b', 'i', 'span', 'code']))}>{t.split()[1]}</{x}>", 1)
+                tag = {"quote": "blockquote"}.get(kind, kind)
+                body += f"<{tag}>{shown}</{tag}>"
+            if rng.random() < 0.3:
+                body += rng.choice(["<script>var x = '<p>no</p>';</script>", "<style>p { }</style>", "<!-- <p>no</p> -->", "<div class='ad'>Buy, now</div>", "<form><input><p>Mail, us</p></form>", "<aside><p>Beside, the point</p></aside>"])
+        head = rng.choice(["", "<nav><a href=/>Home</a> <a href=/x>More</a></nav>", "<header><p>Site, name</p></header>", "<div class='menu'><ul><li><a href=/>Home</a></ul></div>"])
+        foot = rng.choice(["", "<footer>Foot, note</footer>", "<div id='comments'><p>Great, really, great.</p></div>", "<div class='sidebar'><p>Other, stories, here.</p></div>"])
+        around = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>"), ("<div><div id=story>", "</div></div>")])
+        page = f"<!doctype html><html><head><title>T</title></head><body>{head}{around[0]}{body}{around[1]}{foot}</body></html>"
+        assert html_extract.extract(page) == "\n\n".join(blocks), page
