@@ -19,16 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._arrow import IS_SPACE, LOWER, Hasher, binaries, map_arrow, mix, runs, slices_by, text_slices
-from lodestone.llm._shared import written
+from lodestone.llm._shared import discard, written
 
 BINS, BANDS = 128, 32
-#: Rows of a bucket that are compared in one block.
-BLOCK = 512
+#: Rows, and bytes of bitmaps, of a bucket that are compared in one block; members that are compared with one copy of a centre's set.
+BLOCK, BLOCK_BYTES, MEMBERS = 8192, 4 << 20, 256
 #: Bands whose buckets give star-shaped edges.
 STAR_BANDS = 8
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_VALUE = np.uint64((1 << 52) - 1)
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -39,7 +38,7 @@ def _orders() -> np.ndarray:
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 52-bit shingle hashes of all documents (4096 at most), and the documents' offsets.
+    """Sorted distinct 64-bit shingle hashes of each document, and the documents' offsets.
 
     Words are runs of anything but space and 0x09-0x0D, A-Z lowered; fewer than k words are one shingle.
     """
@@ -52,24 +51,27 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     for i in range(k):
         total = mix(total * np.uint64(0x9FB21C651E98DF25) + h[i : i + len(total)])
     same = doc[: len(total)] == doc[k - 1 :] if len(total) else np.empty(0, bool)
-    keys = [(doc[: len(total)][same].astype(np.uint64) << np.uint64(52)) | (total[same] >> np.uint64(12))]
+    values, of = [total[same]], [doc[: len(total)][same]]
     first = slices_by(counts)[:-1]
     for d in np.flatnonzero((counts > 0) & (counts < k)):
         x = np.uint64(counts[d])
         for y in h[first[d] : first[d] + counts[d]]:
             x = mix(np.array([x ^ y]))[0]
-        keys.append(np.array([(np.uint64(d) << np.uint64(52)) | (x >> np.uint64(12))]))
-    key = np.sort(np.concatenate(keys))
-    if len(key):
-        key = key[np.append(True, key[1:] != key[:-1])]
-    bounds = np.searchsorted(key, np.arange(n_docs, dtype=np.uint64) << np.uint64(52))
-    return key & _VALUE, np.append(bounds, len(key))
+        values.append(np.array([x]))
+        of.append(np.array([d]))
+    values, of = np.concatenate(values), np.concatenate(of).astype(np.uint16 if n_docs < 1 << 16 else np.int64)
+    order = np.argsort(values)
+    order = order[np.argsort(of[order], kind="stable")]
+    values, of = values[order], of[order]
+    new = np.append(True, (values[1:] != values[:-1]) | (of[1:] != of[:-1])) if len(values) else np.empty(0, bool)
+    values, of = values[new], of[new]
+    return values, np.searchsorted(of, np.arange(n_docs + 1))
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray, orders: np.ndarray) -> np.ndarray:
     n_docs = len(bounds) - 1
     doc = np.repeat(np.arange(n_docs), np.diff(bounds))
-    cell = doc * BINS + (values >> np.uint64(45)).astype(np.int64)
+    cell = doc * BINS + (values >> np.uint64(57)).astype(np.int64)
     out = np.full(n_docs * BINS, _EMPTY)
     if len(cell):
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -127,16 +129,24 @@ def _sets(k: int):
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, b, na, nb, members) sorted by a, part and b: the centre's set has no b and comes first in each part."""
+    now, centres = None, []
     for batch in batches:
-        a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "x", "y"))
-        shared = []
-        for p, q in zip(x, y, strict=True):
-            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            shared.append(int((q[np.minimum(at, len(q) - 1)] == p).sum()))
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(shared, pa.int64())], names=["a", "b", "shared"])
+        a, part, b, na, nb = (batch.column(i).to_pylist() for i in range(5))
+        out, shared = [], []
+        for i, members in enumerate(batch.column(5)):
+            if (a[i], part[i]) != now:
+                now, centres = (a[i], part[i]), []
+            mine = np.frombuffer(members.as_buffer(), np.uint64)
+            if b[i] is None:
+                centres.append(mine)
+                continue
+            for other in centres:
+                p, q = (mine, other) if len(mine) < len(other) else (other, mine)
+                at = np.searchsorted(q, p)
+                out.append(i)
+                shared.append(int((q[np.minimum(at, len(q) - 1)] == p).sum()))
+        yield pa.RecordBatch.from_pydict({**{c: pa.array([x[i] for i in out], pa.int64()) for c, x in (("a", a), ("b", b), ("na", na), ("nb", nb))}, "shared": pa.array(shared, pa.int64())})
 
 
 def semi(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
@@ -146,13 +156,23 @@ def semi(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_
 
 
 def confirmed(docs: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """``edges`` (a, b, na, nb) with ``shared``, the size of the intersection of the full sets."""
-    edges = written(edges)
-    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    sets = written(map_arrow(semi(docs.select("doc_id", "text"), written(ends)), _sets(k), "doc_id long, members binary"))
-    both = edges.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
-    found = map_arrow(both.select("a", "b", "x", "y"), _confirm, "a long, b long, shared long").groupBy("a", "b").agg(F.max("shared").alias("shared"))
-    return written(edges.join(found, ["a", "b"]))
+    """``edges`` (a, b, na, nb) with ``shared``, the size of the intersection of the full sets.
+
+    A centre ``a`` of many edges is dealt out in parts of about ``MEMBERS``
+    edges: each edge carries the set of ``b``, each part one copy of that of ``a``.
+    """
+    edges = written(edges.select("a", "b", "na", "nb"))
+    ends = written(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct())
+    sets = written(map_arrow(semi(docs.select("doc_id", "text"), ends), _sets(k), "doc_id long, members binary"))
+    parts = edges.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    dealt = edges.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    members = dealt.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "na", "nb", "members")
+    none = F.lit(None).cast("long")
+    centres = parts.join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), none.alias("b"), none.alias("na"), none.alias("nb"), "members")
+    both = members.unionAll(centres).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    out = written(map_arrow(both, _confirm, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.max("shared").alias("shared")))
+    discard(edges, ends, sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,13 +183,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = written(edges.select(F.col("a").alias("s"), F.col("b").alias("t")).union(edges.select("b", "a")).distinct())
     labels = written(pairs.groupBy(F.col("s").alias("doc_id")).agg(F.least(F.min("s"), F.min("t")).alias("c")))
+    labels_at = labels
     while True:
         near = pairs.join(labels.select(F.col("doc_id").alias("t"), "c"), "t").groupBy(F.col("s").alias("doc_id")).agg(F.min("c").alias("m"))
         least = labels.join(near, "doc_id").select("doc_id", F.least("c", "m").alias("m"), F.col("c").alias("old"))
         top = labels.select(F.col("doc_id").alias("m"), F.col("c").alias("up"))
         new = written(least.join(top, "m", "left").select("doc_id", F.least("m", F.coalesce("up", "m")).alias("c"), "old"))
-        labels = new.select("doc_id", "c")
+        discard(labels_at)
+        labels_at, labels = new, new.select("doc_id", "c")
         if not new.where("c <> old").head(1):
+            discard(pairs)
             return labels.withColumnRenamed("c", "component")
 
 
@@ -286,9 +309,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = compared.where(holds).select("a", "b")
     labels = components(links)
     coloured = written(buckets.select("bucket", "doc_id", "n").join(labels, "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
-    sizes = coloured.groupBy("bucket", "c").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max_by("c", F.struct("m", "c")).alias("main")).where("k > 1")
-    waiting = written(coloured.join(mixed.select("bucket", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "bucket"))
+    sizes = coloured.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max_by("c", F.struct("m", "c")).alias("main")).where("k > 1")
+    # A bitmap has one to two bytes for a shingle.
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, 2 * F.col("n") / BLOCK_BYTES)).cast("int").alias("blocks")
+    waiting = written(coloured.join(mixed.select("bucket", "main", blocks), "bucket"))
     bitmaps = map_arrow(semi(docs.select("doc_id", "text"), written(waiting.select("doc_id").distinct())), _bitmaps(shingle), "doc_id long, bits binary")
     # A large bucket is dealt out in blocks: each row is at home in one, rows outside the main component visit all.
     outside = F.col("c") != F.col("main")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._arrow import IS_SPACE, LOWER, binaries, distinct_spans, document_of, map_arrow, runs, slices_by, spread, text_slices
-from lodestone.llm._shared import shared_folder
+from lodestone.llm._shared import removed_at_end, shared_folder
 from lodestone.llm.bpe import LETTER, NUMBER, OTHER, char_classes, characters
 
 #: Ids in a block at least (but for the last of a part), text bytes handled at once, and units remembered by a worker.
@@ -317,6 +317,5 @@ def report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
     write(docs, path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    removed_at_end(spark, path)
     return _read(spark, path, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "ids_crc32 long", pa.int64())

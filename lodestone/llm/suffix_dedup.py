@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._arrow import Hasher, distinct_spans, map_arrow, mix, release, slices_by, spread, text_slices
-from lodestone.llm._shared import written
+from lodestone.llm._shared import removed_at_end, written
 
 #: Bytes of text in a slice; its compressed row stays below the size from which a JVM keeps objects apart.
 PACK_BYTES = 1 << 20
@@ -404,8 +404,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     rows = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _pack(keys), "task int, slice int, ids binary, no_id binary, offsets binary, text binary")
     rows.write.bucketBy(buckets, "task").option("compression", "uncompressed").saveAsTable(name)
     path = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").select("data_type").first()[0]
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    removed_at_end(spark, path)
     return spark.table(name)
 
 

@@ -145,12 +145,13 @@ def test_near_duplicates(docs, texts, k):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
-@pytest.mark.parametrize("block", [512, 20])
+@pytest.mark.parametrize("block", [8192, 20])
 def test_near_duplicate_group(spark, block, monkeypatch):
     """A chain and a crowd of mutual near copies of which many are not alike to the first."""
     import random
 
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "MEMBERS", block // 4)
 
     rng = random.Random(9)
     base = [f"t{i}" for i in range(120)]
