@@ -6,8 +6,11 @@ exclusion of the symbols that longer contexts have already offered, are worked
 out once by partitions of contexts and held sparsely: those of the symbols seen
 in a context, and what an escape from it adds.  They go out in blocks of
 bounded size, of which a worker holds one at a time.  Beside it stands a
-unigram model of words over all training texts: slices send their distinct
-words to word partitions, which count them and answer with sums per document.
+unigram model of words over all training texts: words are counted first; the
+frequent ones, a bounded number by their share of all tokens, go to every
+worker, and of the others slices ask word partitions, which hold the counts of
+their words and answer, row by row, with sums per document.  Words are told
+apart by 64-bit hashes; two that share one would be counted as one.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from lodestone.llm._shared import written
 #: Strings of four bytes that a row of the priced table and a block of the model hold, but for one context of two bytes more.
 CHUNK, BLOCK = 1 << 18, 1 << 22
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of text whose distinct words are sent together.
-SEND_BYTES = 3 << 20
+#: Bytes of text whose distinct words are sent together; a word of at least 1 / FREQUENT of all training tokens goes to every
+#: worker (so no more than FREQUENT words do); words whose counts a partition holds.
+SEND_BYTES, FREQUENT, PART_WORDS = 3 << 20, 1 << 15, 1 << 22
 _END = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -234,8 +238,66 @@ def train(docs: DataFrame) -> Model:
     return Model(n1, _blocks(written(map_arrow(by_context, _price(n1), ", ".join(f"{c} binary" for c in PRICED)))))
 
 
-def _send(model: Model, parts: int):
-    """Each slice's distinct words with their documents, by word partition; one of them also carries what is final."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and documents of all tokens, the ends last."""
+    low = LOWER[data]
+    starts, ends, doc = runs(~IS_SPACE[low], offsets)
+    n_docs = len(offsets) - 1
+    return np.append(Hasher(low)(starts, ends), np.full(n_docs, _END)), np.append(doc, np.arange(n_docs))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words of training texts, summed over a task as far as they fit."""
+    words, counts, held = [], [], 0
+
+    def merged():
+        w, which = np.unique(np.concatenate(words), return_inverse=True)
+        return w, np.bincount(which, np.concatenate(counts), len(w)).astype(np.int64)
+
+    def row():
+        w, n = merged()
+        return pa.RecordBatch.from_pydict({"word": pa.array(w.view(np.int64)), "n": pa.array(n)})
+
+    for rows, data, offsets in text_slices(batches):
+        h, doc = _words(data, offsets)
+        h = h[~rows.column(rows.schema.get_field_index("held")).to_numpy(zero_copy_only=False)[doc]]
+        w, n = np.unique(h, return_counts=True)
+        words.append(w)
+        counts.append(n)
+        held += len(w)
+        if held > 2_000_000:
+            w, n = merged()
+            words, counts, held = [w], [n], len(w)
+            if held > 1_000_000:
+                yield row()
+                words, counts, held = [], [], 0
+    if held:
+        yield row()
+
+
+def _part(words: np.ndarray, parts: int) -> np.ndarray:
+    return (words // np.uint64(2**64 // parts + 1)).astype(np.int64)
+
+
+def _pack_counts(parts: int):
+    """Rows (part, word, n) of whole partitions as sorted arrays, in rows of the kind that slices send."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            order = np.argsort(w)
+            w, n = w[order], n[order]
+            cut = np.searchsorted(_part(w, parts), np.arange(parts + 1))
+            out = [(-1, p, 0, w[a:b].tobytes(), n[a:b].astype("<i8").tobytes(), *[None] * 8) for p in np.flatnonzero(np.diff(cut)).tolist() for a, b in [cut[p : p + 2]]]
+            yield _sent(out)
+
+    return run
+
+
+def _send(model: Model, parts: int, frequent: tuple[np.ndarray, np.ndarray]):
+    """Each slice's distinct words but the frequent ones, with their documents, by word partition; one of them also carries what is final."""
+    often, often_n = frequent
+    often_log = np.log10(often_n + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -243,73 +305,69 @@ def _send(model: Model, parts: int):
         task, k = TaskContext.get().partitionId(), 0
         for rows, data, offsets in text_slices(batches, limit=SEND_BYTES):
             n_docs = rows.num_rows
-            low = LOWER[data]
-            starts, ends, doc = runs(~IS_SPACE[low], offsets)
-            h = np.append(Hasher(low)(starts, ends), np.full(n_docs, _END))
-            doc = np.append(doc, np.arange(n_docs))
-            held = rows.column(rows.schema.get_field_index("held")).to_numpy(zero_copy_only=False)
+            h, doc = _words(data, offsets)
+            total = np.bincount(doc, minlength=n_docs)
+            at, here = _find(often, h) if len(often) else (np.zeros(len(h), np.int64), np.zeros(len(h), bool))
+            sums, known = np.bincount(doc[here], often_log[at[here]], n_docs), np.bincount(doc[here], minlength=n_docs)
+            h, doc = h[~here], doc[~here]
             words, which = np.unique(h, return_inverse=True)
-            trained = np.bincount(which, ~held[doc], len(words)).astype("<u4")
             pair = np.sort(which * n_docs + doc)
-            new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
             tf = np.diff(np.append(new, len(pair)))
             pair = pair[new]
             of_word, of_doc = pair // n_docs, pair % n_docs
             n_of_word = np.bincount(of_word, minlength=len(words)).astype("<u4")
-            part = (words // np.uint64(2**64 // parts + 1)).astype(np.int64)
-            w_cut = np.searchsorted(part, np.arange(parts + 1))
+            w_cut = np.searchsorted(_part(words, parts), np.arange(parts + 1))
             p_cut = np.append(0, np.cumsum(n_of_word, dtype=np.int64))[w_cut]
             score = model.score(data, offsets)
-            total = np.bincount(doc, minlength=n_docs)
-            of_doc, tf = of_doc.astype("<u4" if n_docs > 65536 else "<u2"), tf.astype("<u4" if tf.max() > 255 else "u1")
+            held, no_id = rows.column(rows.schema.get_field_index("held")).to_numpy(zero_copy_only=False), np.asarray(rows.column(0).is_null())
+            of_doc, tf = of_doc.astype("<u4" if n_docs > 65536 else "<u2"), tf.astype("<u4" if len(tf) and tf.max() > 255 else "u1")
             carrier = (31 * task + k) % parts  # one partition carries what is final
+            final = [x.tobytes() for x in (rows.column(0).fill_null(0).to_numpy().astype("<i8"), total.astype("<i8"), score.astype("<f8"), held.astype("u1") + 2 * no_id.astype("u1"), np.stack((sums, known)).astype("<f8"))]
             out: list[tuple] = []
             for p in range(parts):
                 a, b, c, d = w_cut[p], w_cut[p + 1], p_cut[p], p_cut[p + 1]
-                final = [rows.column(0).fill_null(0).to_numpy().astype("<i8").tobytes(), total.astype("<i8").tobytes(), score.astype("<f8").tobytes(), (held.astype("u1") + 2 * np.asarray(rows.column(0).is_null()).astype("u1")).tobytes()] if p == carrier else [None] * 4
                 if p == carrier or b > a:
-                    out.append((task << 32 | k, p, n_docs, words[a:b].tobytes(), trained[a:b].tobytes(), n_of_word[a:b].tobytes(), of_doc[c:d].tobytes(), tf[c:d].tobytes(), *final))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 9], strict=True)], names=SENT)
+                    out.append((task << 32 | k, p, n_docs, words[a:b].tobytes(), None, n_of_word[a:b].tobytes(), of_doc[c:d].tobytes(), tf[c:d].tobytes(), *(final if p == carrier else [None] * 5)))
+            yield _sent(out)
             k += 1
 
     return run
 
 
-SENT = ["slice", "part", "n_docs", "words", "trained", "n_of_word", "of_doc", "tf", "doc_ids", "total", "score", "flags"]
-ANSWERED = ["slice", "part", "n_docs", "at", "sums", "known", "doc_ids", "total", "score", "flags"]
+SENT = ["slice", "part", "n_docs", "words", "counts", "n_of_word", "of_doc", "tf", "doc_ids", "total", "score", "flags", "often"]
+ANSWERED = ["slice", "part", "n_docs", "at", "sums", "known", "doc_ids", "total", "score", "flags", "often"]
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A word partition: counts of its words over all slices, then sums for each slice's documents.
+def _sent(rows: list[tuple], names: list[str] = SENT) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 3)]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
-    A last row without slice has the partition's tokens and distinct words in training.
-    """
-    held = [{c: r[c] for c in SENT} for b in batches for r in b.to_pylist()]
-    if not held:
-        return
-    held.sort(key=lambda r: r["slice"])
-    every = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in held])
-    distinct, which = np.unique(every, return_inverse=True)
-    count = np.bincount(which, np.concatenate([np.frombuffer(r["trained"], "<u4") for r in held]), len(distinct)) if len(every) else np.empty(0)
-    log = np.log10(count + 1)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
-    begin, out, size = 0, [], 0
-    for r in held:
-        n_of_word = np.frombuffer(r["n_of_word"], "<u4")
-        mine = which[begin : begin + len(n_of_word)]
-        begin += len(n_of_word)
-        word = np.repeat(mine, n_of_word)
-        doc = np.frombuffer(r["of_doc"], "<u4" if r["n_docs"] > 65536 else "<u2")
-        tf = np.frombuffer(r["tf"], "<u4" if len(r["tf"]) > len(doc) else "u1").astype(np.float64)
-        at = np.flatnonzero(np.bincount(doc, minlength=1))
-        sums, known = np.bincount(doc, tf * log[word])[at] if len(doc) else np.empty(0), np.bincount(doc, tf * (count[word] > 0))[at] if len(doc) else np.empty(0)
-        out.append((r["slice"], r["part"], r["n_docs"], at.astype("<u4").tobytes(), sums.astype("<f8").tobytes(), known.astype("<u4").tobytes(), *(r[c] for c in SENT[8:])))
-        size += 16 * len(at)
-        if size > 8 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=ANSWERED)
-            out, size = [], 0
-    out.append((-1, held[0]["part"], 0, np.array([count.sum(), (count > 0).sum()], "<i8").tobytes(), *[None] * 6))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=ANSWERED)
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A word partition, sorted by slice: first the counts of its words, then, one row at a time, sums for each slice's documents."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    words = count = None
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["slice"] < 0:
+                held.append((np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], "<i8")))
+                continue
+            if words is None:
+                words, count = (np.concatenate([h[i] for h in held] or [np.empty(0, t)]) for i, t in enumerate((np.uint64, np.int64)))
+                order = np.argsort(words)
+                words, count, held = words[order], count[order], []
+            n_of_word = np.frombuffer(r["n_of_word"], "<u4")
+            at, hit = _find(words, np.frombuffer(r["words"], np.uint64)) if len(words) else (np.zeros(len(n_of_word), np.int64), np.zeros(len(n_of_word), bool))
+            c = np.where(hit, count[at], 0) if len(words) else np.zeros(len(n_of_word))
+            doc = np.frombuffer(r["of_doc"], "<u4" if r["n_docs"] > 65536 else "<u2")
+            tf = np.frombuffer(r["tf"], "<u4" if len(r["tf"]) > len(doc) else "u1").astype(np.float64)
+            some = np.flatnonzero(np.bincount(doc, minlength=1))
+            sums, known = (np.bincount(doc, tf * np.repeat(x, n_of_word))[some] if len(doc) else np.empty(0) for x in (np.log10(c + 1), c > 0))
+            out.append((r["slice"], r["part"], r["n_docs"], some.astype("<u4").tobytes(), sums.astype("<f8").tobytes(), known.astype("<u4").tobytes(), *(r[x] for x in SENT[8:])))
+        if out:
+            yield _sent(out, ANSWERED)
 
 
 def _gather(tokens: int, distinct: int):
@@ -319,12 +377,12 @@ def _gather(tokens: int, distinct: int):
         now, state = None, {}
 
         def flush():
-            total, flags = np.frombuffer(state["total"], "<i8"), np.frombuffer(state["flags"], "u1")
-            base = state["sums"] - total * np.log10(tokens + distinct + 1)
+            total, flags, often = np.frombuffer(state["total"], "<i8"), np.frombuffer(state["flags"], "u1"), np.frombuffer(state["often"], "<f8").reshape(2, -1)
+            base = state["sums"] + often[0] - total * np.log10(tokens + distinct + 1)
             ids = pa.array(np.frombuffer(state["doc_ids"], "<i8"), pa.int64(), mask=flags >= 2)
             return pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": ids, "held_out": pa.array((flags & 1).astype(bool)), "n_tokens": pa.array(total, pa.int64()), "n_known": pa.array(state["known"].astype(np.int64)),
+                    "doc_id": ids, "held_out": pa.array((flags & 1).astype(bool)), "n_tokens": pa.array(total, pa.int64()), "n_known": pa.array((state["known"] + often[1]).astype(np.int64)),
                     "train_tokens": pa.array(np.full(len(total), tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(np.frombuffer(state["score"], "<f8")),
                 }
             )
@@ -336,7 +394,7 @@ def _gather(tokens: int, distinct: int):
                         yield flush()
                     now, state = r["slice"], {"sums": np.zeros(r["n_docs"]), "known": np.zeros(r["n_docs"])}
                 if r["doc_ids"] is not None:
-                    state |= {c: r[c] for c in ("doc_ids", "total", "score", "flags")}
+                    state |= {c: r[c] for c in SENT[8:]}
                 at = np.frombuffer(r["at"], "<u4")
                 state["sums"][at] += np.frombuffer(r["sums"], "<f8")
                 state["known"][at] += np.frombuffer(r["known"], "<u4")
@@ -355,16 +413,19 @@ def scores(docs: DataFrame) -> DataFrame:
     are read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held"))
     model = train(base)
-    blob = ", ".join(f"{c} binary" for c in SENT[3:])
-    sent = map_arrow(base, _send(model, parts), f"slice long, part int, n_docs long, {blob}")
+    counts = written(map_arrow(base.select("text", "held"), _count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    tokens, distinct = counts.select(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    often = np.array([tuple(r) for r in counts.where(F.col("n") >= max(1, tokens / FREQUENT)).collect()], np.int64).reshape(-1, 2)  # FREQUENT rows at most
+    often = often[np.argsort(often[:, 0].view(np.uint64))]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct // PART_WORDS))
+    blob = "slice long, part int, n_docs long, " + ", ".join(f"{c} binary" for c in SENT[3:])
+    sent = map_arrow(base, _send(model, parts, (often[:, 0].view(np.uint64).copy(), often[:, 1].copy())), blob)
+    rare = counts.where(F.col("n") < max(1, tokens / FREQUENT)).select("word", "n")
+    known = map_arrow(rare, _pack_counts(parts), blob)
     blob = ", ".join(f"{c} binary" for c in ANSWERED[3:])
-    answered = written(map_arrow(sent.repartitionById(parts, F.col("part")), _answer, f"slice long, part int, n_docs long, {blob}"))
-    tokens = distinct = 0
-    for row in answered.where("slice < 0").select("at").collect():  # one row a word partition
-        n, v = np.frombuffer(row[0], "<i8")
-        tokens, distinct = tokens + int(n), distinct + int(v)
-    mine = answered.where("slice >= 0").repartition(parts, "slice").sortWithinPartitions("slice", "part")
+    asked = sent.unionAll(known).repartitionById(parts, F.col("part")).sortWithinPartitions("slice")
+    answered = written(map_arrow(asked, _answer, f"slice long, part int, n_docs long, {blob}"))
+    mine = answered.repartition(parts, "slice").sortWithinPartitions("slice", "part")
     return map_arrow(mine, _gather(tokens, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

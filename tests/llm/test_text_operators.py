@@ -438,7 +438,11 @@ def test_html_edges(spark):
 # PPM
 
 
-def test_lm_scores(docs, texts):
+@pytest.mark.parametrize("frequent", [1 << 15, 20, 1])
+def test_lm_scores(docs, texts, frequent, monkeypatch):
+    """All, some and no words go to every worker."""
+    monkeypatch.setattr(ppm, "FREQUENT", frequent)
+    monkeypatch.setattr(ppm, "PART_WORDS", 1 << 22 if frequent > 1 else 50)
     got = rows(ppm.scores(docs))
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
     tokens = {i: [*re.findall(WS, low(t)), None] for i, t in enumerate(texts)}
