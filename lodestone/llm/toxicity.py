@@ -124,9 +124,10 @@ class Restorer:
 
 
 def _spaced_out(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, restore: Restorer) -> list[tuple[int, bytes]]:
-    """Restored words of three or more chunks in a row of one character each, whole and cut into words.
+    """Restored words of three or more chunks in a row that are no words, whole and cut into words.
 
-    A chunk of decoration only does not count, but for a symbol that stands for
+    Such a chunk has one character, or two that are not both letters.  A chunk
+    of decoration only does not count, but for a symbol that stands for
     letters: a run with such symbols is read with and without them.
     """
     core = j > i
@@ -134,8 +135,10 @@ def _spaced_out(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.n
     s, e = np.where(core, first, starts), np.where(core, last, ends)
     heads = np.zeros(len(low) + 1, np.int64)
     np.cumsum((low < 128) | (low >= 192), out=heads[1:])
-    one = heads[e] - heads[s] == 1
-    symbol = ~core & one & _SYMBOL[low[s]]
+    size = heads[e] - heads[s]
+    letters = np.append(0, np.cumsum(_LETTER[low]))
+    one = (size == 1) | (size == 2) & (letters[e] - letters[s] < e - s)
+    symbol = ~core & (size == 1) & _SYMBOL[low[s]]
     out: list[tuple[int, bytes]] = []
     before: set[tuple[int, str]] = set()
     for among in (core, core | symbol):
@@ -149,7 +152,7 @@ def _spaced_out(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.n
             g = chunk[single[bounds[k] : bounds[k + 1]]]
             d = int(doc[g[0]])
             word = b"".join(low[a:b].tobytes() for a, b in zip(s[g].tolist(), e[g].tolist(), strict=True)).decode("utf-8", "replace")
-            if (d, word) in before or not any(c.isalpha() for c in word):
+            if (d, word) in before or not any(c.isalnum() for c in word):
                 continue
             before.add((d, word))
             out += [(d, w.encode()) for w in {restore(word), *restore(word, True).split(" ")} if w]
@@ -184,7 +187,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> tuple[
     triple = np.zeros(n + 1, np.int64)
     if n > 2:
         np.cumsum(np.append([False, False], (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _LETTER[low[2:]]), out=triple[1:])
-    odd = (n_letters > 0) & ((n_letters < e - s) | ((e - s > 2) & (triple[e] - triple[np.minimum(s + 2, e)] > 0)))
+    odd = ((n_letters > 0) | (e - s > 2)) & ((n_letters < e - s) | ((e - s > 2) & (triple[e] - triple[np.minimum(s + 2, e)] > 0)))
     plain = (n_letters == e - s) & ~odd
     for a, b, d in zip(s[odd].tolist(), e[odd].tolist(), doc[odd].tolist(), strict=True):
         word = low[a:b].tobytes().decode("utf-8", "replace")

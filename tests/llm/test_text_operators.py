@@ -261,7 +261,7 @@ def test_toxicity_joints_between_longer_chunks(spark, toxic_model):
 
 
 def test_toxicity_spaced_out_runs(spark, toxic_model):
-    hidden = ["house i d 1 0 t window", "window 1 d 1 o t", "paper i d ! o t house", "such a m o r o n here", "h o u s e i d i o t", "p a p e r m o r o n s t o r y", "m - o - r - o - n", "m | o | r | o | n"]
+    hidden = ["house i d 1 0 t window", "window 1 d 1 o t", "paper i d ! o t house", "such a m o r o n here", "h o u s e i d i o t", "p a p e r m o r o n s t o r y", "m - o - r - o - n", "m | o | r | o | n", "a m0 r0 n here", "1d 10 t window"]
     plain = ["such a g a r d e n here", "a b c", "1 2 3 4 5", "p a p e r s t o r y", "x | y | z"]
     scored = toxicity.score(spark.createDataFrame([(t,) for t in hidden + plain], "text string"), toxic_model).collect()
     assert [r.text for r in scored if r.score >= 0.5] == hidden
@@ -750,3 +750,84 @@ def test_html_random_pages():
         around = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>"), ("<div><div id=story>", "</div></div>")])
         page = f"<!doctype html><html><head><title>T</title></head><body>{head}{around[0]}{body}{around[1]}{foot}</body></html>"
         assert html_extract.extract(page) == "\n\n".join(blocks), page
+
+
+def test_toxicity_restores_the_likeliest_word(toxic_model):
+    """Viterbi against all paths through the lattice, for short words."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    restore = toxicity.Restorer(toxic_model.costs)
+    code = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27
+
+    def options(word):
+        for i, c in enumerate(word):
+            run = len(re.match(re.escape(c) + "*", word[i:]).group()) + next(k for k in range(i + 1) if k == i or word[i - k - 1] != c)
+            again = i > 0 and word[i - 1] == c
+            repeat = toxicity.REPEAT if run > 2 else toxicity.DOUBLE
+            if c.isalpha():
+                yield [(c, 0.0)] + ([("", repeat)] if again else [])
+            elif c in toxicity.LEET:
+                yield [(x, toxicity.SUBSTITUTE) for x in toxicity.LEET[c]] + [("", repeat if again else toxicity.DROP)]
+            else:
+                yield [("", toxicity.SEPARATOR)]
+
+    for _ in range(300):
+        word = "".join(rng.choice("idot10@$-.eli3") for _ in range(rng.randrange(1, 7)))
+        word += word[-1] * rng.choice([0, 0, 1, 2])
+        best = math.inf
+        for path in itertools.product(*options(word)):
+            out = "".join(x for x, _ in path)
+            marks = [0, 0, *map(code, out), 0]
+            cost = sum(c for _, c in path) + sum(toxic_model.costs[marks[k - 2], marks[k - 1], marks[k]] for k in range(2, len(marks)))
+            best = min(best, cost)
+        least = min(sum(c for _, c in p) + sum(toxic_model.costs[m[k - 2], m[k - 1], m[k]] for k in range(2, len(m))) for p in itertools.product(*options(word)) for m in [[0, 0, *map(code, "".join(x for x, _ in p)), 0]] if "".join(x for x, _ in p) == restore(word))
+        assert math.isclose(least, best, rel_tol=1e-9), word
+
+
+def test_toxicity_scores_word_by_word(spark, toxic_model):
+    """The score of each text from its words one at a time, without arrays."""
+    import random
+
+    rng = random.Random(7)
+    parts = ["idiot", "river", "1d10t", "mo.ron", "loooser", "w0rthless", "Stupid!", "l-o-s-e-r", "42", "45 5 70", "i d i o t", "m 0 r 0 n", "the", "é", "...", "stupidest", "12", "a"]
+    some = [" ".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(80)]
+    restore, weight = toxicity.Restorer(toxic_model.costs), dict(zip(toxic_model.features.tolist(), toxic_model.weights, strict=True))
+
+    def features(word):
+        tags = [int(t) for t in toxicity._TAG]
+        h = lambda w: int(_arrow.hash_strings([w])[0])
+        return {h(word) ^ tags[0], *(h(word[:p]) ^ tags[k] for k, p in enumerate(toxicity.PREFIXES, 1) if len(word) > p)}
+
+    def cores(text):
+        for chunk in re.findall(WS, low(text)):
+            core = re.sub(r"[$@]{3,}", lambda m: "\0" * len(m.group()), chunk)
+            m = re.search(r"[^\W_]|[$@]", core)
+            inner = [i for i, c in enumerate(core) if c.isalpha() or c.isdigit() or c in "$@"]
+            yield chunk[inner[0] : inner[-1] + 1] if m and inner else ""
+
+    for t, r in zip(some, toxicity.score(spark.createDataFrame([(x,) for x in some], "text string").coalesce(1), toxic_model).collect(), strict=True):
+        found, words = set(), [c for c in cores(t) if c]
+        for w in words:
+            raw, plain = w.encode(), w.isalpha()
+            if plain and not re.search(r"(.)\1\1", w) and len(raw) > 2:
+                found |= features(raw)
+            if not plain and (re.search(r"[^\W\d_]", w) or len(raw) > 2) or plain and len(raw) > 2 and re.search(r"(.)\1\1", w):
+                for p in [*re.findall(r"[^\W\d_]{2,}", w), restore(w)]:
+                    if p:
+                        found |= features(p.encode())
+        short = [len(w) == 1 or len(w) == 2 and not w.isalpha() for w in words]
+        i = 0
+        while i < len(words):
+            j = i
+            while j < len(words) and short[j]:
+                j += 1
+            if j - i > 2:
+                run = "".join(words[i:j])
+                for p in {restore(run), *restore(run, True).split(" ")}:
+                    if p:
+                        found |= features(p.encode())
+            i = max(j, i + 1)
+        total = toxic_model.bias + sum(weight.get(f, 0.0) for f in found)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-total)), rel_tol=1e-9), t
