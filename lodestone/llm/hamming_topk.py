@@ -11,7 +11,6 @@ that bound, so the result is exact.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,8 @@ from pyspark.sql.window import Window
 from lodestone.llm._shared import written
 
 BITS = 64
+#: Segment values that a query probes in one step, if it is more than one segment at one radius.
+PROBES = 512
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -30,27 +31,37 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 
 def _segments(n: int, bits: int) -> list[tuple[int, int]]:
-    """(offset, width) of the segments, none wider than log2 of the number of codes."""
-    m = min(bits, max(1, math.ceil(bits / max(1.0, math.log2(max(2, n))))))
+    """(offset, width) of the segments, none wider than log2 of the number of codes, or 8."""
+    m = max(1, math.ceil(bits / max(8.0, math.log2(max(2, n)))))
     cuts = [round(j * bits / m) for j in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _masks(width: int, weight: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in combinations(range(width), weight)]
-
-
 def _value(code: Column, offset: int, width: int) -> Column:
     return F.call_function("shiftrightunsigned", code, F.lit(offset)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+def _probes(pending: DataFrame, segment: int, offset: int, width: int, radius: int) -> DataFrame:
+    """The values at exactly ``radius`` from each query's segment: the executors flip one bit after another, each above the last."""
+    out = pending.select("q", "bound", F.lit(segment).alias("pseg"), _value(F.col("q"), offset, width).alias("pvalue"), F.lit(-1).alias("last"))
+    for r in range(radius):
+        out = out.select("q", "bound", "pseg", "pvalue", F.explode(F.sequence(F.col("last") + 1, F.lit(width - radius + r))).alias("last"))
+        out = out.withColumn("pvalue", F.col("pvalue").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("last"))))
+    return out.drop("last")
+
+
 def _steps(segments: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """(radius, segment) in order: whole radii while they are cheap, then pairs of segments."""
-    out = []
+    """(radius, segment) in order of growing radius, as many in a step as PROBES allows, one at least."""
+    out: list[list[tuple[int, int]]] = []
+    room = 0
     for s in range(max(w for _, w in segments) + 1):
-        every = [(s, j) for j, (_, w) in enumerate(segments) if s <= w]
-        step = len(every) if s < 3 else 2
-        out += [every[i : i + step] for i in range(0, len(every), step)]
+        for j, (_, w) in enumerate(segments):
+            if s <= w:
+                if room < math.comb(w, s):
+                    out.append([])
+                    room = PROBES
+                out[-1].append((s, j))
+                room -= math.comb(w, s)
     return out
 
 
@@ -79,15 +90,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) ->
     for step in steps:
         probes = None
         for s, j in step:
-            o, w = segments[j]
-            masks = F.explode(F.lit(_masks(w, s)).cast("array<long>")).alias("mask")
-            p = pending.select("q", "bound", F.lit(j).alias("pseg"), masks).select("q", "bound", "pseg", _value(F.col("q"), o, w).bitwiseXOR(F.col("mask")).alias("pvalue"))
+            p = _probes(pending, j, *segments[j], s)
             probes = p if probes is None else probes.unionAll(p)
         # A code is taken where it is met first: at its least segment distance, in the first segment that has it.
         x = F.col("code").bitwiseXOR(F.col("q"))
         first = F.lit(False)
         for s, j in step:
-            here = F.col("seg") == j
+            here = (F.col("seg") == j) & (F.bit_count(_value(x, *segments[j])) == s)
             for i, (o, w) in enumerate(segments):
                 if i != j:
                     here = here & ((F.bit_count(_value(x, o, w)) > s) if i < j else (F.bit_count(_value(x, o, w)) >= s))
@@ -106,7 +115,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) ->
         state = written(state)
         ended = best.join(state.where("over").select("q"), "q", "left_semi")
         done = ended if done is None else done.unionAll(ended)
-        pending = written(state.where("not over").select("q", "bound"))
+        pending = state.where("not over").select("q", "bound")
         best = best.join(pending.select("q"), "q", "left_semi")
         if not pending.head(1):
             break
