@@ -23,7 +23,7 @@ from lodestone.llm._shared import discard, written
 
 BINS, BANDS = 128, 32
 #: Rows, and bytes of bitmaps, of a bucket that are compared in one block; members that are compared with one copy of a centre's set.
-BLOCK, BLOCK_BYTES, MEMBERS = 8192, 4 << 20, 256
+BLOCK, BLOCK_BYTES, MEMBERS = 8192, 4 << 20, 64
 #: Bands whose buckets give star-shaped edges.
 STAR_BANDS = 8
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
