@@ -7,27 +7,28 @@ from pyspark.sql import functions as F
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the usual table."""
+    """Length of the longest common subsequence of two arrays.
 
-    def next_row(row: Column, x: Column) -> Column:
-        # struct(left, cells): cells so far, and the value to the left.
-        start = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("cells"))
-        pairs = F.zip_with(b, F.sequence(F.lit(1), F.size(b)), lambda y, j: F.struct(y.alias("y"), j.alias("j")))
+    The places in ``b`` of each element of ``a``, the last first, are joined;
+    the longest rising run of them is the answer.  Of each length the least
+    end is kept: a place takes that of the first end that is not below it.
+    """
+    places = F.flatten(F.transform(a, lambda x: F.reverse(F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: F.get(b, i - 1) == x))))
 
-        def cell(s: Column, p: Column) -> Column:
-            up, corner = F.get(row, p["j"] - 1), F.coalesce(F.get(row, p["j"] - 2), F.lit(0))
-            v = F.when(p["y"] == x, corner + 1).otherwise(F.greatest(up, s["left"]))
-            return F.struct(v.alias("left"), F.concat(s["cells"], F.array(v)).alias("cells"))
+    def taken(ends: Column, p: Column) -> Column:
+        below = F.size(F.filter(ends, lambda e: e < p))
+        return F.concat(F.slice(ends, F.lit(1), below), F.array(p), F.slice(ends, below + 2, F.size(ends)))
 
-        return F.aggregate(pairs, start, cell)["cells"]
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.size(F.aggregate(places, F.array().cast("array<int>"), taken)))
 
-    zeros = F.array_repeat(F.lit(0), F.size(b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zeros, next_row), -1))
+
+def words(t: Column) -> Column:
+    return F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
 
 
 def rouge_l(a: Column, b: Column) -> Column:
     """F measure of the longest common subsequence of words; 0 if a side has none."""
-    x, y = (F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "") for t in (a, b))
+    x, y = words(a), words(b)
     n = lcs_length(x, y)
     p, r = F.try_divide(n, F.size(x)), F.try_divide(n, F.size(y))
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.arxiv import mapped_id, month_start, year_month
-from lodestone.functions.rouge import rouge_l
+from lodestone.functions.rouge import rouge_l, words
 from lodestone.functions.text import clean_title, letters_key
 
 PAPER = {"title": "string", "abstract": "string", "date": "string", "authors": "array<string>", "category": "array<string>", "url": "string"}
@@ -64,21 +64,73 @@ def enrich(papers: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both, papers.join(found, "arxiv_id", "left_anti").select("arxiv_id")
 
 
+def _prefixes(titles: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(t, n, word, nth) of the rarest words of each title (t, w): enough that two titles with F over SIMILAR share one.
+
+    F over s needs a common subsequence of over s / (2 - s) of each title's
+    words, so of its n words all but so many, less one, can be left out.
+    """
+    rows = titles.select("t", F.size("w").alias("n"), F.explode("w").alias("word"))
+    # Equal words of a title are numbered, so that a title is a set.
+    rows = rows.groupBy("t", "n", "word").agg(F.count("*").cast("int").alias("times")).select("t", "n", "word", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+    common = F.floor(F.col("n") * (SIMILAR / (2 - SIMILAR)) + 1e-9) + 1
+    ranked = rows.join(frequency, "word", "left").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("df", F.lit(0)), "word", "nth")))
+    return ranked.where(F.col("k") <= F.col("n") - common + 1).select("t", "n", "word", "nth")
+
+
+def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(t, u, sim) of all pairs of different texts t of ``left`` and u of ``right`` (columns t, distinct) with a similarity over SIMILAR.
+
+    Pairs that share one of their rarest words and fit in length are compared;
+    the bounds follow from the measure, so that no pair is lost.
+    """
+    x, y = (d.select("t", words(F.col("t")).alias("w")).where(F.size("w") > 0) for d in (left, right))
+    frequency = y.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    a, b = _prefixes(x, frequency), _prefixes(y, frequency).withColumnsRenamed({"t": "u", "n": "m"})
+    fits = 2 * F.least("n", "m") > SIMILAR * (F.col("n") + F.col("m"))
+    pairs = a.join(b, ["word", "nth"]).where(fits).select("t", "u").distinct()
+    return pairs.withColumn("sim", rouge_l(F.col("t"), F.col("u"))).where(F.col("sim") > SIMILAR)
+
+
 def reference_lookup(references: DataFrame, meta: DataFrame) -> DataFrame:
-    """Each reference (ref_id, arxiv_id, title) by id, else by its most similar title of 0.85 or more, else an empty record.
+    """Each reference (ref_id, arxiv_id, title) by id, else by its most similar title of over 0.85 (the least id of equals), else an empty record.
 
-    Titles are compared where they share their first word of four letters or
-    more, so that no reference meets every title.
+    Titles are compared cleaned and once for each text.  The empty record has
+    the reference's id and cleaned title; its other fields are empty.
     """
-    block = lambda t: F.regexp_extract(F.lower(clean_title(t)), r"(\p{L}{4,})", 1)
     by_id = references.join(meta.select(F.col("arxiv_id").alias("m_id"), F.col("title").alias("m_title")), F.col("arxiv_id") == F.col("m_id"))
     by_id = by_id.groupBy("ref_id").agg(F.min(F.struct("m_id", "m_title")).alias("m")).select("ref_id", "m.m_id", "m.m_title", F.lit("id").alias("how"))
-    rest = references.join(by_id, "ref_id", "left_anti").withColumn("block", block(F.col("title"))).where("block <> ''")
-    titles = meta.select(F.col("arxiv_id").alias("m_id"), F.col("title").alias("m_title"), block(F.col("title")).alias("block")).where("block <> ''")
-    near = rest.join(titles, "block").withColumn("sim", rouge_l(clean_title(F.col("title")), clean_title(F.col("m_title")))).where(F.col("sim") > SIMILAR)
-    by_title = near.groupBy("ref_id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "m_id", "m_title")).alias("m")).select("ref_id", "m.m_id", "m.m_title", F.lit("title").alias("how"))
+    key = F.lower(clean_title(F.col("title"))).alias("t")
+    rest = references.join(by_id, "ref_id", "left_anti").select("ref_id", key)
+    titles = meta.groupBy(key).agg(F.min(F.struct(F.col("arxiv_id").alias("m_id"), F.col("title").alias("m_title"))).alias("m"))
+    near = similar_titles(rest.select("t").distinct(), titles.select("t")).join(titles.withColumnRenamed("t", "u"), "u").groupBy("t").agg(F.min(F.struct((-F.col("sim")).alias("s"), "m.m_id", "m.m_title")).alias("m"))
+    by_title = rest.join(near, "t").select("ref_id", "m.m_id", "m.m_title", F.lit("title").alias("how"))
     found = by_id.unionByName(by_title)
-    return references.join(found, "ref_id", "left").select("ref_id", F.coalesce("m_id", "arxiv_id").alias("arxiv_id"), F.coalesce("m_title", clean_title(F.col("title"))).alias("title"), F.coalesce("how", F.lit("empty")).alias("how"))
+    out = references.join(found, "ref_id", "left").select("ref_id", F.coalesce("m_id", "arxiv_id").alias("arxiv_id"), F.coalesce("m_title", clean_title(F.col("title"))).alias("title"), F.coalesce("how", F.lit("empty")).alias("how"))
+    rest_of = meta.select(F.col("arxiv_id"), F.col("title"), *(F.col(c) for c in ("abstract", "date", "url", "authors", "category") if c in meta.columns))
+    if len(rest_of.columns) == 2:
+        return out
+    both = out.join(rest_of.dropDuplicates(["arxiv_id", "title"]), ["arxiv_id", "title"], "left")
+    empty = {c: F.array().cast(PAPER[c]) if PAPER[c].startswith("array") else F.lit("") for c in rest_of.columns[2:]}
+    return both.select("ref_id", "arxiv_id", "title", "how", *(F.coalesce(c, e).alias(c) for c, e in empty.items()))
+
+
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(qid, paper_id): documents (doc_id, text) whose text holds the passage (item_id, text).
+
+    Words within a passage stand whole in a text that holds it, so a text that
+    lacks the passage's second to fourth word in a row cannot hold it; what has
+    them is compared.  Passages of fewer than five words are compared with all.
+    """
+    three = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    parts = passages.where("text IS NOT NULL").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("w"))
+    asked = parts.where(F.size("w") >= 5).select("item_id", three(F.col("w"), F.lit(1)).alias("key"))
+    words_of = docs.select("doc_id", F.split("text", r"\s+").alias("w")).where(F.size("w") > 2)
+    keys = words_of.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: three(F.col("w"), i)))).alias("key"))
+    maybe = keys.join(asked, "key").select("doc_id", "item_id").distinct()
+    long = maybe.join(docs.select("doc_id", "text"), "doc_id").join(parts.select("item_id", "passage"), "item_id").where(F.contains("text", "passage"))
+    short = docs.select("doc_id", "text").join(parts.where(F.size("w") < 5).select("item_id", "passage"), F.contains("text", "passage"))
+    return long.select("item_id", "doc_id").unionAll(short.select("item_id", "doc_id")).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("paper_id")).distinct()
 
 
 def survey_references(surveys: DataFrame) -> DataFrame:
@@ -101,10 +153,6 @@ def labelled_titles(papers: Column, labels: Column) -> Column:
     return F.array_distinct(F.filter(titles, lambda x: ~F.coalesce(x, F.lit("")).isin("", "Unknown")))
 
 
-def valid(gt: Column, not_found: Column) -> Column:
-    return (F.size(gt) > 0) & ~F.coalesce(F.arrays_overlap(gt, not_found), F.lit(False))
-
-
 def latest_month(ids: Column) -> Column:
     """The greatest 'YYYY-MM' of the ids, or null."""
     return F.array_max(F.transform(ids, lambda x: F.when(year_month(x).isNotNull(), F.format_string("%04d-%02d", year_month(x)["year"], year_month(x)["month"]))))
@@ -123,6 +171,11 @@ def evaluation_queries(queries: DataFrame, papers: DataFrame, not_found: DataFra
     return out.select("qid", "query", "cited_paper", F.array_repeat(F.lit(1), F.size("cited_paper")).alias("gt_label"), latest_month(F.col("gt")).alias("date"), "source", ((F.size("gt") > 0) & F.col("bad").isNull()).alias("valid"))
 
 
+def first_papers(papers: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` papers of the corpus, all if None or 0: a smaller corpus for trials."""
+    return papers.orderBy("ord").limit(most) if most else papers
+
+
 def with_order(papers: DataFrame, *keys: str) -> DataFrame:
     """``ord``, the place in the corpus, from a total order of ``keys``: ranks within range partitions plus the partitions' sizes before."""
     parts = papers.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())

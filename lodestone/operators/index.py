@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import index_text, tokens
 from lodestone.plans.storage import stored
+from lodestone.sources.writers import append_new
 
+VECTORS = "paper_id long, ord long, date string, arxiv_id string, embedding array<float>"
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -59,6 +61,18 @@ def build_vector_index(papers: DataFrame, embeddings: DataFrame, done: DataFrame
     return rows if done is None else rows.join(done.select("paper_id"), "paper_id", "left_anti")
 
 
+def save_vector_index(rows: DataFrame, path: str, append: bool = False) -> None:
+    """The vectors in corpus order within files; with ``append`` only papers that the table does not have yet are added, so a run that broke off goes on."""
+    if append:
+        append_new(rows, path, "paper_id")
+    else:
+        rows.sortWithinPartitions("ord").write.mode("overwrite").parquet(path)
+
+
+def load_vector_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(VECTORS).parquet(path)
+
+
 def paper_by_id(papers: DataFrame, paper_id) -> DataFrame:
     return papers.where(F.col("paper_id") == F.lit(paper_id))
 

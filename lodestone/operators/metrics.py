@@ -127,6 +127,11 @@ def non_negative_means(values: DataFrame, columns: list[str], by: list[str] | No
     return values.groupBy(*(by or [])).agg(*(F.avg(F.when(F.col(c) >= 0, F.col(c))).alias(f"avg_{c}") for c in columns))
 
 
+def success_counts(values: DataFrame, success: Column, by: list[str] | None = None) -> DataFrame:
+    """All rows and those of them that succeeded."""
+    return values.groupBy(*(by or [])).agg(F.count("*").alias("total"), F.count_if(success).alias("successful"))
+
+
 def final_papers(selected: DataFrame) -> DataFrame:
     """Distinct selected papers (qid, seq, paper_id, payload): first place, last payload."""
     return selected.groupBy("qid", "paper_id").agg(F.min("seq").alias("seq"), F.max_by("payload", "seq").alias("payload"))

@@ -16,6 +16,8 @@ from lodestone.functions.text import tokens
 from lodestone.functions.vectors import dot
 from lodestone.operators.index import K1, B, TermIndex
 
+#: Truth pairs up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_PAIRS = 1_000_000
 #: The rank of a ground-truth paper that a search does not find, and results and pages of one subquery.
 NOT_FOUND, MAX_RESULTS, MAX_PAGES = 570205, 10, 3
 
@@ -42,8 +44,11 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, keep_missing: bool = T
 
 
 def without(scores: DataFrame, excluded: DataFrame | None) -> DataFrame:
-    """Rows not in ``excluded`` (qid, paper_id): before any rank."""
-    return scores if excluded is None else scores.join(excluded.select("qid", "paper_id"), ["qid", "paper_id"], "left_anti")
+    """Rows not in ``excluded``, before any rank: by (qid, arxiv_id) if it has that column, so that all records of a paper go, else by (qid, paper_id)."""
+    if excluded is None:
+        return scores
+    keys = ["qid", "arxiv_id"] if "arxiv_id" in excluded.columns else ["qid", "paper_id"]
+    return scores.join(excluded.select(*keys).distinct(), keys, "left_anti")
 
 
 def order(score: str = "score"):
@@ -56,27 +61,61 @@ def page(scores: DataFrame, top_k: int = MAX_RESULTS, offset: int = 0) -> DataFr
     return ranked.where(F.col("rn") > offset).select("qid", (F.col("rn") - 1).cast("long").alias("rank"), "paper_id", "arxiv_id", "date", "score")
 
 
-def ground_truth_ranks(scores: DataFrame, truth: DataFrame, one_based_offset: int | None = None, missing: int | None = NOT_FOUND, fetched: int | None = None) -> DataFrame:
-    """(qid, paper_id, rank, total) of each ground-truth pair: papers before it, and ranked papers less one.
+def ground_truth_ranks(scores: DataFrame, truth: DataFrame, one_based_offset: int | None = None, missing: int | None = NOT_FOUND) -> DataFrame:
+    """(qid, paper_id, rank, total) of each ground-truth pair: papers before it, and ranked papers less one (plus one for ranks that start at 1).
 
     Only better papers are counted, no list is sorted.  With
     ``one_based_offset`` ranks start at 1 and lose the offset, not below 0;
-    ``missing`` None stands for one more than the list is long.  ``fetched``
-    takes ranks from there on as not found, as a search that fetches only so
-    many candidates does.
+    ``missing`` None stands for one more than the list is long.
     """
     pairs = truth.select("qid", "paper_id").distinct()
+    whole = F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)) if one_based_offset is None else F.coalesce("n", F.lit(0)) + 1
     size = scores.groupBy("qid").agg(F.count("*").alias("n"))
     mine = scores.join(pairs, ["qid", "paper_id"]).select("qid", F.col("paper_id").alias("gt"), F.round("score", 9).alias("gs"), F.col("ord").alias("go"))
+    if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:  # then no score is moved, and counts are added up before the shuffle
+        mine = F.broadcast(mine)
     s = F.round("score", 9)
     better = scores.join(mine, "qid").where((s > F.col("gs")) | ((s == F.col("gs")) & (F.col("ord") < F.col("go")))).groupBy("qid", "gt").agg(F.count("*").alias("before"))
     found = mine.select("qid", "gt").join(better, ["qid", "gt"], "left").select("qid", F.col("gt").alias("paper_id"), F.coalesce("before", F.lit(0)).alias("before"))
     rank = F.col("before") if one_based_offset is None else F.when(F.col("before").isNotNull(), F.greatest(F.col("before") + 1 - one_based_offset, F.lit(0)))
     absent = F.lit(missing) if missing is not None else F.coalesce("n", F.lit(0)) + 1
-    if fetched is not None:
-        found = found.where(F.col("before") < fetched)
     joined = pairs.join(found, ["qid", "paper_id"], "left").join(size, "qid", "left")
-    return joined.select("qid", "paper_id", F.coalesce(rank, absent).cast("long").alias("rank"), F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).cast("long").alias("total"))
+    return joined.select("qid", "paper_id", F.coalesce(rank, absent).cast("long").alias("rank"), whole.cast("long").alias("total"))
+
+
+def fetched(scores: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best rows of each query, as an index that returns only so many candidates gives them."""
+    ranked = scores.withColumn("rn", F.row_number().over(order())).where(F.col("rn") <= most)
+    return ranked.drop("rn")
+
+
+def over_fetched(vectors: DataFrame, queries: DataFrame, excluded: DataFrame | None = None, offset: int = 0, least: int = 100, times: int = 5) -> DataFrame:
+    """Vector scores as a search service gives them: (offset + least) * times candidates of each query are fetched, then cut off by month and exclusion.
+
+    Rows without an arXiv id go.  What lies beyond the candidates is not
+    found, whatever the cutoff leaves; pages and ground-truth ranks are taken
+    from what is returned here.
+    """
+    every = vector_scores(vectors, queries.withColumn("before_date", F.lit(None).cast("string")))
+    near = fetched(every, (offset + least) * times).join(queries.select("qid", "before_date"), "qid")
+    dated = near.where(month_ok(F.col("date"), F.col("before_date"), True)).drop("before_date")
+    return without(dated.where("coalesce(arxiv_id, '') <> ''"), excluded)
+
+
+def flat_search(vectors: DataFrame, queries: DataFrame, truth: DataFrame | None = None, top_k: int = MAX_RESULTS, offset: int = 0, times: int = 5) -> tuple[DataFrame, DataFrame | None]:
+    """Vector search in a flat index: (page, ranks of ``truth`` or None).
+
+    Without a cutoff top_k + offset candidates are fetched, with one ``times``
+    as many; papers without a date then go.  Nothing is excluded.  Ranks begin
+    at 1 after the offset; what is not among the candidates takes one more
+    than their number.
+    """
+    every = vector_scores(vectors, queries.withColumn("before_date", F.lit(None).cast("string")))
+    both = every.join(queries.select("qid", "before_date"), "qid").withColumn("rn", F.row_number().over(order()))
+    most = F.when(F.col("before_date").isNull(), top_k + offset).otherwise((top_k + offset) * times)
+    near = both.where(F.col("rn") <= most).where(month_ok(F.col("date"), F.col("before_date"), False)).drop("before_date", "rn")
+    ranks = None if truth is None else ground_truth_ranks(near, truth, one_based_offset=offset, missing=None)
+    return page(near, top_k, offset), ranks
 
 
 def hybrid_scores(vector: DataFrame, bm25: DataFrame, top_k: int = MAX_RESULTS, offset: int = 0, vector_weight: float = 0.5, bm25_weight: float = 0.5) -> DataFrame:
@@ -96,9 +135,13 @@ def hybrid_scores(vector: DataFrame, bm25: DataFrame, top_k: int = MAX_RESULTS,
 
 
 def search(queries: DataFrame, method: str = "bm25", index: TermIndex | None = None, vectors: DataFrame | None = None, excluded: DataFrame | None = None, top_k: int = MAX_RESULTS, offset: int = 0) -> DataFrame:
-    """One page of each query by ``method``; any other name than bm25 and vector is hybrid."""
+    """One page of each query by ``method``: bm25, vector, vector_service (over-fetching), vector_flat (without exclusion); any other name is hybrid."""
     if method == "bm25":
         return page(without(bm25_scores(index, queries), excluded), top_k, offset)
+    if method == "vector_service":
+        return page(over_fetched(vectors, queries, excluded, offset), top_k, offset)
+    if method == "vector_flat":
+        return flat_search(vectors, queries, None, top_k, offset)[0]
     if method == "vector":
         return page(without(vector_scores(vectors, queries), excluded), top_k, offset)
     return page(hybrid_scores(without(vector_scores(vectors, queries), excluded), without(bm25_scores(index, queries), excluded), top_k, offset), top_k, offset)

@@ -47,10 +47,10 @@ def chosen(answers: DataFrame) -> DataFrame:
     return rows.select("qid", "sq_id", F.explode("s.selected").alias("paper_id")).distinct()
 
 
-def window_keys(queries: DataFrame, size: int = 8, most: int = 3) -> DataFrame:
-    """(qid, sq_id, text): stretches of a query's tokens stand for generated search keys."""
+def window_keys(queries: DataFrame, size: int = 8) -> DataFrame:
+    """(qid, sq_id, text): all stretches of a query's tokens stand for generated search keys."""
     t = queries.select("qid", tokens(F.col("query")).alias("t"))
-    n = F.least(F.ceil(F.size("t") / size), F.lit(most)).cast("int")
+    n = F.ceil(F.size("t") / size).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice("t", i * size + 1, F.lit(size)), " "))
     return t.where(F.size("t") > 0).select("qid", F.posexplode(parts).alias("sq_id", "text"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir, read again; its lineage ends there.  A temporary folder serves where none is named."""
+    """``df`` as a table in the folder of spark.checkpoint.dir, read again; its lineage ends there.  A temporary folder serves where none is named and all runs on one machine."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -16,6 +16,9 @@ def stored(df: DataFrame) -> DataFrame:
         if held.isDefined():
             folder = held.get()
         else:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="plan-")
@@ -25,4 +28,13 @@ def stored(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of ``stored`` tables that no later step reads."""
+    for df in tables:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

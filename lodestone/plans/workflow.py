@@ -7,6 +7,7 @@ iteration, so that a plan never grows with the number of iterations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql.window import Window
 from lodestone.operators.index import TermIndex
 from lodestone.operators.metrics import at_k, set_metrics, simple_distance
 from lodestone.operators.search import MAX_PAGES, MAX_RESULTS, bm25_scores, combine, ground_truth_ranks, page
-from lodestone.plans.agents import Planner, Selector
-from lodestone.plans.storage import stored
+from lodestone.plans.agents import Planner, Selector, browsed
+from lodestone.plans.storage import discard, stored
 
 STATE = "qid long, iter int, sq_id int, source int, text string, target_k int, link_type string"
 
@@ -41,20 +42,24 @@ def resolve_plan(plan: DataFrame, states: DataFrame, iteration: int) -> DataFram
     return both.select("qid", F.lit(iteration).alias("iter"), "sq_id", "s.source", "s.text", F.least(F.coalesce("s.target_k", F.lit(MAX_RESULTS)), F.lit(MAX_RESULTS)).alias("target_k"), "s.link_type")
 
 
-def subquery_paths(states: DataFrame, depth: int = 6) -> DataFrame:
-    """(qid, sq_id, level, path) of the subquery tree by parent pointers; 0 is the root."""
-    nodes = states.groupBy("qid", "sq_id").agg(F.max_by("source", "iter").alias("source"))
-    level = nodes.where("source = 0").select("qid", "sq_id", F.lit(1).alias("level"), F.concat(F.lit("0/"), F.col("sq_id").cast("string")).alias("path"))
-    out = level
-    for k in range(2, depth + 1):
-        up = level.select("qid", F.col("sq_id").alias("source"), "path")
-        level = nodes.join(up, ["qid", "source"]).select("qid", "sq_id", F.lit(k).alias("level"), F.concat("path", F.lit("/"), F.col("sq_id").cast("string")).alias("path"))
+def subquery_paths(states: DataFrame) -> DataFrame:
+    """(qid, sq_id, level, path) of the subquery tree by parent pointers; 0 is the root.
+
+    Levels are followed to the last; a subquery has one parent, so that none
+    is met twice, and those that no root leads to are left out.
+    """
+    nodes = stored(states.groupBy("qid", "sq_id").agg(F.max_by("source", "iter").alias("source")))
+    level = out = stored(nodes.where("source = 0").select("qid", "sq_id", F.lit(1).alias("level"), F.concat(F.lit("0/"), F.col("sq_id").cast("string")).alias("path")))
+    while level.head(1):
+        up = level.select("qid", F.col("sq_id").alias("source"), F.col("level").alias("above"), "path")
+        level = stored(nodes.join(up, ["qid", "source"]).select("qid", "sq_id", (F.col("above") + 1).alias("level"), F.concat("path", F.lit("/"), F.col("sq_id").cast("string")).alias("path")))
         out = out.unionByName(level)
     return out
 
 
 def iteration_texts(states: DataFrame, iteration: int) -> DataFrame:
     """(qid, last, previous): lines of the iteration before and of earlier ones, 'none' where there are none."""
+    # Fixed value: the line format that planners read.
     line = F.format_string('id=%d | iteration=%d | text="%s" | target_k=%d | retrieved=%d | selected=%d | selector_overview="%s"', "sq_id", "iter", "text", "target_k", "retrieved", "selected", F.trim(F.replace(F.coalesce("overview", F.lit("")), F.lit("\n"), F.lit(" "))))
     rows = states.withColumn("line", F.struct("sq_id", "iter", line.alias("line")))
     joined = lambda when: F.coalesce(F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.col("line")))), lambda x: x["line"]), "\n"), F.lit("")), F.lit("none"))
@@ -79,22 +84,75 @@ class DeepRun:
     status: DataFrame
 
 
-def deep_research(index: TermIndex, queries: DataFrame, truth: DataFrame, planner: Planner, selector: Selector, iterations: int = 5, stable_paging: bool = False) -> DeepRun:
+Scorer = Callable[[DataFrame], DataFrame]
+Finished = Callable[[int, DataFrame], DataFrame]
+
+
+@dataclass
+class Browsing:
+    """How contents (paper_id, browsing_content) come into the selection: a mode of ``browsed``, and which candidates the selector wants read (qid, sq_id, paper_id)."""
+
+    mode: str
+    contents: DataFrame
+    wanted: Selector | None = None
+
+
+def selection(found: DataFrame, selector: Selector, browsing: Browsing | None = None) -> DataFrame:
+    """What the selector keeps of the candidates (qid, iter, sq_id, paper_id, rank, score).
+
+    PRE_ENRICH reads all candidates before.  The other modes read the wanted
+    ones after a first selection and select again: REFRESH among all
+    candidates of the subqueries that wanted any, whose first selection is
+    dropped, INCREMENTAL among the wanted ones, which adds to the first.
+    """
+    keep = lambda c: selector(c).select(*found.columns)
+    if browsing is None or browsing.mode == "NONE":
+        return keep(browsed(found, found, found, "NONE")) if browsing else keep(found)
+    if browsing.mode == "PRE_ENRICH":
+        return keep(browsed(found, found, browsing.contents, "PRE_ENRICH"))
+    first = keep(browsed(found, found, found, "NONE"))
+    wanted = browsing.wanted(found).select("qid", "sq_id", "paper_id").distinct()
+    some = found.join(wanted, ["qid", "sq_id", "paper_id"], "left_semi")
+    if browsing.mode == "INCREMENTAL":
+        return first.unionByName(keep(browsed(some, some, browsing.contents, "REFRESH"))).distinct()
+    asked = wanted.select("qid", "sq_id").distinct()
+    read = some.join(browsing.contents, "paper_id").select("qid", "sq_id", "paper_id", "browsing_content")
+    again = found.join(asked, ["qid", "sq_id"], "left_semi").join(read, ["qid", "sq_id", "paper_id"], "left")
+    return first.join(asked, ["qid", "sq_id"], "left_anti").unionByName(keep(again))
+
+
+def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame, planner: Planner, selector: Selector, iterations: int = 5, stable_paging: bool = False, scorer: Scorer | None = None, finished: Finished | None = None, browsing: Browsing | None = None) -> DeepRun:
     """Runs all queries (qid, query, before_date) for up to ``iterations``.
 
-    Papers that a query has selected are left out of its later searches.  The
-    offset of a subquery is the number of papers that it has retrieved, which
-    skips unseen papers once some are left out; ``stable_paging`` subtracts
-    those.  A query without subqueries in an iteration ends: 'complete' if it
-    has selected a paper, else 'failed'.
+    ``scorer`` gives the scores of subqueries (qid, query, before_date) by any
+    method, BM25 of ``index`` unless given.  Papers that a query has selected
+    are left out of its later searches.  The offset of a subquery is the
+    number of papers that it has retrieved, which skips unseen papers once
+    some are left out; ``stable_paging`` subtracts those.
+
+    A query ends where ``finished`` (iteration, states) names its qid:
+    'complete' if it has selected a paper, else 'failed'; and where it has no
+    subqueries, 'failed'.  Ended queries take no part in what follows; the
+    others are 'finished' after the last iteration.
     """
     spark = queries.sparkSession
+    scorer = scorer or (lambda asked: bm25_scores(index, asked))
     states = spark.createDataFrame([], STATE)
     hits = "qid long, iter int, sq_id int, paper_id long, rank long, score double"
     retrieved = selected = spark.createDataFrame([], hits)
     ranks = spark.createDataFrame([], "qid long, iter int, sq_id int, paper_id long, rank long, total long")
+    ended = spark.createDataFrame([], "qid long, status string")
     for i in range(1, iterations + 1):
-        now = stored(resolve_plan(planner(i, states), states, i))
+        live = queries.select("qid").join(ended, "qid", "left_anti")
+        over = live.limit(0)
+        if finished is not None:
+            over = live.join(finished(i, states).select("qid").distinct(), "qid", "left_semi")
+        some = selected.select("qid").distinct().withColumn("any", F.lit(True))
+        out = over.join(some, "qid", "left").select("qid", F.when(F.col("any"), "complete").otherwise("failed").alias("status"))
+        live = live.join(over, "qid", "left_anti")
+        now = stored(resolve_plan(planner(i, states).join(live, "qid", "left_semi"), states, i))
+        idle = live.join(now.select("qid").distinct(), "qid", "left_anti").select("qid", F.lit("failed").alias("status"))
+        ended = stored(ended.unionByName(out).unionByName(idle))
         if not now.head(1):
             break
         seen = retrieved.groupBy("qid", "sq_id").agg(F.count("*").alias("seen"))
@@ -104,28 +162,29 @@ def deep_research(index: TermIndex, queries: DataFrame, truth: DataFrame, planne
         key = F.struct("qid", "sq_id")
         asked = now.join(queries.select("qid", "before_date"), "qid").join(seen, ["qid", "sq_id"], "left").select(key.alias("qid"), F.col("text").alias("query"), "before_date", "target_k", F.coalesce("seen", F.lit(0)).alias("offset"))
         banned = selected.select("qid", "paper_id").distinct()
-        scores = bm25_scores(index, asked.select("qid", "query", "before_date"))
+        scores = scorer(asked.select("qid", "query", "before_date"))
         scores = stored(scores.withColumn("_q", F.col("qid.qid")).join(banned.withColumnRenamed("qid", "_q"), ["_q", "paper_id"], "left_anti").drop("_q"))
         found = stored(page_at(scores, asked).select("qid.qid", F.lit(i).alias("iter"), "qid.sq_id", "paper_id", "rank", "score"))
         pairs = now.select("qid", "sq_id").join(truth, "qid").select(key.alias("qid"), "paper_id")
         place = ground_truth_ranks(scores, pairs).select("qid.qid", F.lit(i).alias("iter"), "qid.sq_id", "paper_id", "rank", "total")
         states = stored(states.unionByName(now.select(*(f.name for f in states.schema))))
         retrieved = stored(retrieved.unionByName(found))
-        selected = stored(selected.unionByName(selector(found).select(*found.columns)))
+        selected = stored(selected.unionByName(selection(found, selector, browsing).select(*found.columns)))
         ranks = stored(ranks.unionByName(place))
-    done = queries.select("qid").join(states.groupBy("qid").agg(F.max("iter").alias("last")), "qid", "left").join(selected.select("qid").distinct().withColumn("any", F.lit(True)), "qid", "left")
-    status = done.select("qid", F.when(F.col("last").isNull(), "failed").when(F.col("last") == iterations, "finished").when(F.col("any"), "complete").otherwise("failed").alias("status"))
+        discard(scores, found, now)
+    status = queries.select("qid").join(ended, "qid", "left").select("qid", F.coalesce("status", F.lit("finished")).alias("status"))
     return DeepRun(states, retrieved, selected, ranks, status)
 
 
-def simple_workflow(index: TermIndex, keys: DataFrame, truth: DataFrame, top_k: int = MAX_RESULTS, ks: tuple[int, ...] = (5, 10, 20), cutoff: int = 100, dates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def simple_workflow(index: TermIndex | None, keys: DataFrame, truth: DataFrame, top_k: int = MAX_RESULTS, ks: tuple[int, ...] = (5, 10, 20), cutoff: int = 100, dates: DataFrame | None = None, scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame]:
     """Searches every key (qid, sq_id, text) once, merges by greatest score, and measures: (results, metrics by query).
 
-    No date cutoff is applied unless ``dates`` (qid, before_date) is given.
+    No date cutoff is applied unless ``dates`` (qid, before_date) is given;
+    ``scorer`` searches by another method than BM25.
     """
     key = F.struct("qid", "sq_id")
     asked = keys.withColumn("before_date", F.lit(None).cast("string")) if dates is None else keys.join(dates, "qid")
-    scores = stored(bm25_scores(index, asked.select(key.alias("qid"), F.col("text").alias("query"), "before_date")))
+    scores = stored((scorer or (lambda a: bm25_scores(index, a)))(asked.select(key.alias("qid"), F.col("text").alias("query"), "before_date")))
     results = combine(page(scores, top_k).select("qid.qid", "qid.sq_id", "rank", "paper_id", "score"))
     ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "sq_id", "rank")) - 1)
     ranked = stored(ranked)

@@ -9,6 +9,7 @@ from lodestone.functions import article, arxiv, parse, rouge, text, vectors
 from lodestone.operators import corpus, index, metrics, search
 from lodestone.plans import agents, build, evaluate, workflow
 from lodestone.plans.storage import stored
+from lodestone.sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,10 +43,28 @@ def questions(spark: SparkSession, sf_dir: str, before: str | None = None) -> Da
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.lit(before).cast("string").alias("before_date"))
 
 
+_KEPT: dict = {}
+
+
+def kept(name: str, build, spark: SparkSession, sf_dir: str, *tables) -> object:
+    """What ``build`` makes of a corpus, made once in an application: its tables (``tables`` of the result) are stored and read by every query."""
+    key = name, spark.sparkContext.applicationId, sf_dir
+    if key not in _KEPT or not all(readers.exists(spark, t(_KEPT[key])._stored_at) for t in tables):
+        _KEPT[key] = build(spark, sf_dir)
+    return _KEPT[key]
+
+
+def term_index(spark: SparkSession, sf_dir: str) -> index.TermIndex:
+    def build(spark: SparkSession, sf_dir: str) -> index.TermIndex:
+        made = index.build_term_index(papers(spark, sf_dir))
+        return index.TermIndex(made.postings, stored(made.terms), stored(made.stats))
+
+    return kept("terms", build, spark, sf_dir, lambda i: i.postings, lambda i: i.terms, lambda i: i.stats)
+
+
 def containing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground truth: documents that hold the passage; the passages are a stated query set against all documents."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return d.select("doc_id", F.col("text").alias("t")).join(b, F.contains("t", "text")).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("paper_id"))
+    """Ground truth: documents that hold the passage, stored once."""
+    return kept("truth", lambda spark, sf_dir: stored(corpus.holding(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))), spark, sf_dir, lambda t: t)
 
 
 PAPERS = """papers AS (
@@ -107,40 +126,40 @@ def _shown(page: DataFrame) -> DataFrame:
 
 @query(f"WITH {INDEX}, {asked_sql()}, {scored('asked')} {paged()}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search.search(questions(spark, sf_dir), "bm25", index.build_term_index(papers(spark, sf_dir))))
+    return _shown(search.search(questions(spark, sf_dir), "bm25", term_index(spark, sf_dir)))
 
 
 @query(f"""WITH {INDEX}, {asked_sql("'2016-05-20'")}, {scored('asked')} {paged()}""")
 def bm25_before_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search.search(questions(spark, sf_dir, "2016-05-20"), "bm25", index.build_term_index(papers(spark, sf_dir))))
+    return _shown(search.search(questions(spark, sf_dir, "2016-05-20"), "bm25", term_index(spark, sf_dir)))
 
 
 @query(f"""WITH {INDEX}, {asked_sql()}, {scored('asked')}, kept AS (SELECT * FROM scores s WHERE NOT EXISTS (SELECT 1 FROM ({paged("scores", 5)}) b WHERE b.qid = s.qid AND b.paper_id = s.paper_id)) {paged("kept", 10, 10)}""")
 def bm25_exclude_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx, q = index.build_term_index(papers(spark, sf_dir)), questions(spark, sf_dir)
+    idx, q = term_index(spark, sf_dir), questions(spark, sf_dir)
     scores = stored(search.bm25_scores(idx, q))
     return _shown(search.page(search.without(scores, search.page(scores, 5)), offset=10))
 
 
 @query(f"WITH {INDEX}, {asked_sql()}, {scored('asked')}, {TRUTH}, {RANKS} SELECT * FROM gt_ranks")
 def gt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = search.bm25_scores(index.build_term_index(papers(spark, sf_dir)), questions(spark, sf_dir))
+    scores = search.bm25_scores(term_index(spark, sf_dir), questions(spark, sf_dir))
     return search.ground_truth_ranks(scores, containing(spark, sf_dir))
 
 
 @query(f"WITH {INDEX} SELECT n, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf FROM sizes, meanidf")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build_term_index(papers(spark, sf_dir)).stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+    return term_index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
 @query(f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build_term_index(papers(spark, sf_dir)).terms.withColumn("idf", F.round("idf", 6))
+    return term_index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))
 
 
 VECTORS = f"""{PAPERS},
 vec AS (SELECT p.paper_id, ord, date, arxiv_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM papers p JOIN embeddings ON vec_id = paper_id),
-vq AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id < 20)"""
+vq AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id % 50 = 0)"""
 
 
 def vscored(before: str, keep_missing: bool) -> str:
@@ -152,7 +171,7 @@ def vscored(before: str, keep_missing: bool) -> str:
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     rows = index.build_vector_index(papers(spark, sf_dir), e.select(F.col("vec_id").alias("paper_id"), "embedding"))
-    return rows, e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+    return rows, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 @query(f"""WITH {VECTORS}, {vscored("'2016-05'", True)} {paged("vscores")}""")
@@ -161,21 +180,21 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.search(q.withColumn("before_date", F.lit("2016-05")), "vector", vectors=rows))
 
 
-@query(f"""WITH {VECTORS}, {vscored("'2016-05'", False)}, vt AS (SELECT a.vec_id AS qid, b.vec_id AS paper_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20),
+@query(f"""WITH {VECTORS}, {vscored("'2016-05'", False)}, vt AS (SELECT a.vec_id AS qid, b.vec_id AS paper_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rk, count(*) OVER (PARTITION BY qid) AS n FROM vscores)
-SELECT vt.qid, vt.paper_id, coalesce(CASE WHEN rk IS NOT NULL THEN greatest(rk - 5, 0) END, (SELECT count(*) FROM vscores s WHERE s.qid = vt.qid) + 1) AS rank, greatest((SELECT count(*) FROM vscores s WHERE s.qid = vt.qid) - 1, 0) AS total
+SELECT vt.qid, vt.paper_id, coalesce(CASE WHEN rk IS NOT NULL THEN greatest(rk - 5, 0) END, (SELECT count(*) FROM vscores s WHERE s.qid = vt.qid) + 1) AS rank, (SELECT count(*) FROM vscores s WHERE s.qid = vt.qid) + 1 AS total
 FROM vt LEFT JOIN r ON r.qid = vt.qid AND r.paper_id = vt.paper_id""")
 def vector_one_based_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, q = _vectors(spark, sf_dir)
     scores = search.vector_scores(rows, q.withColumn("before_date", F.lit("2016-05")), keep_missing=False)
     e = table(spark, sf_dir, "embeddings")
-    truth = e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "label").join(e.select(F.col("vec_id").alias("paper_id"), "label"), "label").where("qid <> paper_id").select("qid", "paper_id")
+    truth = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label").join(e.select(F.col("vec_id").alias("paper_id"), "label"), "label").where("qid <> paper_id").select("qid", "paper_id")
     return search.ground_truth_ranks(scores, truth, one_based_offset=5, missing=None)
 
 
 @query(f"""WITH {INDEX}, vec AS (SELECT p.paper_id, ord, date, arxiv_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM papers p JOIN embeddings ON vec_id = paper_id),
-vq AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id < 20), {vscored("NULL", True)},
-asked AS (SELECT item_id AS qid, text AS query, CAST(NULL AS VARCHAR) AS before_date FROM benchmark WHERE item_id < 20), {scored('asked')},
+vq AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)), {vscored("NULL", True)},
+asked AS (SELECT item_id AS qid, text AS query, CAST(NULL AS VARCHAR) AS before_date FROM benchmark), {scored('asked')},
 pool AS (
   SELECT *, CASE WHEN max(score) OVER (PARTITION BY qid) > 0 THEN 0.5 * score / max(score) OVER (PARTITION BY qid) ELSE 0 END AS part FROM (
     SELECT qid, paper_id, arxiv_id, date, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) - 1 AS place FROM vscores) WHERE place < 20
@@ -185,16 +204,16 @@ pool AS (
 merged AS (SELECT qid, paper_id, arxiv_id, date, sum(part) AS score, min(place) AS ord FROM pool GROUP BY ALL)
 {paged("merged")}""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, q = _vectors(spark, sf_dir)
-    v = search.vector_scores(rows, q.withColumn("before_date", F.lit(None).cast("string")))
-    b = search.bm25_scores(index.build_term_index(papers(spark, sf_dir)), questions(spark, sf_dir).where("qid < 20"))
+    rows, _ = _vectors(spark, sf_dir)
+    asked = questions(spark, sf_dir)
+    q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding").join(asked.select("qid", "before_date"), "qid")
+    v, b = search.vector_scores(rows, q), search.bm25_scores(term_index(spark, sf_dir), asked)
     return _shown(search.page(search.hybrid_scores(v, b)))
 
 
 @query(f"WITH {INDEX}, {asked_sql()}, {scored('asked')}, pg AS ({paged('scores', 5)}) SELECT qid, rank, paper_id, coalesce(nullif(title, ''), 'N/A') AS title, score, arxiv_id, coalesce(nullif(p.date, ''), 'N/A') AS date FROM (SELECT qid, rank, paper_id, score FROM pg) JOIN papers p USING (paper_id)")
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = papers(spark, sf_dir)
-    return search.tool_rows(search.search(questions(spark, sf_dir), "bm25", index.build_term_index(p), top_k=5), p).drop("abstract")
+    return search.tool_rows(search.search(questions(spark, sf_dir), "bm25", term_index(spark, sf_dir), top_k=5), papers(spark, sf_dir)).drop("abstract")
 
 
 # Metrics over a fixed table of retrieved and selected papers.
@@ -210,7 +229,7 @@ selected AS (SELECT * FROM retrieved WHERE (paper_id + qid) % 2 = 0)"""
 
 def _flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
-    truth = stored(containing(spark, sf_dir))
+    truth = containing(spark, sf_dir)
     n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
     grid = b.select("qid", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("iter")).where("NOT (qid % 4 = 0 AND iter = 3)")
     grid = grid.select("qid", "iter", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("sq_id")).select("qid", "iter", "sq_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rank")).crossJoin(F.broadcast(n))
@@ -291,13 +310,18 @@ def macro_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.macro_missed(metrics.macro_means(carried, ["missed_gt_ratio"])), ["macro_missed_gt_ratio"])
 
 
-@query(f"""WITH {FLOW}, k AS (SELECT unnest([5, 10, 20]) AS k), g AS (SELECT qid, count(DISTINCT paper_id) AS total_gt FROM truth GROUP BY qid),
-c AS (SELECT DISTINCT r.qid, k, r.paper_id FROM retrieved r, k WHERE rank < k AND sq_id = 1 AND iter = 1),
-a AS (SELECT c.qid, k, count(*) AS found, count(t.qid) AS matches FROM c LEFT JOIN (SELECT DISTINCT qid, paper_id FROM truth) t ON t.qid = c.qid AND t.paper_id = c.paper_id GROUP BY ALL)
+@query(f"""WITH {FLOW}, k AS (SELECT unnest([5, 10, 20]) AS k), lists AS (SELECT qid * 100 + iter * 10 + sq_id AS qid, paper_id, rank FROM retrieved),
+lt AS (SELECT DISTINCT r.qid * 100 + r.iter * 10 + r.sq_id AS qid, t.paper_id FROM retrieved r JOIN truth t ON t.qid = r.qid), g AS (SELECT qid, count(*) AS total_gt FROM lt GROUP BY qid),
+c AS (SELECT DISTINCT r.qid, k, r.paper_id FROM lists r, k WHERE rank < k),
+a AS (SELECT c.qid, k, count(*) AS found, count(t.qid) AS matches FROM c LEFT JOIN lt t ON t.qid = c.qid AND t.paper_id = c.paper_id GROUP BY ALL)
 SELECT g.qid, k.k, coalesce(matches, 0) AS matches, total_gt, round(coalesce(matches, 0) / total_gt, 6) AS recall, coalesce(round(matches / found, 6), 0) AS precision FROM g CROSS JOIN k LEFT JOIN a ON a.qid = g.qid AND a.k = k.k""")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each subquery's list by itself."""
     truth, retrieved, _ = _flow(spark, sf_dir)
-    return rounded(metrics.at_k(truth, retrieved.where("sq_id = 1 AND iter = 1")), RATIOS)
+    key = (F.col("qid") * 100 + F.col("iter") * 10 + F.col("sq_id")).alias("qid")
+    lists = retrieved.select(key, "paper_id", "rank")
+    own = retrieved.select("qid", key.alias("k")).distinct().join(truth, "qid").select(F.col("k").alias("qid"), "paper_id")
+    return rounded(metrics.at_k(own, lists), RATIOS)
 
 
 @query(f"WITH {INDEX}, {asked_sql()}, {scored('asked')}, {TRUTH}, {RANKS} SELECT qid, round(avg(greatest(1 - rank / 100, 0)), 6) AS avg_distance FROM gt_ranks GROUP BY qid")
@@ -312,7 +336,7 @@ hist AS (SELECT n.qid, n.iter, n.paper_id, CASE WHEN f.at <= n.iter THEN min(now
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = stored(containing(spark, sf_dir))
+    truth = containing(spark, sf_dir)
     grid = truth.select("qid", "paper_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("iter")).select("*", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("sq_id"))
     rank = F.when((F.col("paper_id") + F.col("iter")) % 3 == 0, 570205).otherwise((F.col("paper_id") * 13 + F.col("iter") * 29 + F.col("sq_id") * 7) % 130)
     chosen = truth.where("paper_id % 2 = 0").select("qid", "paper_id", (1 + F.col("qid") % 3).cast("int").alias("iter"))
@@ -344,8 +368,7 @@ def final_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, round(avg(CASE WHEN value - 20 >= 0 THEN value - 20 END), 6) AS avg_during, count(*) AS total, CAST(count_if(value - 20 >= 0) AS BIGINT) AS successful FROM events GROUP BY event_type")
 def positive_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("during", F.col("value") - 20)
-    counts = e.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("during") >= 0).alias("successful"))
-    return rounded(metrics.non_negative_means(e, ["during"], ["event_type"]), ["avg_during"]).join(counts, "event_type")
+    return rounded(metrics.non_negative_means(e, ["during"], ["event_type"]), ["avg_during"]).join(metrics.success_counts(e, F.col("during") >= 0, ["event_type"]), "event_type")
 
 
 @query("SELECT event_id, round(planner, 3) AS planner, round(retrieval, 3) AS retrieval, round(selector, 3) AS selector, round(browser, 3) AS browser, round(total, 3) AS total, round(total - (0.0 + planner + retrieval + selector + browser), 3) AS overhead FROM (SELECT event_id, event_id % 7 + 0.25 AS planner, user_id % 5 + 0.5 AS retrieval, event_id % 3 + 0.125 AS selector, 0.0 AS browser, 40.0 AS total FROM events)")
@@ -374,9 +397,9 @@ TITLE = (*COMMON, (rf"^\p{{Nd}}{{4}}[a-zA-Z]?\.{S}*", ""), (r"[.,:;]+$", ""), (r
 MARKED = "'2023d. {\\alpha} ' || replace(text, ' the ', '-' || chr(10) || ' ') || ' \\beta{x} &;.'"
 
 
-@query(f"SELECT doc_id, len(toks) AS n, array_to_string(list_slice(toks, 1, 50), ' ') AS first FROM (SELECT doc_id, {toks('text')} AS toks FROM documents)")
+@query(f"SELECT doc_id, len(toks) AS n, md5(array_to_string(toks, ' ')) AS tokens FROM (SELECT doc_id, {toks('text')} AS toks FROM documents)")
 def tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 50), " ").alias("first"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens"))
 
 
 def _marked() -> Column:
@@ -392,10 +415,10 @@ def text_cleaners(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILENAME = f"""substr({re_sql("'a<b>:c/' || text", ('[<>:"/\\\\|?*]', ''), (f'{S}+', ' '), STRIPPED)}, 1, 200)"""
 
 
-@query(f"SELECT doc_id, lower(regexp_replace(left(text, 200), '[^\\p{{L}}]', '', 'g')) AS key, '[arXiv-' || doc_id || ']' || {FILENAME} || '.pdf' AS pdf, 'cited_' || source || '.json' AS cited FROM documents")
+@query(f"SELECT doc_id, md5(lower(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))) AS key, '[arXiv-' || doc_id || ']' || {FILENAME} || '.pdf' AS pdf, 'cited_' || source || '.json' AS cited FROM documents")
 def keys_and_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.concat(F.lit("a<b>:c/"), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.letters_key(F.substring("text", 1, 200)).alias("key"), text.paper_filename(F.col("doc_id").cast("string"), named).alias("pdf"), text.citation_filename(F.col("source")).alias("cited"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.letters_key(F.col("text")).cast("binary")).alias("key"), text.paper_filename(F.col("doc_id").cast("string"), named).alias("pdf"), text.citation_filename(F.col("source")).alias("cited"))
 
 
 IDS = """CASE doc_id % 6 WHEN 0 THEN printf('%02d%02d.%05d', (doc_id % 100)::INT, (doc_id % 15)::INT, doc_id::INT) WHEN 1 THEN printf('cs/%02d%02d%03d', (doc_id % 100)::INT, (1 + doc_id % 12)::INT, (doc_id % 1000)::INT) WHEN 2 THEN 'math.GT/0309136'
@@ -476,11 +499,29 @@ def citation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", c.alias("c")).select("o_orderkey", "c.*")
 
 
-@query()
+def lcs_sql(a: str, b: str) -> str:
+    places = f"flatten(list_transform({a}, lambda w: list_reverse(list_filter(range(1, len({b}) + 1), lambda i: {b}[i] = w))))"
+    below = "len(list_filter(e, lambda x: x < p[1]))"
+    return f"len(list_reduce(list_transform({places}, lambda p: [p]), lambda e, p: list_concat(list_slice(e, 1, {below}), list_concat(p, list_slice(e, {below} + 2, len(e)))), []::BIGINT[]))"
+
+
+def rouge_sql(a: str, b: str) -> str:
+    """F of two word lists."""
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE 2 * {lcs_sql(a, b)} / (len({a}) + len({b})) END"
+
+
+def words_sql(expr: str) -> str:
+    return f"list_filter(string_split_regex(lower({expr}), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+HEADING = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+
+
+@query(f"WITH t AS (SELECT page_id, {words_sql(HEADING)} AS w FROM pages), p AS (SELECT a.page_id, a.w AS x, b.w AS y FROM t a JOIN t b ON b.page_id = a.page_id + 1) SELECT page_id, round({rouge_sql('x', 'y')}, 6) AS f FROM p")
 def rouge_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of each document's first words to those of the next id."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("t"))
-    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u")), "doc_id").select("doc_id", F.round(rouge.rouge_l(F.col("t"), F.col("u")), 6).alias("f"))
+    """Similarity of each page's title to that of the next id."""
+    t = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("t"))
+    return t.join(t.select((F.col("page_id") - 1).alias("page_id"), F.col("t").alias("u")), "page_id").select("page_id", F.round(rouge.rouge_l(F.col("t"), F.col("u")), 6).alias("f"))
 
 
 @query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT a.vec_id, round(list_dot_product(a.v, b.v), 6) AS dot, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
@@ -490,11 +531,11 @@ def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(n, "vec_id").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("other")), 6).alias("dot"), F.round(vectors.dot(vectors.normalise(F.col("embedding")), vectors.normalise(F.col("other"))), 6).alias("cosine"))
 
 
-@query("SELECT doc_id, '- id=' || doc_id || ' | ' || CASE WHEN n_chars % 3 = 0 THEN 'score=N/A' ELSE printf('score=%.4f', n_chars / 8.0) END || ' | year=' || lang || ' |title=' || source || '|  ' || CASE doc_id % 3 WHEN 0 THEN 'browser_summary=b' WHEN 1 THEN 'abstract=s' ELSE 'abstract=' || left(text, 20) END AS line FROM documents")
+@query("SELECT doc_id, md5('- id=' || doc_id || ' | ' || CASE WHEN n_chars % 3 = 0 THEN 'score=N/A' ELSE printf('score=%.4f', n_chars / 8.0) END || ' | year=' || lang || ' |title=' || source || '|  ' || CASE doc_id % 3 WHEN 0 THEN 'browser_summary=b' WHEN 1 THEN 'abstract=s' ELSE 'abstract=' || text END) AS line FROM documents")
 def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 3
-    line = parse.candidate_line(F.col("doc_id").cast("string"), F.when(F.col("n_chars") % 3 != 0, F.col("n_chars") / 8.0), F.col("lang"), F.col("source"), F.substring("text", 1, 20), F.when(k == 1, "s").otherwise(""), F.when(k == 0, "b"))
-    return table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+    line = parse.candidate_line(F.col("doc_id").cast("string"), F.when(F.col("n_chars") % 3 != 0, F.col("n_chars") / 8.0), F.col("lang"), F.col("source"), F.col("text"), F.when(k == 1, "s").otherwise(""), F.when(k == 0, "b"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(line.cast("binary")).alias("line"))
 
 
 @query("SELECT event_type, replace('avg_avg_' || event_type || '_iter_1', 'avg_', '') AS key FROM (SELECT DISTINCT event_type FROM events)")
@@ -505,27 +546,27 @@ def summary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Corpus building.
 
 CORPUS_SIDES = f"""{PAPERS},
-a AS (SELECT arxiv_id, title, left(abstract, 40) AS abstract, date, 'A' AS source FROM papers WHERE paper_id % 3 <> 0),
-b AS (SELECT arxiv_id, CASE WHEN paper_id % 2 = 0 THEN '' ELSE title || '!' END AS title, CASE WHEN paper_id % 5 = 0 THEN NULL ELSE left(abstract, 30) END AS abstract, date, 'B' AS source FROM papers WHERE paper_id % 4 <> 0)"""
+a AS (SELECT arxiv_id, title, abstract, date, 'A' AS source FROM papers WHERE paper_id % 3 <> 0),
+b AS (SELECT arxiv_id, CASE WHEN paper_id % 2 = 0 THEN '' ELSE title || '!' END AS title, CASE WHEN paper_id % 5 = 0 THEN NULL ELSE abstract || ' B' END AS abstract, date, 'B' AS source FROM papers WHERE paper_id % 4 <> 0)"""
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = papers(spark, sf_dir)
     more = [F.array().cast("array<string>").alias("authors"), F.array(F.col("source")).alias("category"), F.lit("").alias("url")]
-    a = p.where("paper_id % 3 <> 0").select("arxiv_id", "title", F.substring("abstract", 1, 40).alias("abstract"), "date", *more, F.lit("A").alias("source"))
-    b = p.where("paper_id % 4 <> 0").select("arxiv_id", F.when(F.col("paper_id") % 2 == 0, "").otherwise(F.concat("title", F.lit("!"))).alias("title"), F.when(F.col("paper_id") % 5 != 0, F.substring("abstract", 1, 30)).alias("abstract"), "date", *more, F.lit("B").alias("source"))
+    a = p.where("paper_id % 3 <> 0").select("arxiv_id", "title", "abstract", "date", *more, F.lit("A").alias("source"))
+    b = p.where("paper_id % 4 <> 0").select("arxiv_id", F.when(F.col("paper_id") % 2 == 0, "").otherwise(F.concat("title", F.lit("!"))).alias("title"), F.when(F.col("paper_id") % 5 != 0, F.concat("abstract", F.lit(" B"))).alias("abstract"), "date", *more, F.lit("B").alias("source"))
     return a, b
 
 
-@query(f"WITH {CORPUS_SIDES} SELECT coalesce(b.arxiv_id, a.arxiv_id) AS arxiv_id, coalesce(nullif(b.title, ''), a.title, b.title) AS title, coalesce(nullif(b.abstract, ''), a.abstract, b.abstract) AS abstract, coalesce(nullif(b.date, ''), a.date, b.date) AS date, coalesce(b.source, a.source) AS source FROM a FULL JOIN b ON a.arxiv_id = b.arxiv_id")
+@query(f"WITH {CORPUS_SIDES} SELECT coalesce(b.arxiv_id, a.arxiv_id) AS arxiv_id, coalesce(nullif(b.title, ''), a.title, b.title) AS title, md5(coalesce(nullif(b.abstract, ''), a.abstract, b.abstract)) AS abstract, coalesce(nullif(b.date, ''), a.date, b.date) AS date, coalesce(b.source, a.source) AS source FROM a FULL JOIN b ON a.arxiv_id = b.arxiv_id")
 def merged_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.merge_papers(*_sides(spark, sf_dir)).select("arxiv_id", "title", "abstract", "date", "source")
+    return corpus.merge_papers(*_sides(spark, sf_dir)).select("arxiv_id", "title", F.md5(F.col("abstract").cast("binary")).alias("abstract"), "date", "source")
 
 
-@query(f"WITH {CORPUS_SIDES} SELECT a.arxiv_id, coalesce(b.title, a.title) AS title, coalesce(b.abstract, a.abstract) AS abstract, b.arxiv_id IS NOT NULL AS found FROM a LEFT JOIN b ON a.arxiv_id = b.arxiv_id")
+@query(f"WITH {CORPUS_SIDES} SELECT a.arxiv_id, coalesce(b.title, a.title) AS title, md5(coalesce(b.abstract, a.abstract)) AS abstract, b.arxiv_id IS NOT NULL AS found FROM a LEFT JOIN b ON a.arxiv_id = b.arxiv_id")
 def enriched_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     both, missing = corpus.enrich(*_sides(spark, sf_dir))
-    return both.join(missing.withColumn("m", F.lit(True)), "arxiv_id", "left").select("arxiv_id", "title", "abstract", F.col("m").isNull().alias("found"))
+    return both.join(missing.withColumn("m", F.lit(True)), "arxiv_id", "left").select("arxiv_id", "title", F.md5(F.col("abstract").cast("binary")).alias("abstract"), F.col("m").isNull().alias("found"))
 
 
 @query("SELECT o_custkey AS qid, string_agg('a' || c, ',' ORDER BY p) AS gt FROM (SELECT o_custkey, o_orderkey AS p, o_orderkey % 50 AS c FROM orders) GROUP BY o_custkey HAVING bool_and(c <> 7)")
@@ -568,18 +609,26 @@ def labelled_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT doc_id AS ref_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 40 END AS id FROM documents) SELECT ref_id, CASE WHEN id IS NULL THEN 'title' ELSE 'id' END AS how, CASE WHEN id IS NULL THEN ref_id ELSE id END AS found FROM r WHERE ref_id < 0 UNION ALL SELECT ref_id, 'id', id FROM r WHERE id IS NOT NULL")
 def references_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("arxiv_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 10), " ").alias("title"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("arxiv_id"), F.substring_index("text", "\n", 1).alias("title"))
     refs = d.select(F.col("doc_id").alias("ref_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("m"), (F.col("doc_id") % 40).cast("string"))).alias("arxiv_id"), "title")
     found = corpus.reference_lookup(refs, d.select("arxiv_id", "title"))
     return found.where("how = 'id'").select("ref_id", "how", F.substring("arxiv_id", 2, 20).cast("long").alias("found"))
 
 
-@query()
+@query(f"""WITH m AS (SELECT 'm' || page_id AS m_id, {HEADING} AS title FROM pages),
+r AS (SELECT page_id AS ref_id, CASE page_id % 4 WHEN 0 THEN {HEADING} WHEN 1 THEN 'new ' || {HEADING} WHEN 2 THEN regexp_replace({HEADING}, '^[^ ]+ ', '') ELSE 'a b ' || page_id END AS title FROM pages),
+mt AS (SELECT t, min({{'m_id': m_id, 'title': title}}) AS m, any_value({words_sql("t")}) AS w FROM (SELECT m_id, title, lower({re_sql("title", *TITLE)}) AS t FROM m) GROUP BY t),
+rt AS (SELECT ref_id, {re_sql("title", *TITLE)} AS clean FROM r), rd AS (SELECT DISTINCT lower(clean) AS t, {words_sql("clean")} AS w FROM rt),
+pairs AS (SELECT rd.t, mt.m, rd.w AS x, mt.w AS y FROM rd, mt WHERE 2 * least(len(rd.w), len(mt.w)) > 0.85 * (len(rd.w) + len(mt.w))),
+near AS (SELECT t, m, {rouge_sql("x", "y")} AS sim FROM pairs),
+best AS (SELECT t, arg_min(m, (-sim, m.m_id)) AS m FROM near WHERE sim > 0.85 GROUP BY t)
+SELECT ref_id, m.m_id AS arxiv_id, coalesce(m.title, clean) AS title, CASE WHEN m IS NULL THEN 'empty' ELSE 'title' END AS how FROM rt LEFT JOIN best ON best.t = lower(rt.clean)""")
 def references_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References without a known id, by the similarity of titles."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("arxiv_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 10), " ").alias("title"))
-    refs = d.select(F.col("doc_id").alias("ref_id"), F.lit(None).cast("string").alias("arxiv_id"), "title")
-    return corpus.reference_lookup(refs, d.select("arxiv_id", "title"))
+    """References without a known id, by the similarity of titles: equal, with a word more, with a word less, and unknown ones."""
+    p, k = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title")), F.col("page_id") % 4
+    told = F.when(k == 0, F.col("title")).when(k == 1, F.concat(F.lit("new "), "title")).when(k == 2, F.regexp_replace("title", "^[^ ]+ ", "")).otherwise(F.concat(F.lit("a b "), F.col("page_id").cast("string")))
+    refs = p.select(F.col("page_id").alias("ref_id"), F.lit(None).cast("string").alias("arxiv_id"), told.alias("title"))
+    return corpus.reference_lookup(refs, p.select(F.concat(F.lit("m"), F.col("page_id").cast("string")).alias("arxiv_id"), "title"))
 
 
 @query("SELECT o_custkey || '' AS survey_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS VARCHAR) AS key, 'a' || o_orderkey AS arxiv_id FROM orders WHERE o_custkey % 2 = 0")
@@ -596,7 +645,7 @@ def corpus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Plans, state and caches.
 
-PLAN_SQL = """items AS (SELECT conv_id AS qid, CAST(turn AS INT) AS item, CASE turn % 3 WHEN 0 THEN 'derive' WHEN 1 THEN 'continue' ELSE 'expand' END AS link_type, CAST(1 + turn % 4 AS INT) AS source_id, CASE WHEN turn % 5 = 4 THEN '' ELSE left(text, 30) END AS text FROM conversations),
+PLAN_SQL = """items AS (SELECT conv_id AS qid, CAST(turn AS INT) AS item, CASE turn % 3 WHEN 0 THEN 'derive' WHEN 1 THEN 'continue' ELSE 'expand' END AS link_type, CAST(1 + turn % 4 AS INT) AS source_id, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text FROM conversations),
 states AS (SELECT DISTINCT conv_id AS qid, i, CASE WHEN i < 3 THEN 1 ELSE i - 1 END AS sq_id, 0 AS source, 'old' || CASE WHEN i < 3 THEN 1 ELSE i - 1 END AS text FROM conversations, range(0, 4) r(i)),
 latest AS (SELECT qid, sq_id, count(*) AS pages, max(source) AS source, max(text) AS text FROM states GROUP BY ALL),
 fresh AS (SELECT qid, item, CAST(2 + row_number() OVER (PARTITION BY qid ORDER BY item) AS INT) AS sq_id, source_id AS source, text, link_type FROM items WHERE link_type <> 'continue' AND text <> ''),
@@ -608,19 +657,13 @@ every AS (SELECT * FROM fresh UNION ALL SELECT * FROM again)"""
 def resolved_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     k = F.col("turn") % 3
-    items = c.select(F.col("conv_id").alias("qid"), F.col("turn").cast("int").alias("item"), F.when(k == 0, "derive").when(k == 1, "continue").otherwise("expand").alias("link_type"), (1 + F.col("turn") % 4).cast("int").alias("source_id"), F.when(F.col("turn") % 5 == 4, "").otherwise(F.substring("text", 1, 30)).alias("text"), F.lit(10).alias("target_k"))
+    items = c.select(F.col("conv_id").alias("qid"), F.col("turn").cast("int").alias("item"), F.when(k == 0, "derive").when(k == 1, "continue").otherwise("expand").alias("link_type"), (1 + F.col("turn") % 4).cast("int").alias("source_id"), F.when(F.col("turn") % 5 == 4, "").otherwise(F.col("text")).alias("text"), F.lit(10).alias("target_k"))
     ids = c.select(F.col("conv_id").alias("qid")).distinct().select("qid", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("iter"))
     sq = F.when(F.col("iter") < 3, 1).otherwise(F.col("iter") - 1)
     states = ids.select("qid", "iter", sq.alias("sq_id"), F.lit(0).alias("source"), F.concat(F.lit("old"), sq.cast("string")).alias("text"))
     return workflow.resolve_plan(items, states, 4).drop("target_k")
 
 
-@query("SELECT role AS paper_id, conv_id % 3 AS m, arg_max(left(text, 30), conv_id * 1000 + turn) AS summary FROM conversations GROUP BY ALL")
-def latest_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy(F.col("role").alias("paper_id"), (F.col("conv_id") % 3).alias("m")).agg(F.max_by(F.substring("text", 1, 30), F.col("conv_id") * 1000 + F.col("turn")).alias("summary"))
-
-
 @query("SELECT conv_id AS sample_idx, count(*) AS stages, string_agg(role, ',' ORDER BY turn) AS agents FROM conversations GROUP BY conv_id")
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.sources.writers import traces as grouped
@@ -638,7 +681,7 @@ def unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left(e.select("idx"), e.where("event_type = 'click'").select("idx"))
 
 
-KEYS_SQL = f"keys AS (SELECT item_id AS qid, s AS sq_id, array_to_string(list_slice(t, s * 8 + 1, s * 8 + 8), ' ') AS query, CAST(NULL AS VARCHAR) AS before_date FROM (SELECT item_id, {toks('text')} AS t FROM benchmark), range(0, 3) r(s) WHERE s < least(ceil(len(t) / 8), 3))"
+KEYS_SQL = f"keys AS (SELECT item_id AS qid, s AS sq_id, array_to_string(list_slice(t, s * 8 + 1, s * 8 + 8), ' ') AS query, CAST(NULL AS VARCHAR) AS before_date FROM (SELECT item_id, {toks('text')} AS t FROM benchmark), range(0, 100) r(s) WHERE s < ceil(len(t) / 8))"
 SIMPLE = f"""{INDEX}, {KEYS_SQL}, akeys AS (SELECT qid * 100 + sq_id AS qid, query, before_date FROM keys), {scored('akeys')}, {TRUTH},
 pg AS (SELECT qid // 100 AS qid, qid % 100 AS sq_id, rk, paper_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) - 1 AS rk FROM scores) WHERE rk < 10),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, paper_id ORDER BY round(score, 9) DESC, sq_id, rk) AS k FROM pg) WHERE k = 1)"""
@@ -647,37 +690,43 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, paper_id
 @query(f"WITH {SIMPLE} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sq_id, rk) - 1 AS rank, paper_id, CAST(sq_id AS BIGINT) AS sq_id, round(score, 6) AS score FROM best")
 def simple_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir)
-    results, _ = workflow.simple_workflow(index.build_term_index(papers(spark, sf_dir)), agents.window_keys(q), containing(spark, sf_dir))
+    results, _ = workflow.simple_workflow(term_index(spark, sf_dir), agents.window_keys(q), containing(spark, sf_dir))
     return results.select("qid", F.col("rank").cast("long").alias("rank"), "paper_id", F.col("sq_id").cast("long").alias("sq_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SIMPLE}, g AS (SELECT qid, count(DISTINCT paper_id) AS total_gt FROM truth GROUP BY qid) SELECT b.qid, count(DISTINCT t.paper_id) AS matches, coalesce(max(total_gt), 0) AS total_gt, coalesce(round(count(DISTINCT t.paper_id) / max(total_gt), 6), 0) AS recall, round(count(DISTINCT t.paper_id) / count(DISTINCT b.paper_id), 6) AS precision FROM best b LEFT JOIN truth t ON t.qid = b.qid AND t.paper_id = b.paper_id LEFT JOIN g ON g.qid = b.qid GROUP BY b.qid")
 def simple_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir)
-    _, m = workflow.simple_workflow(index.build_term_index(papers(spark, sf_dir)), agents.window_keys(q), containing(spark, sf_dir))
+    _, m = workflow.simple_workflow(term_index(spark, sf_dir), agents.window_keys(q), containing(spark, sf_dir))
     return rounded(m.select("qid", "matches", "total_gt", "recall", "precision"), RATIOS)
 
 
-def _deep_run(spark: SparkSession, sf_dir: str) -> tuple[workflow.DeepRun, DataFrame]:
-    """Three iterations: two derived keys, then a second page and an expanded key, then two more pages; good labels are selected."""
-    q, truth = questions(spark, sf_dir), stored(containing(spark, sf_dir))
-    keys = stored(agents.window_keys(q))
+def _planner(q: DataFrame, keys: DataFrame):
+    """Even keys are derived, then a second page of the first and the odd keys as expansions, then two more pages."""
 
-    def planner(i: int, states: DataFrame) -> DataFrame:
+    def plan(i: int, states: DataFrame) -> DataFrame:
         new = lambda when, kind, source: keys.where(when).select("qid", F.col("sq_id").alias("item"), F.lit(kind).alias("link_type"), F.lit(source).alias("source_id"), "text", F.lit(10).alias("target_k"))
         again = lambda sq: q.select("qid", F.lit(100 + sq).alias("item"), F.lit("continue").alias("link_type"), F.lit(sq).alias("source_id"), F.lit("").alias("text"), F.lit(10).alias("target_k"))
-        return new("sq_id < 2", "derive", 0) if i == 1 else again(1).unionByName(new("sq_id = 2", "expand", 1)) if i == 2 else again(1).unionByName(again(2))
+        return new("sq_id % 2 = 0", "derive", 0) if i == 1 else again(1).unionByName(new("sq_id % 2 = 1", "expand", 1)) if i == 2 else again(1).unionByName(again(2))
+
+    return plan
+
 
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), "quality")
-    built = index.build_term_index(papers(spark, sf_dir))
-    kept = index.TermIndex(built.postings, stored(built.terms), stored(built.stats))
-    return workflow.deep_research(kept, q, truth, planner, agents.labelled_selector(labels), 3), truth
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), "quality")
+
+
+def _deep_run(spark: SparkSession, sf_dir: str) -> tuple[workflow.DeepRun, DataFrame]:
+    """Three iterations; good labels are selected."""
+    q, truth = questions(spark, sf_dir), containing(spark, sf_dir)
+    planner = _planner(q, stored(agents.window_keys(q)))
+    return workflow.deep_research(term_index(spark, sf_dir), q, truth, planner, agents.labelled_selector(_quality(spark, sf_dir)), 3), truth
 
 
 def _iteration_sql(i: int, asked: str, offsets: str, banned: str) -> str:
     out = f"""r{i} AS (SELECT qid, {i} AS iter, sq_id, rk AS rank, paper_id FROM (
   SELECT s.qid // 100 AS qid, s.qid % 100 AS sq_id, s.paper_id, o.off, row_number() OVER (PARTITION BY s.qid ORDER BY round(score, 9) DESC, ord) - 1 AS rk
-  FROM scores s JOIN ({offsets}) o ON o.k = s.qid WHERE s.qid % 100 IN ({asked}) AND NOT EXISTS (SELECT 1 FROM ({banned}) b WHERE b.qid = s.qid // 100 AND b.paper_id = s.paper_id)) WHERE rk >= off AND rk < off + 10),
+  FROM scores s JOIN ({offsets}) o ON o.k = s.qid WHERE s.qid IN (SELECT qid FROM dkeys WHERE {asked}) AND NOT EXISTS (SELECT 1 FROM ({banned}) b WHERE b.qid = s.qid // 100 AND b.paper_id = s.paper_id)) WHERE rk >= off AND rk < off + 10),
 s{i} AS (SELECT r.* FROM r{i} r JOIN labels l ON l.doc_id = r.paper_id AND quality = 1)"""
     return out
 
@@ -687,10 +736,11 @@ def _offset_sql(tables: list[str]) -> str:
     return f"SELECT k.qid AS k, count(x.qid) AS off FROM dkeys k LEFT JOIN ({seen}) x ON x.qid = k.qid // 100 AND x.sq_id = k.qid % 100 GROUP BY k.qid"
 
 
-DEEP = f"""{INDEX}, {KEYS_SQL}, dkeys AS (SELECT qid * 100 + sq_id + 1 AS qid, query, before_date FROM keys), {scored('dkeys')}, {TRUTH},
-{_iteration_sql(1, '1, 2', _offset_sql([]), 'SELECT NULL AS qid, NULL AS paper_id WHERE FALSE')},
-{_iteration_sql(2, '1, 3', _offset_sql(['r1']), 'SELECT qid, paper_id FROM s1')},
-{_iteration_sql(3, '1, 2', _offset_sql(['r1', 'r2']), 'SELECT qid, paper_id FROM s1 UNION SELECT qid, paper_id FROM s2')},
+DEEP_KEYS = f"{INDEX}, {KEYS_SQL}, dkeys AS (SELECT qid * 100 + row_number() OVER (PARTITION BY qid ORDER BY sq_id % 2, sq_id) AS qid, sq_id % 2 AS odd, query, before_date FROM keys), {scored('dkeys')}, {TRUTH}"
+DEEP = f"""{DEEP_KEYS},
+{_iteration_sql(1, 'odd = 0', _offset_sql([]), 'SELECT NULL AS qid, NULL AS paper_id WHERE FALSE')},
+{_iteration_sql(2, 'odd = 1 OR qid % 100 = 1', _offset_sql(['r1']), 'SELECT qid, paper_id FROM s1')},
+{_iteration_sql(3, 'qid % 100 IN (1, 2)', _offset_sql(['r1', 'r2']), 'SELECT qid, paper_id FROM s1 UNION SELECT qid, paper_id FROM s2')},
 retrieved AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3), selected AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
 
 
@@ -719,10 +769,10 @@ def deep_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNESCAPED = "replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', chr(34)), '&amp;', '&')"
 
 
-@query(f"SELECT page_id, {UNESCAPED} AS title, CAST(1 AS BIGINT) AS n_sections, CAST(1 AS INT) AS level, {UNESCAPED} AS heading FROM pages")
+@query(f"SELECT page_id, {UNESCAPED} AS title, CAST(1 AS BIGINT) AS n_sections, [CAST(1 AS INT)] AS levels, {UNESCAPED} AS headings FROM pages")
 def article_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "pages").select("page_id", article.article(F.col("html")).alias("a"))
-    return a.select("page_id", "a.title", F.size("a.sections").cast("long").alias("n_sections"), F.get("a.sections", F.lit(0)).alias("s")).select("page_id", "title", "n_sections", "s.level", F.col("s.title").alias("heading"))
+    return a.select("page_id", "a.title", F.size("a.sections").cast("long").alias("n_sections"), F.transform("a.sections", lambda x: x["level"]).alias("levels"), F.array_join(F.transform("a.sections", lambda x: x["title"]), "|").alias("headings"))
 
 
 @query("SELECT c_custkey, ok FROM (SELECT c_custkey, c_custkey % 3 = 0 AS ok, coalesce(sum(CAST(c_custkey % 3 = 0 AS INT)) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM customer) WHERE n < 100")
@@ -730,7 +780,7 @@ def first_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.first_successes(table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 3 == 0).alias("ok")), "c_custkey", 100)
 
 
-@query("SELECT conv_id AS qid, turn AS iter, last_value(CASE WHEN turn % 3 = 0 THEN left(text, 20) END IGNORE NULLS) OVER w AS experience, last_value(CASE WHEN turn % 2 = 1 THEN role END IGNORE NULLS) OVER w AS checklist FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query("SELECT conv_id AS qid, turn AS iter, last_value(CASE WHEN turn % 3 = 0 THEN text END IGNORE NULLS) OVER w AS experience, last_value(CASE WHEN turn % 2 = 1 THEN role END IGNORE NULLS) OVER w AS checklist FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def research_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    return build.memory(c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("iter"), F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 20)).otherwise("").alias("experience"), F.when(F.col("turn") % 2 == 1, F.col("role")).alias("checklist")))
+    return build.memory(c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("iter"), F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise("").alias("experience"), F.when(F.col("turn") % 2 == 1, F.col("role")).alias("checklist")))

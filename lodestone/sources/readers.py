@@ -18,8 +18,20 @@ SURVEY = "arxiv_id STRING, title STRING, references ARRAY<STRUCT<arxiv_id STRING
 SUMMARY = "paper_id STRING, model STRING, summary STRING"
 
 
-def paper_db(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of papers by id; ``ord`` is the place in the object.  Convert once to Parquet: one object is read by one task."""
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def paper_db(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
+    """A JSON object of papers by id; ``ord`` is the place in the object.  Convert once to Parquet: one object is read by one task.
+
+    A missing file is an error, or no papers where none is ``required``.
+    """
+    if not exists(spark, path):
+        if required:
+            raise FileNotFoundError(path)
+        return spark.createDataFrame([], f"paper_id STRING, ord BIGINT, {PAPER}")
     text = spark.read.text(path, wholetext=True)
     rows = text.select(F.posexplode_outer(F.map_entries(F.from_json("value", f"MAP<STRING,STRUCT<{_struct(PAPER)}>>"))).alias("ord", "e")).where("e IS NOT NULL")
     return rows.select(F.col("e.key").alias("paper_id"), F.col("ord").cast("long").alias("ord"), "e.value.*")

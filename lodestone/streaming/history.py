@@ -20,8 +20,20 @@ def exclusions(events: DataFrame) -> DataFrame:
     return events.where("selected").dropDuplicates(["qid", "paper_id"]).select("qid", "paper_id", "iter")
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that the source has now, through a streaming query into a memory table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """All that the source has now, through a streaming query into a table at ``path``.
+
+    Each batch is a folder of its own, written anew if the batch is repeated;
+    a complete query's last batch is its result, an append query's batches
+    are added up.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    table = stream.sparkSession.read.parquet(path)
+    if mode == "complete":
+        table = table.where(F.col("batch") == table.agg(F.max("batch")).first()[0])
+    return table.drop("batch")

@@ -64,6 +64,6 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, 7, 1, 9, False), (1, 7, 2, 4, True), (1, 7, 3, 6, True), (1, 8, 1, 2, False)], "qid long, paper_id long, iter int, rank long, selected boolean")
     events.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    got = history.run_once(history.rank_state(stream), "ranks", "complete", str(tmp_path / "c1"))
+    got = history.run_once(history.rank_state(stream), str(tmp_path / "ranks"), "complete", str(tmp_path / "c1"))
     assert sorted(map(tuple, got.collect())) == [(1, 7, 4, 2), (1, 8, 2, None)]
-    assert history.run_once(history.exclusions(stream), "gone", "append", str(tmp_path / "c2")).count() == 1
+    assert history.run_once(history.exclusions(stream), str(tmp_path / "gone"), "append", str(tmp_path / "c2")).count() == 1
