@@ -4,30 +4,43 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where none is named and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    import tempfile
+
+    made = tempfile.mkdtemp(prefix="plan-")
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir, read again; its lineage ends there.  A temporary folder serves where none is named and all runs on one machine."""
+    """``df`` as a table in the shared folder, read again; its lineage ends there.  The files go when the driver ends, or by ``discard``."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            folder = held.get()
-        else:
-            master = spark.sparkContext.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="plan-")
-            spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/step-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    removed_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -36,5 +49,5 @@ def stored(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Removes the files of ``stored`` tables that no later step reads."""
     for df in tables:
-        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, files = _files(df.sparkSession, df._stored_at)
+        files.delete(at, True)

@@ -83,6 +83,11 @@ def academic_queries(spark: SparkSession, paths: list[str], source: str) -> Data
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """(name, title, abstract) of the JSON members of zip files, unpacked on the executors."""
+    return unzipped(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def unzipped(zips: DataFrame, rows: int = 1000) -> DataFrame:
+    """(name, title, abstract) of the JSON members of archives (content); other members go.  A task holds one archive and so many rows."""
 
     def unpack(batches):
         import io
@@ -94,17 +99,20 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = []
+                    found = []
                     for name in z.namelist():
                         try:
                             d = json.loads(z.read(name))
                         except ValueError:
                             continue
                         if isinstance(d, dict):
-                            rows.append((name, d.get("title"), d.get("abstract")))
-                    yield pd.DataFrame(rows, columns=["name", "title", "abstract"])
+                            found.append((name, d.get("title"), d.get("abstract")))
+                        if len(found) >= rows:
+                            yield pd.DataFrame(found, columns=["name", "title", "abstract"])
+                            found = []
+                    yield pd.DataFrame(found, columns=["name", "title", "abstract"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "name string, title string, abstract string")
+    return zips.mapInPandas(unpack, "name string, title string, abstract string")
 
 
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
@@ -115,7 +123,18 @@ def raw_records(spark: SparkSession, path: str) -> DataFrame:
 
 def citation_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Entries of citation files by '<file>-<key>'; of equal keys the last file's counts."""
-    rows = spark.read.text(pattern, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("stem"), F.col("_metadata.file_path").alias("file"), F.explode(F.from_json("value", f"MAP<STRING,STRUCT<{_struct(CITATION)}>>")).alias("k", "e"))
+    rows = spark.read.text(pattern, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("stem"), F.col("_metadata.file_path").alias("file"), "value")
+    return _citations(rows)
+
+
+def citation_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of maps written in folders by stem."""
+    rows = spark.read.text(folder, wholetext=True).select("stem", F.col("_metadata.file_path").alias("file"), "value")
+    return _citations(rows)
+
+
+def _citations(rows: DataFrame) -> DataFrame:
+    rows = rows.select("stem", "file", F.explode(F.from_json("value", f"MAP<STRING,STRUCT<{_struct(CITATION)}>>")).alias("k", "e"))
     return rows.groupBy(F.concat_ws("-", "stem", "k").alias("key")).agg(F.max_by("e", "file").alias("e")).select("key", "e.*")
 
 
