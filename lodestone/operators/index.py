@@ -32,7 +32,8 @@ def build_term_index(papers: DataFrame) -> TermIndex:
     """
     some = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("abstract", F.lit("")) != "")
     words = papers.where(some).select("paper_id", "ord", F.coalesce("date", F.lit("")).alias("date"), "arxiv_id", tokens(index_text(F.col("title"), F.col("abstract"))).alias("toks"))
-    long = words.select("paper_id", "ord", "date", "arxiv_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    # Papers are dealt out once, by id: their counts need no further shuffle, and a search adds up a paper's terms where they lie.
+    long = words.repartition("paper_id").select("paper_id", "ord", "date", "arxiv_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     # Tokenised, counted and written once; what follows reads columns of the written table.
     postings = stored(long.groupBy("term", "paper_id", "ord", "date", "arxiv_id", "dl").agg(F.count("*").alias("tf")))
     # Every indexed paper has the label's token once as a row, so its postings are the papers.

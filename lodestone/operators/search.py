@@ -16,8 +16,8 @@ from lodestone.functions.text import tokens
 from lodestone.functions.vectors import dot
 from lodestone.operators.index import K1, B, TermIndex
 
-#: Truth pairs up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_PAIRS = 1_000_000
+#: Truth pairs, and terms of queries, up to these numbers are broadcast; more are joined by a shuffle.
+BROADCAST_PAIRS, BROADCAST_TERMS = 1_000_000, 500_000
 #: The rank of a ground-truth paper that a search does not find, and results and pages of one subquery.
 NOT_FOUND, MAX_RESULTS, MAX_PAGES = 570205, 10, 3
 
@@ -31,6 +31,8 @@ def bm25_scores(index: TermIndex, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("qid", "before_date", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "before_date", "term").agg(F.count("*").alias("qtf"))
     weighed = asked.join(index.terms.select("term", "idf"), "term")
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:  # then no posting is moved, and a paper's terms are added up before the shuffle
+        weighed = F.broadcast(weighed)
     hits = weighed.join(index.postings, "term").where(month_ok(F.col("date"), F.col("before_date"), keep_missing=False)).crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("qid", "paper_id", "ord", "date", "arxiv_id").agg(F.sum(part).alias("score")).where("score > 0")
