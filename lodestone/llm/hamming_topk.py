@@ -51,10 +51,10 @@ def _probes(pending: DataFrame, segment: int, offset: int, width: int, radius: i
 
 
 def _steps(segments: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """(radius, segment) in order of growing radius, as many in a step as PROBES allows, one at least."""
+    """(radius, segment) in order of growing radius, as many of one radius in a step as PROBES allows, one at least."""
     out: list[list[tuple[int, int]]] = []
-    room = 0
     for s in range(max(w for _, w in segments) + 1):
+        room = 0  # what a radius finds bounds what the next one looks at
         for j, (_, w) in enumerate(segments):
             if s <= w:
                 if room < math.comb(w, s):
