@@ -8,7 +8,9 @@ and place, since Spark has no recursive types.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column
@@ -63,24 +65,29 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: Counter[str] = Counter()  # so that an end tag of nothing open costs nothing
+
+    def _leave(self):
+        self.open[self.at.tag] -= 1
+        self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.at.tag == "p" or tag == "li" and self.at.tag == "li":
-            self.at = self.at.parent
+        if tag in ("p", "li") and self.at.tag == tag:
+            self._leave()
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in _VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, dict(attrs), self.at))
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n.parent is not None and n.tag != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        if self.open[tag]:
+            while self.at.tag != tag:
+                self._leave()
+            self._leave()
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -102,42 +109,55 @@ def tidy(text: str) -> str:
 
 
 def split_reference(metas: list[str]) -> dict:
-    """Three parts as they are, else split at the first full stops; the Column form is ``parse.citation_parts``."""
+    """Three parts as they are, else split at the first two full stops before a space, without the year; the Column form is ``parse.citation_parts``."""
     metas = [m.replace("\n", " ") for m in metas]
-    whole = " ".join(metas)
-    out = {"meta_list": metas, "meta_string": whole, "authors": "", "title": "", "journal": ""}
-    if len(metas) == 3:
-        return out | dict(zip(("authors", "title", "journal"), metas, strict=True))
-    out["meta_string"] = text = re.sub(r"\.\s\d{4}[a-z]?\.", ".", whole)
-    if m := re.match(r"(.*?\.\s)(.*?)(\.\s.*|$)", text, re.S):
-        a, t, j = (x.strip() for x in m.groups())
-        out |= {"authors": a, "title": t, "journal": j.removeprefix(". ")}
-    return out
+    text, names = " ".join(metas), ("authors", "title", "journal")
+    if len(metas) == len(names):
+        parts = metas
+    else:
+        text = re.sub(r"\.\s\d{4}[a-z]?\.", ".", text)
+        stops = [m.start() for m in re.finditer(r"\.\s", text)]
+        cut = [*stops[:2], len(text)][:2]
+        parts = [text[: cut[0] + 1], text[cut[0] + 2 : cut[1]], text[cut[1] :]] if stops else [""] * 3
+        parts = [x.strip() for x in parts]
+        parts[2] = parts[2].removeprefix(". ")
+    return {"meta_list": metas, "meta_string": text, **dict(zip(names, parts, strict=True))}
+
+
+def _citation(cite: Node) -> str:
+    links = (n.attrs.get("href") for n in cite.walk() if n.tag == "a" and "ltx_ref" in n.classes)
+    targets = [h.strip("#") for h in links if h]
+    return "~\\cite{" + ", ".join(targets) + "}" if targets else ""
+
+
+#: What stands for an element as a whole, by the first rule that fits; elements that none fits are read through.
+_WHOLE = (
+    (lambda n: n.tag in SKIPPED or n.classes[:1] == ["navigation"], lambda n: ""),
+    (lambda n: n.tag == "cite", _citation),
+    (lambda n: n.tag == "img" and "alt" in n.attrs, lambda n: n.attrs["alt"] or ""),
+    (lambda n: n.classes[:1] in (["ltx_Math"], ["ltx_equation"]), lambda n: n.text()),
+)
+
+
+def _whole(node: Node) -> str | None:
+    return next((text(node) for fits, text in _WHOLE if fits(node)), None)
+
+
+def _own(node: Node) -> list:
+    """The children before the first inner section."""
+    return list(takewhile(lambda c: isinstance(c, str) or c.tag != "section" or _whole(c) is not None, node.children))
 
 
 def section_text(section: Node) -> str:
-    """Own text of a section, up to its first inner section: formulas by their alt text, citations by their targets."""
-    out, todo = [], [iter(section.children)]
+    """A section's own text: formulas by their alt text, citations by their targets; an inner section ends the element that it stands in."""
+    out, todo = [], _own(section)[::-1]
     while todo:
-        child = next(todo[-1], None)
-        if child is None:
-            todo.pop()
-        elif isinstance(child, str):
-            out.append(child)
-        elif child.tag in SKIPPED or child.classes[:1] == ["navigation"]:
-            continue
-        elif child.tag == "cite":
-            targets = [n.attrs["href"].strip("#") for n in child.walk() if n.tag == "a" and "ltx_ref" in n.classes and n.attrs.get("href")]
-            if targets:
-                out.append("~\\cite{" + ", ".join(targets) + "}")
-        elif child.tag == "img" and "alt" in child.attrs:
-            out.append(child.attrs["alt"] or "")
-        elif child.classes[:1] in (["ltx_Math"], ["ltx_equation"]):
-            out.append(child.text())
-        elif child.tag == "section":
-            todo.pop()
+        node = todo.pop()
+        text = node if isinstance(node, str) else _whole(node)
+        if text is None:
+            todo += _own(node)[::-1]
         else:
-            todo.append(iter(child.children))
+            out.append(text)
     return "".join(out)
 
 
