@@ -63,5 +63,52 @@ def test_stages(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
-    out = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    assert not {8, 16, 33, 35, 41, 43} & out and {31, 51, 53, 400} <= out
+    """The whole run against plain versions of the stages, each on what the one before kept."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from lodestone.llm import toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = {r.doc_id: r.predicted for r in toxicity.report(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    rows = {r.doc_id: r for r in docs.collect() if not scored[r.doc_id]}
+    assert set(rows) == {r.doc_id for r in docs.collect() if not re.search("idiot|moron|scum", r.text or "")}
+    rows = {i: rows[i] for i, (_, c) in brute_components([(i, r.text) for i, r in rows.items()], 5).items() if i == c}
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    hits = dict(zip(rows, brute_hits([r.text for r in rows.values()], bench), strict=True))
+    rows = {i: r for i, r in rows.items() if not hits[i][-1]}
+    left = spark.createDataFrame([tuple(r) for r in rows.values()], docs.schema)
+    spans = {r.doc_id: r.spans for r in pii.report(left).collect()}
+
+    def masked(text, found):
+        out, last = [], 0
+        for s, e, kind in sorted((int(x[1]), int(x[2]), x[0]) for x in (p.split(":") for p in found.split(",") if p)):
+            if s >= last:
+                out += [text[last:s], f"<{kind}>"]
+            last = max(last, e)
+        return "".join([*out, text[last:]])
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.default_path(), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: (r.lang, r.source, tuple(plain.encode_ordinary(masked(r.text or "", spans[i])))) for i, r in rows.items()}
+    got = {r.doc_id: (r.lang, r.source, tuple(int.from_bytes(r.token_ids[k : k + 4], "little") for k in range(0, len(r.token_ids), 4))) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == want and {31, 51, 53, 400} <= set(got) and not {8, 16, 33, 35, 41, 43} & set(got)
+    assert sum("email" in s for s in spans.values()) >= 2
+
+
+def test_empty_and_clashing_tables(spark, sf_dir, tmp_path):
+    """No documents, and documents with columns called as the operators' own, nulls and repeated rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/a/{name}.parquet")
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    extra = docs.where("doc_id < 60 OR doc_id = 400").select("*", *(F.lit(i).alias(c) for i, c in enumerate(["matches", "hit_spans", "_toxicity", "n_words", "bands", "token_ids", "n_tokens", "kept", "score"])))
+    extra.unionAll(extra).write.parquet(f"{tmp_path}/a/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert {31, 51, 53, 400} <= {r.doc_id for r in out} and not {33, 41} & {r.doc_id for r in out}
