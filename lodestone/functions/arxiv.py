@@ -1,4 +1,8 @@
-"""Identifiers of papers and the dates that they carry."""
+"""Identifiers of papers and the dates that they carry.
+
+The patterns of identifiers and URLs, and the year from which two digits mean
+the last century, are fixed values: results must match them.
+"""
 
 from __future__ import annotations
 

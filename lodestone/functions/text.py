@@ -1,7 +1,9 @@
 """Text cleaning and tokenising, as Column functions.
 
 White space is Unicode white space and a word character is a letter, digit or
-underscore of any script, whatever the regex dialect's own classes are.
+underscore of any script, whatever the regex dialect's own classes are.  The
+patterns of tokens and cleaners, and their order, are fixed values: results
+must match them.
 """
 
 from __future__ import annotations
