@@ -72,16 +72,19 @@ def ground_truth_ranks(scores: DataFrame, truth: DataFrame, one_based_offset: in
     """
     pairs = truth.select("qid", "paper_id").distinct()
     whole = F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)) if one_based_offset is None else F.coalesce("n", F.lit(0)) + 1
-    size = scores.groupBy("qid").agg(F.count("*").alias("n"))
-    mine = scores.join(pairs, ["qid", "paper_id"]).select("qid", F.col("paper_id").alias("gt"), F.round("score", 9).alias("gs"), F.col("ord").alias("go"))
-    if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:  # then no score is moved, and counts are added up before the shuffle
-        mine = F.broadcast(mine)
     s = F.round("score", 9)
-    better = scores.join(mine, "qid").where((s > F.col("gs")) | ((s == F.col("gs")) & (F.col("ord") < F.col("go")))).groupBy("qid", "gt").agg(F.count("*").alias("before"))
-    found = mine.select("qid", "gt").join(better, ["qid", "gt"], "left").select("qid", F.col("gt").alias("paper_id"), F.coalesce("before", F.lit(0)).alias("before"))
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS  # then no score is moved, and counts are added up before the shuffle
+    mine = scores.join(F.broadcast(pairs) if few else pairs, ["qid", "paper_id"]).select("qid", F.struct(F.col("paper_id").alias("gt"), s.alias("gs"), F.col("ord").alias("go")).alias("m"))
+    marks = mine.groupBy("qid").agg(F.collect_list("m").alias("marks"))  # of one query's found truth
+    marks = F.broadcast(marks) if few else marks
+    # Every score counts once for its query's list (no paper) and once for each ground-truth paper that it is or comes before.
+    upto = F.filter(F.coalesce("marks", F.array().cast(marks.schema["marks"].dataType)), lambda m: (s > m["gs"]) | ((s == m["gs"]) & (F.col("ord") <= m["go"])))
+    none = F.array(F.lit(None).cast(pairs.schema["paper_id"].dataType))
+    counts = scores.join(marks, "qid", "left").select("qid", F.explode(F.concat(none, F.transform(upto, lambda m: m["gt"]))).alias("gt")).groupBy("qid", "gt").agg(F.count("*").alias("c"))
+    per = counts.groupBy("qid").agg(F.max(F.when(F.col("gt").isNull(), F.col("c"))).alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("gt").isNotNull(), F.struct("gt", "c")))).alias("upto"))
+    joined = pairs.join(per, "qid", "left").withColumn("before", F.try_element_at("upto", F.col("paper_id")) - 1)
     rank = F.col("before") if one_based_offset is None else F.when(F.col("before").isNotNull(), F.greatest(F.col("before") + 1 - one_based_offset, F.lit(0)))
     absent = F.lit(missing) if missing is not None else F.coalesce("n", F.lit(0)) + 1
-    joined = pairs.join(found, ["qid", "paper_id"], "left").join(size, "qid", "left")
     return joined.select("qid", "paper_id", F.coalesce(rank, absent).cast("long").alias("rank"), whole.cast("long").alias("total"))
 
 
