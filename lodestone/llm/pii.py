@@ -26,7 +26,7 @@ SAMPLE_WINDOWS, VARIANTS = 1200, 3000
 #: Window length, the step between windows, and the context around a digit, @ or a written at or dot, which goes on to the ends of words.
 #: Nothing else is left out: an added span of every kind must hold one of these (see shaped).
 WINDOW, STEP, CONTEXT = 96, 48, 32
-EMBED, HIDDEN, BATCH, STEPS, SEED = 12, 20, 32, 600, 7
+EMBED, HIDDEN, BATCH, STEPS, SEED = 12, 20, 64, 300, 7
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 MASK = {"email": "<email>", "ip": "<ip>", "card": "<card>", "phone": "<phone>"}
 
@@ -192,7 +192,7 @@ class Tagger:
         np.add.at(g["e"], x, de)
         return float((total - gold).mean()), {k: v / batch for k, v in g.items()}
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, tags: np.ndarray, steps: int = STEPS, rate: float = 0.02) -> float:
+    def fit(self, x: np.ndarray, mask: np.ndarray, tags: np.ndarray, steps: int = STEPS, rate: float = 0.03) -> float:
         """Adam; the columns are examples."""
         rng = np.random.default_rng(SEED)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
