@@ -72,5 +72,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import whitening
+
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring, op11_whitening)}
 ORACLE_SQL: dict[str, str] = {"op1_hamming_topk": _hamming.ORACLE, "op3_suffix_dedup": oracle.SUFFIX_DEDUP, "op4_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op8_decontamination": oracle.DECONTAMINATION}
