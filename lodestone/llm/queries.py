@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import hamming_topk as _hamming
+from lodestone.llm import mixing as _mixing
 from lodestone.llm import oracle
 
 
@@ -78,5 +79,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring, op11_whitening)}
-ORACLE_SQL: dict[str, str] = {"op1_hamming_topk": _hamming.ORACLE, "op3_suffix_dedup": oracle.SUFFIX_DEDUP, "op4_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op8_decontamination": oracle.DECONTAMINATION}
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import mixing
+
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring, op11_whitening, op12_source_mixing)}
+ORACLE_SQL: dict[str, str] = {"op1_hamming_topk": _hamming.ORACLE, "op3_suffix_dedup": oracle.SUFFIX_DEDUP, "op4_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op8_decontamination": oracle.DECONTAMINATION, "op12_source_mixing": _mixing.ORACLE}
