@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm import hamming_topk as _hamming
 from lodestone.llm import mixing as _mixing
 from lodestone.llm import oracle
+from lodestone.llm import vector_codes as _codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,5 +86,11 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring, op11_whitening, op12_source_mixing)}
-ORACLE_SQL: dict[str, str] = {"op1_hamming_topk": _hamming.ORACLE, "op3_suffix_dedup": oracle.SUFFIX_DEDUP, "op4_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op8_decontamination": oracle.DECONTAMINATION, "op12_source_mixing": _mixing.ORACLE}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import vector_codes
+
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_byte_bpe, op3_suffix_dedup, op4_minhash_near_dedup, op5_packed_ids, op6_toxicity, op7_pii, op8_decontamination, op9_html_extraction, op10_lm_scoring, op11_whitening, op12_source_mixing, op13_vector_codes)}
+ORACLE_SQL: dict[str, str] = {"op1_hamming_topk": _hamming.ORACLE, "op3_suffix_dedup": oracle.SUFFIX_DEDUP, "op4_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op8_decontamination": oracle.DECONTAMINATION, "op12_source_mixing": _mixing.ORACLE, "op13_vector_codes": _codes.ORACLE}
