@@ -69,7 +69,7 @@ def test_huge_components(spark):
     """Beyond 64 bits squares are taken exactly, and what exceeds a long is null."""
     rows = [(i, [4e6 + 16.0 * v * v for v in range(i, i + 8)], 0) for i in range(40)]
     assert got(spark.createDataFrame(rows, TABLE)) == brute(rows, 8)
-    out = vector_codes.report(spark.createDataFrame([(i, [(-1.0) ** i * 1e14 * (i + 1)] * 8, 0) for i in range(40)], TABLE)).collect()
+    out = vector_codes.report(spark.createDataFrame([(i, [(-1.0) ** i * 1e12 * (i + 1) ** 2] * 8, 0) for i in range(40)], TABLE)).collect()
     assert len(out) == 40 and any(r.label_error is None for r in out)
 
 
