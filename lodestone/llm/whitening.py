@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from lodestone.llm._shared import written
 
 SCALE, COMPONENTS = 256, 4
-#: Dimensions of a block: pairs of blocks are rows of the one aggregation if a vector has more.
-BLOCK = 64
+#: Dimensions of a block: pairs of blocks are rows of the one aggregation if a vector has more, so that its code compiles.
+BLOCK = 8
 #: Scaled entries beyond this stand for it; differences of two then fit a long.
 LARGEST = float(1 << 62)
 
