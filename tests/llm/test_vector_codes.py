@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -100,7 +101,7 @@ def test_label_sums_beyond_a_broadcast(spark, monkeypatch):
     """With many labels the hot ones are broadcast and the others joined by a shuffle; the sums are the same."""
     monkeypatch.setattr(vector_codes, "LABELS", 3)
     rows = [(i, "00", i % 5, None if i % 3 == 0 else i if i % 3 == 1 else -1) for i in range(3000)]
-    df = spark.createDataFrame([(i, c, e, lab) for i, c, e, lab in rows], "vec_id long, code string, error decimal(38,0), label int")
+    df = spark.createDataFrame([(i, c, Decimal(e), lab) for i, c, e, lab in rows], "vec_id long, code string, error decimal(38,0), label int")
     sums: Counter = Counter()
     for _, _, e, lab in rows:
         sums[lab] += e
