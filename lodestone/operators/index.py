@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import index_text, tokens
@@ -13,15 +13,29 @@ from lodestone.sources.writers import append_new
 
 VECTORS = "paper_id long, ord long, date string, arxiv_id string, embedding array<float>"
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Impact levels, and so blocks, of a term at most.
+LEVELS = 64
+#: Rows of a bucket of saved postings; a term with more fills several files.
+BUCKET_ROWS = 4_000_000
 
 
 @dataclass
 class TermIndex:
-    """``postings`` (term, paper_id, ord, date, arxiv_id, tf, dl), ``terms`` (term, df, idf), ``stats`` (n, avgdl, mean_idf)."""
+    """``postings`` (term, paper_id, ord, date, arxiv_id, tf, dl), ``terms`` (term, df, idf), ``stats`` (n, avgdl, mean_idf), ``blocks`` (term, level, n, most): postings of a term by impact, and their greatest impact."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    blocks: DataFrame
+
+
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a posting adds to a score for each unit of its term's weight; below K1 + 1."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def level(of: Column) -> Column:
+    return F.floor(of * (LEVELS / (K1 + 1))).cast("int")
 
 
 def build_term_index(papers: DataFrame) -> TermIndex:
@@ -37,23 +51,27 @@ def build_term_index(papers: DataFrame) -> TermIndex:
     # Tokenised, counted and written once; what follows reads columns of the written table.
     postings = stored(long.groupBy("term", "paper_id", "ord", "date", "arxiv_id", "dl").agg(F.count("*").alias("tf")))
     # Every indexed paper has the label's token once as a row, so its postings are the papers.
-    sizes = postings.where(F.col("term") == "title").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row of sizes
-    raw = stored(raw.select("term", "df", "n", "avgdl", "raw"))
+    sizes = stored(postings.where(F.col("term") == "title").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    weighed = postings.crossJoin(F.broadcast(sizes)).select("term", impact(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("impact"))  # one row of sizes
+    blocks = stored(weighed.groupBy("term", level(F.col("impact")).alias("level")).agg(F.count("*").alias("n"), F.max("impact").alias("most")))
+    counted = blocks.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(sizes))
+    raw = stored(counted.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("term", "df", "n", "avgdl", "raw"))
     mean = raw.agg(F.first("n", ignorenulls=True).alias("n"), F.first("avgdl", ignorenulls=True).alias("avgdl"), F.avg("raw").alias("mean_idf"))
     terms = raw.crossJoin(F.broadcast(mean.select("mean_idf"))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return TermIndex(postings, terms, mean)
+    return TermIndex(postings, terms, mean, blocks)
 
 
-def save_term_index(index: TermIndex, path: str, buckets: int = 64) -> None:
-    """Postings lie in files by hash of the term, so a few terms read a few files."""
-    index.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).repartition(buckets, "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+def save_term_index(index: TermIndex, path: str, buckets: int | None = None) -> None:
+    """Postings lie in folders by hash of the term, as many as their number asks for; one that a frequent term swells is cut into several files."""
+    buckets = buckets or max(1, -(-index.postings.count() // BUCKET_ROWS))
+    dealt = index.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).hint("rebalance", "bucket")
+    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    for name in ("terms", "stats", "blocks"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_term_index(spark: SparkSession, path: str) -> TermIndex:
-    return TermIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+    return TermIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats", "blocks")))
 
 
 def build_vector_index(papers: DataFrame, embeddings: DataFrame, done: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import article, arxiv, parse, rouge, text, vectors
-from lodestone.operators import corpus, index, metrics, search
+from lodestone.operators import bounds, corpus, index, metrics, search
 from lodestone.plans import agents, build, evaluate, workflow
 from lodestone.plans.storage import stored
 from lodestone.sources import readers
@@ -57,9 +57,9 @@ def kept(name: str, build, spark: SparkSession, sf_dir: str, *tables) -> object:
 def term_index(spark: SparkSession, sf_dir: str) -> index.TermIndex:
     def build(spark: SparkSession, sf_dir: str) -> index.TermIndex:
         made = index.build_term_index(papers(spark, sf_dir))
-        return index.TermIndex(made.postings, stored(made.terms), stored(made.stats))
+        return index.TermIndex(made.postings, stored(made.terms), stored(made.stats), made.blocks)
 
-    return kept("terms", build, spark, sf_dir, lambda i: i.postings, lambda i: i.terms, lambda i: i.stats)
+    return kept("terms", build, spark, sf_dir, lambda i: i.postings, lambda i: i.terms, lambda i: i.stats, lambda i: i.blocks)
 
 
 def containing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +129,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.search(questions(spark, sf_dir), "bm25", term_index(spark, sf_dir)))
 
 
+@query(f"""WITH {INDEX}, asked AS (SELECT item_id AS qid, text AS query, CASE WHEN item_id % 2 = 0 THEN '2018-07' END AS before_date FROM benchmark), {scored('asked')} {paged()}""")
+def bm25_bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By block bounds, whatever the number of postings; every other query has a cutoff."""
+    asked = questions(spark, sf_dir).withColumn("before_date", F.when(F.col("qid") % 2 == 0, "2018-07"))
+    return _shown(search.page(bounds.best(term_index(spark, sf_dir), asked, search.MAX_RESULTS)))
+
+
 @query(f"""WITH {INDEX}, {asked_sql("'2016-05-20'")}, {scored('asked')} {paged()}""")
 def bm25_before_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.search(questions(spark, sf_dir, "2016-05-20"), "bm25", term_index(spark, sf_dir)))
@@ -137,8 +144,8 @@ def bm25_before_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {INDEX}, {asked_sql()}, {scored('asked')}, kept AS (SELECT * FROM scores s WHERE NOT EXISTS (SELECT 1 FROM ({paged("scores", 5)}) b WHERE b.qid = s.qid AND b.paper_id = s.paper_id)) {paged("kept", 10, 10)}""")
 def bm25_exclude_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx, q = term_index(spark, sf_dir), questions(spark, sf_dir)
-    scores = stored(search.bm25_scores(idx, q))
-    return _shown(search.page(search.without(scores, search.page(scores, 5)), offset=10))
+    first = stored(search.search(q, "bm25", idx, top_k=5))
+    return _shown(search.search(q, "bm25", idx, excluded=first, offset=10))
 
 
 @query(f"WITH {INDEX}, {asked_sql()}, {scored('asked')}, {TRUTH}, {RANKS} SELECT * FROM gt_ranks")
@@ -207,7 +214,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _vectors(spark, sf_dir)
     asked = questions(spark, sf_dir)
     q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding").join(asked.select("qid", "before_date"), "qid")
-    v, b = search.vector_scores(rows, q), search.bm25_scores(term_index(spark, sf_dir), asked)
+    v, b = search.vector_scores(rows, q), search.bm25_best(term_index(spark, sf_dir), asked, 2 * search.MAX_RESULTS)
     return _shown(search.page(search.hybrid_scores(v, b)))
 
 
