@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import corpus, index, metrics, search
+from lodestone.operators import cells, corpus, index, metrics, search
 from lodestone.plans import agents, build, workflow
 from lodestone.plans.storage import folder, removed_at_end, stored
 from lodestone.queries import DEEP_KEYS, INDEX, KEYS_SQL, PAPERS, RATIOS, SIMPLE, TRUTH, VECTORS, _planner, _quality, _shown, _vectors, asked_sql, containing, paged, papers, query, questions, rounded, scored, table, term_index
@@ -210,12 +210,13 @@ def file_term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VECTORS}, vscores AS (SELECT qid, paper_id, ord, date, arxiv_id, list_dot_product(e, q) AS score FROM vec, vq) {paged('vscores')}")
 def file_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search in vectors that were saved in part, completed by a second run and loaded."""
-    rows, q = _vectors(spark, sf_dir)
-    path = place(spark, "vectors")
+    """A search in vectors that were saved in part, completed by a second run, loaded, placed in cells, and loaded again."""
+    held, q = _vectors(spark, sf_dir)
+    rows, path = held.rows.select(*cells.ROWS), place(spark, "vectors")
     index.save_vector_index(rows.where("paper_id % 2 = 0"), path)
     index.save_vector_index(rows, path, append=True)
-    return _shown(search.search(q.withColumn("before_date", F.lit(None).cast("string")), "vector", vectors=index.load_vector_index(spark, path)))
+    cells.build_cells(index.load_vector_index(spark, path), path=(placed := place(spark, "cells")))
+    return _shown(search.search(q.withColumn("before_date", F.lit(None).cast("string")), "vector", vectors=cells.load_cells(spark, placed)))
 
 
 # Other ways to search.
@@ -228,7 +229,7 @@ def _service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 candidates twice over, with a cutoff and each query's first three papers excluded."""
     rows, q = _vectors(spark, sf_dir)
     dated = q.withColumn("before_date", F.lit("2016-05"))
-    first = search.page(search.vector_scores(rows, q.withColumn("before_date", F.lit(None).cast("string"))), 3).select("qid", "arxiv_id")
+    first = search.page(search.vector_best(rows, q.withColumn("before_date", F.lit(None).cast("string")), 3), 3).select("qid", "arxiv_id")
     return search.over_fetched(rows, dated, first, offset=10, least=30, times=2)
 
 

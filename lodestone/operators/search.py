@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from lodestone.functions.arxiv import month_ok
 from lodestone.functions.vectors import dot
 from lodestone.operators.bounds import asked_terms, best
+from lodestone.operators.cells import VectorCells, best_vectors, build_cells
 from lodestone.operators.index import TermIndex, impact
 
 #: Truth pairs, and terms of queries, up to these numbers are broadcast; more are joined by a shuffle.
@@ -58,13 +59,25 @@ def bm25_best(index: TermIndex, queries: DataFrame, most: int, excluded: DataFra
     return best(index, queries, most, lambda scores: without(scores, excluded))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, keep_missing: bool = True) -> DataFrame:
-    """Inner products of a stated set of query vectors with all rows; the queries are few and broadcast by Spark's own size check."""
-    q = queries.select("qid", "before_date", F.col("embedding").alias("q"))
-    near = vectors.join(q, month_ok(F.col("date"), F.col("before_date"), keep_missing))
+def vector_scores(vectors: DataFrame | VectorCells, queries: DataFrame, keep_missing: bool = True) -> DataFrame:
+    """Inner products of a stated set of query vectors with all rows, for ranks among all of them; a page takes ``vector_best``.
+
+    Rows lie in blocks, and every block has a copy of the queries: they meet by
+    the number of the block.
+    """
+    rows = vectors.rows if isinstance(vectors, VectorCells) else vectors
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.select("qid", "before_date", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    near = rows.withColumn("block", F.pmod(F.xxhash64("paper_id"), F.lit(blocks)).cast("int")).join(q, "block").where(month_ok(F.col("date"), F.col("before_date"), keep_missing))
     return near.select("qid", "paper_id", "ord", "date", "arxiv_id", dot(F.col("embedding"), F.col("q")).alias("score"))
 
 
+def vector_best(vectors: DataFrame | VectorCells, queries: DataFrame, most: int, keep_missing: bool = True, excluded: DataFrame | None = None) -> DataFrame:
+    """Rows of ``vector_scores`` without the excluded ones that hold the ``most`` best of each query; cells that cannot hold any are not read."""
+    cells = vectors if isinstance(vectors, VectorCells) else build_cells(vectors)
+    return best_vectors(cells, queries, most, keep_missing, lambda scores: without(scores, excluded))
+
+
 def without(scores: DataFrame, excluded: DataFrame | None) -> DataFrame:
     """Rows not in ``excluded``, before any rank: by (qid, arxiv_id) if it has that column, so that all records of a paper go, else by (qid, paper_id)."""
     if excluded is None:
@@ -114,20 +127,20 @@ def fetched(scores: DataFrame, most: int) -> DataFrame:
     return ranked.drop("rn")
 
 
-def over_fetched(vectors: DataFrame, queries: DataFrame, excluded: DataFrame | None = None, offset: int = 0, least: int = 100, times: int = 5) -> DataFrame:
+def over_fetched(vectors: DataFrame | VectorCells, queries: DataFrame, excluded: DataFrame | None = None, offset: int = 0, least: int = 100, times: int = 5) -> DataFrame:
     """Vector scores as a search service gives them: (offset + least) * times candidates of each query are fetched, then cut off by month and exclusion.
 
     Rows without an arXiv id go.  What lies beyond the candidates is not
     found, whatever the cutoff leaves; pages and ground-truth ranks are taken
     from what is returned here.
     """
-    every = vector_scores(vectors, queries.withColumn("before_date", F.lit(None).cast("string")))
-    near = fetched(every, (offset + least) * times).join(queries.select("qid", "before_date"), "qid")
+    most = (offset + least) * times
+    near = fetched(vector_best(vectors, queries.withColumn("before_date", F.lit(None).cast("string")), most), most).join(queries.select("qid", "before_date"), "qid")
     dated = near.where(month_ok(F.col("date"), F.col("before_date"), True)).drop("before_date")
     return without(dated.where("coalesce(arxiv_id, '') <> ''"), excluded)
 
 
-def flat_search(vectors: DataFrame, queries: DataFrame, truth: DataFrame | None = None, top_k: int = MAX_RESULTS, offset: int = 0, times: int = 5) -> tuple[DataFrame, DataFrame | None]:
+def flat_search(vectors: DataFrame | VectorCells, queries: DataFrame, truth: DataFrame | None = None, top_k: int = MAX_RESULTS, offset: int = 0, times: int = 5) -> tuple[DataFrame, DataFrame | None]:
     """Vector search in a flat index: (page, ranks of ``truth`` or None).
 
     Without a cutoff top_k + offset candidates are fetched, with one ``times``
@@ -135,7 +148,7 @@ def flat_search(vectors: DataFrame, queries: DataFrame, truth: DataFrame | None
     at 1 after the offset; what is not among the candidates takes one more
     than their number.
     """
-    every = vector_scores(vectors, queries.withColumn("before_date", F.lit(None).cast("string")))
+    every = vector_best(vectors, queries.withColumn("before_date", F.lit(None).cast("string")), (top_k + offset) * times)
     both = every.join(queries.select("qid", "before_date"), "qid").withColumn("rn", F.row_number().over(order()))
     most = F.when(F.col("before_date").isNull(), top_k + offset).otherwise((top_k + offset) * times)
     near = both.where(F.col("rn") <= most).where(month_ok(F.col("date"), F.col("before_date"), False)).drop("before_date", "rn")
@@ -159,7 +172,7 @@ def hybrid_scores(vector: DataFrame, bm25: DataFrame, top_k: int = MAX_RESULTS,
     return merged
 
 
-def search(queries: DataFrame, method: str = "bm25", index: TermIndex | None = None, vectors: DataFrame | None = None, excluded: DataFrame | None = None, top_k: int = MAX_RESULTS, offset: int = 0) -> DataFrame:
+def search(queries: DataFrame, method: str = "bm25", index: TermIndex | None = None, vectors: DataFrame | VectorCells | None = None, excluded: DataFrame | None = None, top_k: int = MAX_RESULTS, offset: int = 0) -> DataFrame:
     """One page of each query by ``method``: bm25, vector, vector_service (over-fetching), vector_flat (without exclusion); any other name is hybrid."""
     if method == "bm25":
         return page(bm25_best(index, queries, top_k + offset, excluded), top_k, offset)
@@ -168,8 +181,8 @@ def search(queries: DataFrame, method: str = "bm25", index: TermIndex | None = N
     if method == "vector_flat":
         return flat_search(vectors, queries, None, top_k, offset)[0]
     if method == "vector":
-        return page(without(vector_scores(vectors, queries), excluded), top_k, offset)
-    return page(hybrid_scores(without(vector_scores(vectors, queries), excluded), bm25_best(index, queries, 2 * (top_k + offset), excluded), top_k, offset), top_k, offset)
+        return page(vector_best(vectors, queries, top_k + offset, excluded=excluded), top_k, offset)
+    return page(hybrid_scores(vector_best(vectors, queries, 2 * (top_k + offset), excluded=excluded), bm25_best(index, queries, 2 * (top_k + offset), excluded), top_k, offset), top_k, offset)
 
 
 def tool_rows(results: DataFrame, papers: DataFrame) -> DataFrame:

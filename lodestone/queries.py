@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import article, arxiv, parse, rouge, text, vectors
-from lodestone.operators import bounds, corpus, index, metrics, search
+from lodestone.operators import bounds, cells, corpus, index, metrics, search
 from lodestone.plans import agents, build, evaluate, workflow
 from lodestone.plans.storage import stored
 from lodestone.sources import readers
@@ -49,7 +49,7 @@ _KEPT: dict = {}
 def kept(name: str, build, spark: SparkSession, sf_dir: str, *tables) -> object:
     """What ``build`` makes of a corpus, made once in an application: its tables (``tables`` of the result) are stored and read by every query."""
     key = name, spark.sparkContext.applicationId, sf_dir
-    if key not in _KEPT or not all(readers.exists(spark, t(_KEPT[key])._stored_at) for t in tables):
+    if key not in _KEPT or not all(readers.exists(spark, getattr(t(_KEPT[key]), "path", None) or t(_KEPT[key])._stored_at) for t in tables):
         _KEPT[key] = build(spark, sf_dir)
     return _KEPT[key]
 
@@ -175,9 +175,15 @@ def vscored(before: str, keep_missing: bool) -> str:
     return f"vscores AS (SELECT qid, paper_id, ord, date, arxiv_id, list_dot_product(e, q) AS score FROM vec, vq WHERE {cut})"
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[cells.VectorCells, DataFrame]:
+    """The corpus' vectors in cells, placed once in an application, and the queries."""
     e = table(spark, sf_dir, "embeddings")
-    rows = index.build_vector_index(papers(spark, sf_dir), e.select(F.col("vec_id").alias("paper_id"), "embedding"))
+
+    def build(spark: SparkSession, sf_dir: str) -> cells.VectorCells:
+        rows = index.build_vector_index(papers(spark, sf_dir), e.select(F.col("vec_id").alias("paper_id"), "embedding"))
+        return cells.build_cells(stored(rows))
+
+    rows = kept("cells", build, spark, sf_dir, lambda c: c)
     return rows, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
@@ -214,7 +220,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _vectors(spark, sf_dir)
     asked = questions(spark, sf_dir)
     q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding").join(asked.select("qid", "before_date"), "qid")
-    v, b = search.vector_scores(rows, q), search.bm25_best(term_index(spark, sf_dir), asked, 2 * search.MAX_RESULTS)
+    v, b = search.vector_best(rows, q, 2 * search.MAX_RESULTS), search.bm25_best(term_index(spark, sf_dir), asked, 2 * search.MAX_RESULTS)
     return _shown(search.page(search.hybrid_scores(v, b)))
 
 
