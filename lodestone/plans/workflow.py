@@ -163,15 +163,19 @@ def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame,
         asked = now.join(queries.select("qid", "before_date"), "qid").join(seen, ["qid", "sq_id"], "left").select(key.alias("qid"), F.col("text").alias("query"), "before_date", "target_k", F.coalesce("seen", F.lit(0)).alias("offset"))
         banned = selected.select("qid", "paper_id").distinct()
         scores = scorer(asked.select("qid", "query", "before_date"))
-        scores = stored(scores.withColumn("_q", F.col("qid.qid")).join(banned.withColumnRenamed("qid", "_q"), ["_q", "paper_id"], "left_anti").drop("_q"))
-        found = stored(page_at(scores, asked).select("qid.qid", F.lit(i).alias("iter"), "qid.sq_id", "paper_id", "rank", "score"))
+        scores = scores.withColumn("_q", F.col("qid.qid")).join(banned.withColumnRenamed("qid", "_q"), ["_q", "paper_id"], "left_anti").drop("_q")
         pairs = now.select("qid", "sq_id").join(truth, "qid").select(key.alias("qid"), "paper_id")
-        place = ground_truth_ranks(scores, pairs).select("qid.qid", F.lit(i).alias("iter"), "qid.sq_id", "paper_id", "rank", "total")
+        # One job gives the pages and the ranks: both read one exchange of the scores, which are never stored.
+        pages = page_at(scores, asked).select("qid", "paper_id", "rank", "score", F.lit(None).cast("long").alias("total"))
+        places = ground_truth_ranks(scores, pairs).select("qid", "paper_id", "rank", F.lit(None).cast("double").alias("score"), "total")
+        both = stored(pages.unionByName(places))
+        at = ["qid.qid", F.lit(i).alias("iter"), "qid.sq_id", "paper_id", "rank"]
+        found, place = both.where("total IS NULL").select(*at, "score"), both.where("total IS NOT NULL").select(*at, "total")
         states = stored(states.unionByName(now.select(*(f.name for f in states.schema))))
         retrieved = stored(retrieved.unionByName(found))
         selected = stored(selected.unionByName(selection(found, selector, browsing).select(*found.columns)))
         ranks = stored(ranks.unionByName(place))
-        discard(scores, found, now)
+        discard(both, now)
     status = queries.select("qid").join(ended, "qid", "left").select("qid", F.coalesce("status", F.lit("finished")).alias("status"))
     return DeepRun(states, retrieved, selected, ranks, status)
 
