@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.operators import cells, corpus, index, metrics, search
 from lodestone.plans import agents, build, workflow
 from lodestone.plans.storage import folder, removed_at_end, stored
 from lodestone.queries import DEEP_KEYS, INDEX, KEYS_SQL, PAPERS, RATIOS, SIMPLE, TRUTH, VECTORS, _planner, _quality, _shown, _vectors, asked_sql, containing, paged, papers, query, questions, rounded, scored, table, term_index
-from lodestone.sources import readers, writers
+from lodestone.sources import members, readers, writers
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -32,10 +33,12 @@ def lines(df: DataFrame, path: str, value: Column | None = None) -> str:
 
 @query(f"WITH {PAPERS} SELECT CAST(paper_id AS VARCHAR) AS paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS ord, arxiv_id, title, md5(abstract) AS abstract, date FROM papers")
 def file_paper_db(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON object of all papers, written and read."""
-    p = papers(spark, sf_dir).select("paper_id", F.struct("arxiv_id", "title", "abstract", "date").alias("e"))
-    one = p.agg(F.array_sort(F.collect_list(F.struct("paper_id", "e"))).alias("x")).select(F.map_from_entries(F.transform("x", lambda r: F.struct(r["paper_id"].cast("string"), r["e"]))).alias("m"))
-    got = readers.paper_db(spark, lines(one, place(spark, "papers"), F.to_json("m")))
+    """One JSON object of all papers, written a member a line, and read by byte ranges."""
+    p = papers(spark, sf_dir).select("paper_id", F.to_json(F.struct("arxiv_id", "title", "abstract", "date")).alias("e"))
+    ends = p.agg(F.min("paper_id").alias("first"), F.max("paper_id").alias("last"))
+    member = F.concat(F.when(F.col("paper_id") == F.col("first"), "{").otherwise(""), F.lit('"'), F.col("paper_id").cast("string"), F.lit('": '), "e", F.when(F.col("paper_id") == F.col("last"), "}").otherwise(","))
+    path = lines(p.crossJoin(F.broadcast(ends)).repartition(1).sortWithinPartitions("paper_id"), place(spark, "papers"), member)  # one file, through which rows stream
+    got = readers.paper_db(spark, path)
     return got.select("paper_id", "ord", "arxiv_id", "title", F.md5(F.col("abstract").cast("binary")).alias("abstract"), "date")
 
 
@@ -140,12 +143,45 @@ def file_zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.unzipped(zips).select(F.col("name").cast("long").alias("p_partkey"), "title", "abstract")
 
 
+@query("SELECT p_partkey, title, abstract FROM (SELECT p_partkey, p_name AS title, p_brand AS abstract FROM part WHERE p_partkey % 3 = 0)")
+def zip_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives in the shared folder, of which only the members that are asked for are read."""
+    at = place(spark, "archives")
+
+    def packed(batches):
+        import io
+        import json
+        import zipfile
+
+        import pandas as pd
+        from pyspark import TaskContext
+
+        path, out, n = f"{at}/{TaskContext.get().partitionId()}.zip", io.BytesIO(), 0
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("readme", "no json")
+            for b in batches:
+                for r in b.itertuples():
+                    z.writestr(str(r.p_partkey), json.dumps({"title": r.p_name, "abstract": r.p_brand}))
+                    n += 1
+        with members.opened(path, "wb") as f:
+            f.write(out.getvalue())
+        yield pd.DataFrame({"path": [path], "n": [n]})
+
+    made = stored(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").repartition(3, "p_partkey").mapInPandas(packed, "path string, n long"))
+    paths = [r.path for r in made.select("path").collect()]  # three archives
+    keys = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("key"))
+    return members.probed_members(spark, paths, keys).select(F.col("name").cast("long").alias("p_partkey"), "title", "abstract")
+
+
 @query("SELECT role AS paper_id, 'm' || conv_id % 3 AS model, md5(arg_max(text, conv_id * 1000 + turn)) AS summary FROM conversations GROUP BY ALL")
 def latest_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache file to which summaries were appended line by line, with a broken line; the last of each paper and model counts."""
+    """A cache to which summaries were appended three times, with broken lines; the last of each paper and model counts, whatever the sizes of the files."""
     c = table(spark, sf_dir, "conversations").select(F.col("role").alias("paper_id"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"), F.col("text").alias("summary"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
-    value = F.when(F.col("at") % 7 == 8, "").otherwise(F.to_json(F.struct("paper_id", "model", "summary")))
-    path = lines(c.repartition(1).sortWithinPartitions("at"), place(spark, "cache"), value)  # a cache is one file by nature
+    value = F.concat(F.to_json(F.struct("paper_id", "model", "summary")), F.when(F.col("at") % 7 == 3, "\n{broken").otherwise(""))
+    third, path = F.ntile(3).over(Window.partitionBy("paper_id", "model").orderBy("at")), place(spark, "cache")
+    parts = stored(c.withColumn("third", third))
+    for n in (1, 2, 3):  # each append is one file, in order
+        parts.where(F.col("third") == n).repartition(1).sortWithinPartitions("at").select(value.alias("value")).write.mode("append").text(path)
     return readers.summary_cache(spark, path).select("paper_id", "model", F.md5(F.col("summary").cast("binary")).alias("summary"))
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.arxiv import mapped_id, month_start, year_month
-from lodestone.functions.rouge import rouge_l, words
+from lodestone.functions.rouge import lcs_of, rouge_of, word_masks, words
 from lodestone.functions.text import clean_title, letters_key
+from lodestone.plans.storage import stored
 
 PAPER = {"title": "string", "abstract": "string", "date": "string", "authors": "array<string>", "category": "array<string>", "url": "string"}
 #: A title counts as found from this similarity on.
@@ -88,8 +89,12 @@ def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     frequency = y.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     a, b = _prefixes(x, frequency), _prefixes(y, frequency).withColumnsRenamed({"t": "u", "n": "m"})
     fits = 2 * F.least("n", "m") > SIMILAR * (F.col("n") + F.col("m"))
-    pairs = a.join(b, ["word", "nth"]).where(fits).select("t", "u").distinct()
-    return pairs.withColumn("sim", rouge_l(F.col("t"), F.col("u"))).where(F.col("sim") > SIMILAR)
+    pairs = stored(a.join(b, ["word", "nth"]).where(fits).select("t", "u").distinct())
+    # The bits of a title are worked out once, not for each pair.
+    masks = stored(x.join(pairs.select("t").distinct(), "t", "left_semi").select("t", F.size("w").alias("n"), word_masks(F.col("w")).alias("masks")))
+    both = pairs.join(masks, "t").withColumn("w", words(F.col("u")))
+    near = both.select("t", "u", rouge_of(lcs_of(F.col("masks"), F.col("w")), F.col("n"), F.size("w")).alias("sim"))
+    return near.where(F.col("sim") > SIMILAR)
 
 
 def reference_lookup(references: DataFrame, meta: DataFrame) -> DataFrame:

@@ -45,16 +45,23 @@ def resolve_plan(plan: DataFrame, states: DataFrame, iteration: int) -> DataFram
 def subquery_paths(states: DataFrame) -> DataFrame:
     """(qid, sq_id, level, path) of the subquery tree by parent pointers; 0 is the root.
 
-    Levels are followed to the last; a subquery has one parent, so that none
-    is met twice, and those that no root leads to are left out.
+    Each step doubles the length of what a subquery knows of its path: to what
+    it has it adds what the node at its upper end has.  So a tree of any depth
+    takes the logarithm of it in steps, and one table is kept.  Subqueries
+    that no root leads to are left out, circles among them.
     """
-    nodes = stored(states.groupBy("qid", "sq_id").agg(F.max_by("source", "iter").alias("source")))
-    level = out = stored(nodes.where("source = 0").select("qid", "sq_id", F.lit(1).alias("level"), F.concat(F.lit("0/"), F.col("sq_id").cast("string")).alias("path")))
-    while level.head(1):
-        up = level.select("qid", F.col("sq_id").alias("source"), F.col("level").alias("above"), "path")
-        level = stored(nodes.join(up, ["qid", "source"]).select("qid", "sq_id", (F.col("above") + 1).alias("level"), F.concat("path", F.lit("/"), F.col("sq_id").cast("string")).alias("path")))
-        out = out.unionByName(level)
-    return out
+    nodes = states.groupBy("qid", "sq_id").agg(F.max_by("source", "iter").alias("up"))
+    # ``path`` leads from below ``up`` to the subquery itself; of a whole one ``up`` is the root.
+    held = stored(nodes.select("qid", "sq_id", "up", F.lit(1).alias("level"), F.col("sq_id").cast("string").alias("path")))
+    most, reach = held.groupBy("qid").count().agg(F.max("count")).first()[0] or 0, 1
+    while reach < most and held.where("up <> 0").head(1):
+        above = held.select("qid", F.col("sq_id").alias("up"), F.col("up").alias("over"), F.col("level").alias("levels"), F.col("path").alias("head"))
+        done = held.where("up = 0")
+        longer = held.where("up <> 0").join(above, ["qid", "up"]).select("qid", "sq_id", F.col("over").alias("up"), (F.col("level") + F.col("levels")).alias("level"), F.concat("head", F.lit("/"), "path").alias("path"))
+        last, held = held, stored(done.unionByName(longer))
+        discard(last)
+        reach *= 2
+    return held.where("up = 0").select("qid", "sq_id", "level", F.concat(F.lit("0/"), "path").alias("path"))
 
 
 def iteration_texts(states: DataFrame, iteration: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.parse import normalised_entry
+from lodestone.sources.members import json_members
 
 PAPER = "arxiv_id STRING, title STRING, abstract STRING, date STRING, url STRING, authors ARRAY<STRING>, category ARRAY<STRING>"
 BENCH = "query STRING, cited_paper ARRAY<STRUCT<arxiv_id STRING,title STRING,year INT>>, gt_label ARRAY<INT>, date STRING, source STRING, qid STRING, valid BOOLEAN"
@@ -24,7 +25,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def paper_db(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
-    """A JSON object of papers by id; ``ord`` is the place in the object.  Convert once to Parquet: one object is read by one task.
+    """A JSON object of papers by id; ``ord`` is the place in the object.  Byte ranges of the file are read by several tasks.
 
     A missing file is an error, or no papers where none is ``required``.
     """
@@ -32,9 +33,7 @@ def paper_db(spark: SparkSession, path: str, required: bool = True) -> DataFrame
         if required:
             raise FileNotFoundError(path)
         return spark.createDataFrame([], f"paper_id STRING, ord BIGINT, {PAPER}")
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode_outer(F.map_entries(F.from_json("value", f"MAP<STRING,STRUCT<{_struct(PAPER)}>>"))).alias("ord", "e")).where("e IS NOT NULL")
-    return rows.select(F.col("e.key").alias("paper_id"), F.col("ord").cast("long").alias("ord"), "e.value.*")
+    return json_members(spark, path, _struct(PAPER)).select(F.col("key").alias("paper_id"), "ord", "value.*")
 
 
 def _struct(ddl: str) -> str:
@@ -56,12 +55,20 @@ def published_papers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("arxiv_id").alias("paper_id"), "arxiv_id", "title", "abstract", F.col("published").alias("date"), "url", "authors", F.col("categories").alias("category"))
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, value) of the lines of JSONL files in the order in which they were written: by the files' times and names, byte ranges, and lines.
+
+    What Spark packs into one task, and in which order, does not matter.
+    """
+    at = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(at.alias("at"), "value").where("value <> ''")
+
+
 def bench(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark lines with ``idx``, their place: partitions' first rows are counted, no row is moved."""
-    rows = spark.read.text(path).where("value <> ''").withColumn("_at", F.monotonically_increasing_id())
-    rows = rows.withColumn("_part", F.shiftright("_at", 33))
-    base = rows.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    placed = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1).join(F.broadcast(base.select("_part", "_base")), "_part")
+    """Benchmark lines with ``idx``, their place: the lines of each byte range are numbered, and the ranges before it added; no text is moved to one task."""
+    rows = placed_lines(spark, path).withColumn("_part", F.struct("at.time", "at.file", "at.block"))
+    base = rows.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    placed = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy("at.line")) - 1).join(F.broadcast(base.select("_part", "_base")), "_part")
     return placed.select((F.col("_rn") + F.col("_base")).alias("idx"), F.from_json("value", BENCH).alias("b")).select("idx", "b.*")
 
 
@@ -151,9 +158,9 @@ def atom_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def summary_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The last summary of each paper and model; lines that are no record go."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.from_json("value", SUMMARY).alias("s")).where("s.paper_id IS NOT NULL")
-    return rows.groupBy("s.paper_id", "s.model").agg(F.max_by("s.summary", "line").alias("summary"))
+    """The last summary of each paper and model, over all appended files; lines that are no record go."""
+    rows = placed_lines(spark, path).select("at", F.from_json("value", SUMMARY).alias("s")).where("s.paper_id IS NOT NULL")
+    return rows.groupBy("s.paper_id", "s.model").agg(F.max_by("s.summary", "at").alias("summary"))
 
 
 def checkpoint_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -239,6 +239,11 @@ def test_long_paths_and_papers(spark, papers):
     deep = spark.createDataFrame([(1, k, k, k - 1, "", 1, "") for k in range(1, 12)] + [(1, 1, 20, 99, "", 1, "")], workflow.STATE)
     got = {r.sq_id: r.path for r in workflow.subquery_paths(deep).collect()}
     assert got == {k: "/".join(map(str, range(k + 1))) for k in range(1, 12)}
+    chain = [(q, k, k, (k - 1) if k > 1 or q == 1 else 300, "", 1, "") for q in (1, 2) for k in range(1, 301)]  # the second is a circle
+    chain += [(3, 1, k, k // 2, "", 1, "") for k in range(1, 64)]  # and a tree
+    got = {(r.qid, r.sq_id): (r.level, r.path) for r in workflow.subquery_paths(spark.createDataFrame(chain, workflow.STATE)).collect()}
+    tree = lambda k: f"{tree(k // 2)}/{k}" if k else "0"
+    assert got == {(1, k): (k, "/".join(map(str, range(k + 1)))) for k in range(1, 301)} | {(3, k): (k.bit_length(), tree(k)) for k in range(1, 64)}
     assert [r.ord for r in corpus.first_papers(papers, 3).orderBy("ord").collect()] == [0, 1, 2] and corpus.first_papers(papers, None).count() == papers.count()
 
 

@@ -1,5 +1,7 @@
 """Columns functions by hand-computed cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,11 @@ def test_rouge(spark):
         n = t[-1][-1]
         return 2 * n / (len(x) + len(y)) if x and y else 0.0
 
+    rng = random.Random(3)
+    long = [" ".join(rng.choices("abcdefgh", k=n)) for n in (61, 62, 63, 124, 125, 200, 3)]
+    df = spark.createDataFrame([(a, b) for a in long for b in long], "a string, b string")
+    for r in df.select("a", "b", rouge.rouge_l(F.col("a"), F.col("b")).alias("f")).collect():  # one number of bits, full ones, and several
+        assert abs(r.f - brute(r.a, r.b)) < 1e-12
     for a, b in (("a b c d", "a c d e"), ("the cat sat", "The cat sat"), ("", "x"), ("a a b", "b a a"), ("x", "y")):
         assert abs(one(spark, rouge.rouge_l(F.lit(a), F.lit(b))) - brute(a, b)) < 1e-12
 
