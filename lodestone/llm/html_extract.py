@@ -42,6 +42,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer foot gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion recommended related replies respond rss share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar tooltip widget widgets".split()
 )
+#: Words that only say what kind of box an element is: within an article a name goes that has unlikely words and such ones, no others.
+BOXES = frozenset("area bar block body bottom box btn button buttons card center col column container content float form group holder icons inline inner item items large left link links list mid middle module outer panel placeholder right row section slot small space strip text title top unit wrap wrapper zone".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 KEEPS = frozenset("html body article main".split())
 KEEPS_HEADER = frozenset("article main".split())
@@ -57,8 +59,12 @@ LEVELS, SIBLING_SHARE, SIBLING_LENGTH = 5, 0.2, 80
 UNLIKELY_WEIGHT = 4
 
 
-def _unlikely(tag: str, raw: str) -> tuple[bool, bool]:
-    """Whether an element is hidden or has a role besides the article, and whether its class or id is unlikely."""
+def _unlikely(tag: str, raw: str, within: bool = False) -> tuple[bool, bool]:
+    """Whether an element is hidden or has a role besides the article, and whether its class or id is unlikely.
+
+    ``within`` an article one name must consist of unlikely words and words
+    for boxes: "ad-slot" does, "share-price" and "notice-board-history" do not.
+    """
     if not raw or raw.isspace():
         return False, False
     named = False
@@ -66,7 +72,9 @@ def _unlikely(tag: str, raw: str) -> tuple[bool, bool]:
         name = name.lower()
         value = a or b or c
         if name in ("class", "id"):
-            named = named or any(w.lower() in UNLIKELY for w in _WORD.findall(value))
+            for one in value.split() if within else [value]:
+                words = [w.lower() for w in _WORD.findall(one)]
+                named = named or any(w in UNLIKELY for w in words) and (not within or all(w in UNLIKELY or w in BOXES for w in words))
         elif name == "role" and value.lower() in ROLES or name == "hidden" and tag not in KEEPS or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True, named
     return False, named
@@ -160,8 +168,9 @@ class Page:
             if name == "br":
                 self.pieces.append((stack.nodes[-1], block, " "))
             parent = stack.nodes[-1]
-            hidden, named = _unlikely(name, raw)
-            gone = self.gone[parent] or name in RAW or name in GONE and not (name == "header" and stack.articles) or hidden
+            hidden, named = _unlikely(name, raw, bool(stack.articles))
+            spoken = name in ("button", "label") and stack.places.get("p")  # a word of a sentence
+            gone = self.gone[parent] or name in RAW or name in GONE and not (name == "header" and stack.articles or spoken) or hidden
             self.tag.append(name)
             self.parent.append(parent)
             self.gone.append(gone)
@@ -192,11 +201,18 @@ def _without_unlikely(page: Page, link: list[bool]) -> list[bool]:
     for i in range(n - 1, 0, -1):
         if not unlikely[i]:
             points[parent[i]] += points[i]
-    article = max((i for i in range(1, n) if tag[i] in ("article", "main") and not page.named[i] and not page.gone[i]), key=points.__getitem__, default=0)
+    has_text = [False] * n
+    for node, _, raw in page.pieces:
+        if not page.gone[node] and raw.strip():
+            has_text[node] = True
+    for i in range(n - 1, 0, -1):
+        if not unlikely[i] and has_text[i]:
+            has_text[parent[i]] = True
+    article = max((i for i in range(1, n) if tag[i] in ("article", "main") and not page.named[i] and not page.gone[i]), key=lambda i: (points[i], has_text[i]), default=0)
     holder = 0
     if near[article] and points[article] > points[0]:
         holder = near[article]
-    elif not article or near[article] or points[article] < 1:  # no article of a paragraph's length stands outside
+    elif not article or near[article] or not has_text[article]:  # a marked article that says anything never gives way
         best = max((i for i in range(1, n) if unlikely[i]), key=points.__getitem__)
         holder = best if points[best] > UNLIKELY_WEIGHT * points[0] else 0
     while holder:
@@ -250,15 +266,16 @@ def extract(source: str | None) -> str:
         length[parent[i]] += length[i]
         linked_length[parent[i]] += linked_length[i]
     final = [s * (1 - linked_length[i] / length[i]) * (1.5 if tag[i] in ("article", "main") else 1) if s and length[i] else 0.0 for i, s in enumerate(score)]
-    best = max(range(n), key=final.__getitem__)
-    if not final[best]:
+    articles = [i for i in range(1, n) if tag[i] == "article" and not gone[i] and length[i]]
+    best = max(articles or range(n), key=lambda i: (final[i], length[i] if articles else 0))
+    if not final[best] and not articles:
         best = 0
     kept = {best}
     if best:
         for i in range(1, n):
             if parent[i] == parent[best] and i != best and not gone[i] and length[i]:
                 density = linked_length[i] / length[i]
-                if final[i] >= max(10, SIBLING_SHARE * final[best]) or tag[i] == "p" and length[i] > SIBLING_LENGTH and density < 0.25 or tag[i] in ("h1", "h2") and density < 0.5:
+                if final[i] >= max(10, SIBLING_SHARE * final[best]) and (not articles or tag[i] == "article") or tag[i] == "p" and length[i] > SIBLING_LENGTH and density < 0.25 or tag[i] in ("h1", "h2") and density < 0.5:
                     kept.add(i)
     inside, dense, marked = [False] * n, [False] * n, [False] * n
     mark = "article" if any(tag[i] == "article" and length[i] for i in range(n)) else "main"
@@ -267,7 +284,13 @@ def extract(source: str | None) -> str:
         inside[i] = i in kept or up >= 0 and inside[up]
         marked[i] = tag[i] == mark or up >= 0 and marked[up]  # lists of links within the article are its own
         dense[i] = up >= 0 and dense[up] or i not in kept and not marked[i] and tag[i] in ("ul", "ol", "div", "section", "table", "dl") and length[i] > 0 and linked_length[i] > 0.5 * length[i]
-    return "\n\n".join(text for own, text, _ in found if inside[own] and not dense[own])
+    shown = [inside[own] and not dense[own] for own, _, _ in found]
+    if articles and (first := next((k for k, yes in enumerate(shown) if yes), 0)) and not any(yes and tag[own] == "h1" for yes, (own, _, _) in zip(shown, found, strict=True)):
+        # The article's title may stand before it, in a box of its own.
+        title = next((k for k in range(first - 1, -1, -1) if tag[found[k][0]] == "h1"), None)
+        if title is not None and found[title][2] * 2 <= len(found[title][1]):
+            shown[title] = True
+    return "\n\n".join(text for yes, (_, text, _) in zip(shown, found, strict=True) if yes)
 
 
 def main_text(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:

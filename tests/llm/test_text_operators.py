@@ -428,6 +428,46 @@ def test_html_keeps_the_articles_own_links_and_byline():
     assert html_extract.extract(page) == "Title\n\nBy A. Writer\n\nSome text, with commas, and more of it, to be the article.\n\nFirst reference\n\nSecond reference\n\nLinked cell"
 
 
+def test_html_marked_articles_never_lose():
+    """Short articles beside adverts and comments, class words within an article, words in buttons, and a title before the article."""
+    long = "Buy this, buy that, buy more, and more, and yet more of it, since it is cheap, and good, and new."
+    cases = {
+        f"<body><article><h1>News</h1><p>Short news.</p></article><div class=ad>{long * 9}</div></body>": "News\n\nShort news.",
+        f"<body><div class='ad'>{long * 9}</div><article><h1>T.</h1><p><b>T.<br></article></body>": "T.\n\nT.",
+        f"<body><article><p>Short text.</p></article><section><h2>Reader comments</h2><p>{long}</p><p>{long}</p></section></body>": "Short text.",
+        f"<article><p>{long}</p><p class='share-price'>It rose.</p><section id='widgets-of-physics'><p>On widgets.</p></section><div class='notice-board-history'>Old boards.</div><div class='ad-slot'>Buy</div><div class='newsletter signup'>Sign</div></article>": f"{long}\n\nIt rose.\n\nOn widgets.\n\nOld boards.",
+        "<article><p>Press <button>Start</button> or <label>Stop</label> to go on.</p><form><button>Send</button></form><button>Menu</button></article>": "Press Start or Stop to go on.",
+        f"<body><div class='top'><h1>The title</h1></div><article><p>{long}</p></article></body>": f"The title\n\n{long}",
+        f"<main><p>Few words.</p></main><div class='popup'>{long * 9}</div>": "Few words.",
+        "<article><p><a href=x>Only a link</a></p></article><div class=promo>Many, many, many words, and more, and more.</div>": "Only a link",
+    }
+    for page, want in cases.items():
+        assert html_extract.extract(page) == want, page
+
+
+def test_html_no_advert_in_any_page(spark):
+    import re
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        text = html_extract.extract(r.html)
+        advert = " ".join(re.search(r'<div class="ad">(.*?)</div>', r.html, re.S).group(1).split())
+        assert text and not (advert and advert in text and advert not in r.html.split("<article>")[1]), r.page_id
+
+
+def test_packed_ids_special_tokens():
+    """Special tokens are matched in the text as it is, lower case only, within and beside words."""
+    path = packed_ids.default_path()
+    texts = ["hello <|ENDOFTEXT|> x", "hello <|endoftext|> x", "<|STARTOFTEXT|>", "<|startoftext|>A<|endoftext|>B", "a<|Endoftext|>b", "<|", "x<|y|>Z", "É<|endoftext|>É <|ENDOFTEXT|>", "<|endoftext|><|EndOfText|>"]
+    rng = np.random.default_rng(5)
+    parts = ["<|", "|>", "endoftext", "ENDOFTEXT", "<|endoftext|>", " ", "Ab", "é", "1", "'S", "."]
+    texts += ["".join(rng.choice(parts, 8)) for _ in range(400)]
+    encoder = packed_ids.WordEncoder(path)
+    raw = [t.encode() for t in texts]
+    ids, bounds = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1] - 1].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.report(pages).collect()) == [(1, "x", 1), (1, "x", 1), (2, "", 0)]
