@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions import text
 from lodestone.operators import cells, corpus, index, metrics, search
 from lodestone.plans import agents, build, workflow
 from lodestone.plans.storage import folder, removed_at_end, stored
-from lodestone.queries import DEEP_KEYS, INDEX, KEYS_SQL, PAPERS, RATIOS, SIMPLE, TRUTH, VECTORS, _planner, _quality, _shown, _vectors, asked_sql, containing, paged, papers, query, questions, rounded, scored, table, term_index
-from lodestone.sources import members, readers, writers
+from lodestone.queries import DEEP_KEYS, HISTORY, INDEX, KEYS_SQL, PAPERS, RATIOS, SIMPLE, TRUTH, VECTORS, _planner, _quality, _shown, _vectors, asked_sql, containing, history_events, paged, papers, query, questions, rounded, scored, table, term_index
+from lodestone.sources import batches, members, readers, writers
+from lodestone.streaming import history
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -197,6 +199,28 @@ def file_resumed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.checkpoint_rows(spark, path, schema)
 
 
+@query(f"WITH {HISTORY} SELECT qid, iter, paper_id, rank FROM hist")
+def stream_rank_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history from a stream of events, a file a batch, the iterations in falling order."""
+    ranks, chosen = history_events(spark, sf_dir)
+    events = ranks.select("qid", "paper_id", "iter", "rank", F.lit(False).alias("selected")).unionByName(chosen.select("qid", "paper_id", "iter", F.lit(None).cast("long").alias("rank"), F.lit(True).alias("selected")))
+    events, at = stored(events), place(spark, "events")
+    for i in (3, 2, 1):
+        events.where(F.col("iter") == i).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    updates = history.run_once(history.rank_history(stream), place(spark, "history"), "update", place(spark, "checkpoint"))
+    return history.latest(updates).select("qid", "iter", "paper_id", "rank")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) ELSE p_name END AS v FROM part")
+def file_upserted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table upserted in batches, with a second run over a tenth of its keys."""
+    rows, path = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v")), place(spark, "batches")
+    batches.upsert(rows, path, "k", 1, batch_rows=1000)
+    batches.upsert(rows.where("k % 10 = 0"), path, "k", 2, lambda b: b.withColumn("v", F.upper("v")), 1000)
+    return batches.current(spark, path, "k")
+
+
 @query("SELECT p_partkey AS k, p_name AS v FROM part")
 def file_appended_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch with keys that the table has already adds only the others."""
@@ -412,3 +436,99 @@ def enriched_in_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = p.where("paper_id % 4 = 0").select("arxiv_id", "paper_id", F.concat(F.lit("T"), F.col("paper_id").cast("string")).alias("title"), "abstract", "date", *more)
     got, missing = build.enrich_passes(first, [some.where("paper_id % 8 = 0").drop("paper_id"), some.drop("paper_id")])
     return got.join(missing.withColumn("missing", F.lit(True)), "arxiv_id", "left").select("arxiv_id", "title", F.coalesce("missing", F.lit(False)).alias("missing"))
+
+
+# Answers of models, over texts that are written as models write them.
+
+
+def _answered(rows: DataFrame, record: Column, tag: str) -> DataFrame:
+    """A response of each row: in the tag after thoughts, in a fence, bare, or without any record, by qid."""
+    kind, body = F.col("qid") % 4, F.to_json(record)
+    said = F.when(kind == 0, F.concat(F.lit(f'<think>{{"x": 1}}</think><{tag}>'), body, F.lit(f"</{tag}>"))).when(kind == 1, F.concat(F.lit("So:\n```json\n"), body, F.lit("\n```"))).when(kind == 2, "I cannot say.").otherwise(body)
+    return rows.withColumn("response", said)
+
+
+@query("""SELECT item_id AS qid, i AS item, CASE i WHEN 0 THEN 'derive' ELSE 'continue' END AS link_type, CAST(item_id % 5 AS INT) AS source_id, CASE i WHEN 0 THEN text END AS text, CAST(5 + i AS INT) AS target_k, item_id % 3 = 0 AS is_complete, 'c' || item_id AS checklist, '' AS experience_replay
+FROM benchmark, (SELECT CAST(unnest([0, 1]) AS INT) AS i) WHERE item_id % 4 <> 2""")
+def planner_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subqueries and notes of planner answers."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    item = lambda i, kind, text: F.struct(F.lit(kind).alias("link_type"), (F.col("qid") % 5).alias("source_id"), text.alias("text"), F.lit(5 + i).alias("target_k"))
+    done = F.when(F.col("qid") % 2 == 0, F.col("qid") % 3 == 0)  # by either name
+    record = F.struct(F.array(item(0, "derive", F.col("text")), item(1, "continue", F.lit(None).cast("string"))).alias("subqueries"), F.concat(F.lit("c"), F.col("qid").cast("string")).alias("checklist"), done.alias("is_complete"), F.when(done.isNull(), F.col("qid") % 3 == 0).alias("complete"))
+    answers = _answered(rows, record, "planner_output")
+    return agents.planned(answers).join(agents.plan_notes(answers), "qid")
+
+
+@query("""SELECT item_id AS qid, x AS paper_id FROM benchmark, (SELECT unnest(['a', 'b']) AS x) WHERE item_id % 4 <> 2""")
+def selector_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit(1).alias("sq_id"), "text")
+    record = F.struct(F.array(F.lit("b"), F.lit("a"), F.lit("b")).alias("selected"), F.array(F.lit("c")).alias("discarded"), F.col("text").alias("overview"))
+    return agents.chosen(_answered(rows, record, "selector_output")).select("qid", "paper_id")
+
+
+@query("""SELECT item_id AS qid, item_id % 4 <> 2 AND item_id % 7 < 5 AND item_id % 3 <> 0 AS needs_browsing, CASE WHEN item_id % 4 <> 2 AND item_id % 3 <> 0 THEN 'Find ' || text END AS browsing_task,
+CASE WHEN item_id % 4 <> 2 AND item_id % 5 <> 0 THEN 'It says ' || text ELSE 'Browsing exception. Here is abstract: ' || text END AS browsing_content FROM benchmark""")
+def browser_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions to browse, and what candidates show after it."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit(1).alias("sq_id"), F.lit("p").alias("paper_id"), F.col("text").alias("abstract"))
+    task = F.when(F.col("qid") % 3 != 0, F.concat(F.lit("Find "), "abstract")).otherwise("")
+    decided = agents.browsing_decisions(_answered(rows, F.struct((F.col("qid") % 7 < 5).alias("needs_browsing"), task.alias("browsing_task"), F.lit("r").alias("reasoning")), "decision_output"))
+    summary = F.when(F.col("qid") % 5 != 0, F.concat(F.lit("It says "), "abstract")).otherwise("")
+    found = agents.extractions(_answered(rows, F.struct(F.lit("Intro").alias("rational"), F.lit("...").alias("evidence"), summary.alias("summary")), "extractor_output"))
+    return decided.join(agents.browsing_contents(rows, found), ["qid", "sq_id", "paper_id"]).select("qid", "needs_browsing", "browsing_task", "browsing_content")
+
+
+LINE = "printf('id=%d | iteration=%d | text=\"%s\" | target_k=%d | retrieved=%d | selected=%d | selector_overview=\"%s\"', s, i, text, 10, (item_id % 7)::INT, (item_id % 3)::INT, 'o ' || i)"
+
+
+@query(f"""WITH st AS (SELECT item_id, i, s, {LINE} AS line FROM benchmark, range(1, 4) a(i), range(1, 3) b(s))
+SELECT item_id AS qid, coalesce(string_agg(line, chr(10) ORDER BY s) FILTER (i = 2), 'none') AS last, coalesce(string_agg(line, chr(10) ORDER BY s, i) FILTER (i < 2), 'none') AS previous FROM st GROUP BY item_id""")
+def iteration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a planner reads of earlier iterations."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("iter"))
+    states = b.select("*", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("sq_id")).select("qid", "sq_id", "iter", "text", F.lit(10).alias("target_k"), (F.col("qid") % 7).cast("int").alias("retrieved"), (F.col("qid") % 3).cast("int").alias("selected"), F.concat(F.lit(" o\n"), F.col("iter").cast("string")).alias("overview"))
+    return workflow.iteration_texts(states, 3)
+
+
+# Parts of the corpus build that other queries do not reach.
+
+
+@query(f"WITH {PAPERS} SELECT 'a' || paper_id // 3 AS arxiv_id, arg_max(title, paper_id) AS title, md5(arg_max(abstract, paper_id)) AS abstract FROM papers WHERE paper_id % 4 <> 0 GROUP BY 1")
+def mapped_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = papers(spark, sf_dir).select(F.col("paper_id").alias("corpusid"), "title", "abstract")
+    ids = p.where("corpusid % 4 <> 0").select("corpusid", F.concat(F.lit("a"), F.expr("corpusid div 3").cast("string")).alias("arxiv_id"))
+    return corpus.mapped_papers(p, ids).withColumn("abstract", F.md5(F.col("abstract").cast("binary")))
+
+
+@query("""WITH t AS (SELECT printf('%02d%02d.%05d', (10 + p_partkey % 15)::INT, (1 + p_partkey % 12)::INT, p_partkey::INT) AS arxiv_id, p_name AS title, printf('20%02d-%02d-01', (10 + p_partkey % 15)::INT, (1 + p_partkey % 12)::INT) AS date, length(p_name) % 2 = 0 AS stored FROM part)
+SELECT arxiv_id, CASE WHEN stored THEN upper(title) || ' 1!' ELSE title END AS title, CASE WHEN stored THEN 'of ' || title ELSE '' END AS abstract, date FROM t""")
+def titled_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that meet stored papers by their letters."""
+    part = table(spark, sf_dir, "part")
+    titles = part.select(F.format_string("%02d%02d.%05d", 10 + F.col("p_partkey") % 15, 1 + F.col("p_partkey") % 12, "p_partkey").alias("arxiv_id"), F.col("p_name").alias("title"))
+    found = part.where(F.length("p_name") % 2 == 0).select("p_name").distinct().select(F.concat(F.upper("p_name"), F.lit(" 1!")).alias("title"), F.concat(F.lit("of "), "p_name").alias("abstract"))
+    return corpus.titled_papers(titles, found)
+
+
+@query(f"WITH {PAPERS} SELECT paper_id, md5('title: ' || coalesce(title, '') || chr(10) || ' abstract: ' || coalesce(abstract, '')) AS text FROM papers")
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers(spark, sf_dir).select("paper_id", F.md5(text.embedding_text(F.col("title"), F.col("abstract")).cast("binary")).alias("text"))
+
+
+@query("SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 't' || item_id ELSE '' END AS titles FROM benchmark")
+def labelled_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with label 1, without empty and unknown ones, each once."""
+    name = F.concat(F.lit("t"), F.col("item_id").cast("string"))
+    paper = lambda title: F.struct(F.lit("a").alias("arxiv_id"), title.alias("title"))
+    cited = F.array(paper(name), paper(F.lit("")), paper(F.lit("Unknown")), paper(name), paper(F.lit("cut off")))
+    labels = F.array((1 - F.col("item_id") % 2).cast("int"), F.lit(1), F.lit(1), (1 - F.col("item_id") % 2).cast("int"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(corpus.labelled_titles(cited, labels), ",").alias("titles"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS paper_id FROM part WHERE p_partkey % 3 <> 0")
+def uncached_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers without a summary of the model, whatever others have."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("paper_id"))
+    cache = p.where("p_partkey % 3 = 0").select("paper_id", F.lit("m").alias("model")).unionByName(p.select("paper_id", F.lit("n").alias("model")))
+    return readers.uncached(p.select("paper_id"), cache, "m")

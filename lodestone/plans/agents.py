@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.parse import json_record
 from lodestone.functions.text import tokens
+from lodestone.plans.storage import stored
 
-PLAN = "STRUCT<subqueries:ARRAY<STRUCT<link_type:STRING,source_id:INT,text:STRING,target_k:INT>>,checklist:STRING,experience_replay:STRING,is_complete:BOOLEAN>"
+PLAN = "STRUCT<subqueries:ARRAY<STRUCT<link_type:STRING,source_id:INT,text:STRING,target_k:INT>>,checklist:STRING,experience_replay:STRING,is_complete:BOOLEAN,complete:BOOLEAN>"
 SELECTION = "STRUCT<selected:ARRAY<STRING>,discarded:ARRAY<STRING>,to_browse:MAP<STRING,STRING>,reasons:MAP<STRING,STRING>,overview:STRING>"
+DECISION = "STRUCT<needs_browsing:BOOLEAN,browsing_task:STRING,reasoning:STRING>"
+EXTRACTION = "STRUCT<rational:STRING,evidence:STRING,summary:STRING>"
 Planner = Callable[[int, DataFrame], DataFrame]
 Selector = Callable[[DataFrame], DataFrame]
 
@@ -41,6 +44,56 @@ def planned(answers: DataFrame) -> DataFrame:
     return rows.select("qid", F.posexplode("p.subqueries").alias("item", "s")).select("qid", "item", "s.*")
 
 
+def plan_notes(answers: DataFrame) -> DataFrame:
+    """(qid, is_complete, checklist, experience_replay) of planner answers (qid, response); what is no record is not complete."""
+    rows = answers.select("qid", json_record(F.col("response"), "planner_output", PLAN).alias("p"))
+    empty = lambda c: F.coalesce(F.col(f"p.{c}"), F.lit("")).alias(c)
+    return rows.select("qid", F.coalesce("p.is_complete", "p.complete", F.lit(False)).alias("is_complete"), empty("checklist"), empty("experience_replay"))
+
+
+def answering_planner(ask: Planner) -> tuple[Planner, Callable[[int, DataFrame], DataFrame]]:
+    """(planner, finished) for a research run, from a model's answers: ``ask`` (iteration, states) gives (qid, response), once an iteration.
+
+    A query ends where its own plan says that it is complete.
+    """
+    held: dict[int, DataFrame] = {}
+
+    def answers(iteration: int, states: DataFrame) -> DataFrame:
+        if iteration not in held:
+            held[iteration] = stored(ask(iteration, states).select("qid", "response"))
+        return held[iteration]
+
+    return (lambda i, states: planned(answers(i, states))), (lambda i, states: plan_notes(answers(i, states)).where("is_complete").select("qid"))
+
+
+def browsing_decisions(answers: DataFrame) -> DataFrame:
+    """(qid, sq_id, paper_id, needs_browsing, browsing_task, reasoning) of decision answers (qid, sq_id, paper_id, response).
+
+    Without a task nothing is browsed, whatever the answer says.
+    """
+    rows = answers.select("qid", "sq_id", "paper_id", json_record(F.col("response"), "decision_output", DECISION).alias("d"))
+    task = F.nullif(F.col("d.browsing_task"), F.lit(""))
+    needs = F.coalesce("d.needs_browsing", F.lit(False)) & task.isNotNull()
+    return rows.select("qid", "sq_id", "paper_id", needs.alias("needs_browsing"), task.alias("browsing_task"), F.coalesce("d.reasoning", F.lit("")).alias("reasoning"))
+
+
+def extractions(answers: DataFrame) -> DataFrame:
+    """(qid, sq_id, paper_id, rational, evidence, summary) of extraction answers; what is no record goes."""
+    rows = answers.select("qid", "sq_id", "paper_id", json_record(F.col("response"), "extractor_output", EXTRACTION).alias("e")).where("e IS NOT NULL")
+    return rows.select("qid", "sq_id", "paper_id", *(F.coalesce(f"e.{c}", F.lit("")).alias(c) for c in ("rational", "evidence", "summary")))
+
+
+#: Fixed value: what stands before the abstract of a paper whose text gave nothing.
+UNREAD = "Browsing exception. Here is abstract: "
+
+
+def browsing_contents(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(qid, sq_id, paper_id, browsing_content) of the candidates ``asked`` for (with abstract): the summary of ``extractions``, else the abstract behind a remark."""
+    keys = ["qid", "sq_id", "paper_id"]
+    both = asked.select(*keys, "abstract").join(found.select(*keys, "summary"), keys, "left")
+    return both.select(*keys, F.coalesce(F.nullif("summary", F.lit("")), F.concat(F.lit(UNREAD), F.coalesce("abstract", F.lit("")))).alias("browsing_content"))
+
+
 def chosen(answers: DataFrame) -> DataFrame:
     """(qid, sq_id, paper_id) of selector answers (qid, sq_id, response)."""
     rows = answers.select("qid", "sq_id", json_record(F.col("response"), "selector_output", SELECTION).alias("s"))

@@ -348,12 +348,17 @@ now AS (SELECT qid, iter, paper_id, min(rank) AS now FROM gr GROUP BY ALL),
 hist AS (SELECT n.qid, n.iter, n.paper_id, CASE WHEN f.at <= n.iter THEN min(now) OVER (PARTITION BY n.qid, n.paper_id ORDER BY n.iter) ELSE now END AS rank FROM now n LEFT JOIN (SELECT qid, paper_id, min(iter) AS at FROM sel GROUP BY ALL) f ON f.qid = n.qid AND f.paper_id = n.paper_id)"""
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ranks (qid, paper_id, iter, sq_id, rank) worked out from the ids, and what is selected."""
     truth = containing(spark, sf_dir)
     grid = truth.select("qid", "paper_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("iter")).select("*", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("sq_id"))
     rank = F.when((F.col("paper_id") + F.col("iter")) % 3 == 0, 570205).otherwise((F.col("paper_id") * 13 + F.col("iter") * 29 + F.col("sq_id") * 7) % 130)
     chosen = truth.where("paper_id % 2 = 0").select("qid", "paper_id", (1 + F.col("qid") % 3).cast("int").alias("iter"))
-    return metrics.rank_history(grid.withColumn("rank", rank), chosen)
+    return grid.withColumn("rank", rank), chosen
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.rank_history(*history_events(spark, sf_dir))
 
 
 @query(f"WITH {HISTORY} SELECT qid, iter, paper_id, rank, round(greatest(1 - rank / 100, 0), 6) AS distance FROM hist")

@@ -261,3 +261,21 @@ def test_browsing_modes(spark):
     kept = lambda mode: sorted((r.sq_id, r.paper_id) for r in workflow.selection(found, keep, workflow.Browsing(mode, contents, wants)).collect())
     assert kept("NONE") == [(1, 0), (2, 0)] and kept("PRE_ENRICH") == [(1, 1), (1, 3), (2, 1), (2, 3)]
     assert kept("INCREMENTAL") == [(1, 0), (1, 1), (2, 0)] and kept("REFRESH") == [(1, 1), (2, 0)]
+
+
+def test_research_from_model_answers(spark, papers):
+    """A planner that answers in text: each answer is asked for once an iteration, and a query ends where its plan is complete."""
+    idx = index.build_term_index(papers)
+    q = spark.createDataFrame([(1, QUERY, None), (2, QUERY, None)], "qid long, query string, before_date string")
+    asked = []
+
+    def ask(i, states):
+        asked.append(i)
+        plan = '<planner_output>{"subqueries": [{"link_type": "derive", "source_id": 0, "text": "%s", "target_k": 3}], "is_complete": %s}</planner_output>'
+        return q.select("qid", F.when((F.col("qid") == 1) & F.lit(i == 2), plan % (QUERY, "true")).otherwise(plan % (QUERY, "false")).alias("response"))
+
+    planner, finished = agents.answering_planner(ask)
+    run = workflow.deep_research(idx, q, spark.createDataFrame([(1, 5)], "qid long, paper_id long"), planner, agents.keep_all, 3, finished=finished)
+    assert asked == [1, 2, 3]
+    assert {(r.qid, r.status) for r in run.status.collect()} == {(1, "complete"), (2, "finished")}
+    assert {(r.qid, r.iter) for r in run.states.collect()} == {(1, 1), (2, 1), (2, 2), (2, 3)}
