@@ -30,6 +30,36 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _files(spark, path)
+    return files.exists(at)
+
+
+def commit(spark: SparkSession, path: str, text: str) -> None:
+    """A small file at ``path``, there as a whole or not at all."""
+    new, files = _files(spark, f"{path}.new")
+    out = files.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(new, _files(spark, path)[0]):
+        raise FileExistsError(path)
+
+
+def committed(spark: SparkSession, path: str) -> dict[str, str]:
+    """Names and texts of the files that ``commit`` left in the folder."""
+    at, files = _files(spark, path)
+    if not files.exists(at):
+        return {}
+    out = {}
+    for f in files.listStatus(at):
+        name = f.getPath().getName()
+        if not name.endswith(".new"):
+            stream = files.open(f.getPath())
+            out[name] = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+    return out
+
+
 def removed_at_end(spark: SparkSession, path: str) -> None:
     at, files = _files(spark, path)
     files.deleteOnExit(at)

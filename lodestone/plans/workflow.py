@@ -1,12 +1,13 @@
 """The retrieval workflows: all queries advance together, one iteration at a time.
 
 ``SimpleWorkflow`` searches generated keys once.  ``deep_research`` repeats
-plan, retrieve, select: its state is a few tables, written after each
-iteration, so that a plan never grows with the number of iterations.
+plan, retrieve, select: its state is a few tables, of which each iteration
+writes what it adds, so that a plan never grows with the number of iterations.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,9 +19,13 @@ from lodestone.operators.index import TermIndex
 from lodestone.operators.metrics import at_k, set_metrics, simple_distance
 from lodestone.operators.search import MAX_PAGES, MAX_RESULTS, bm25_scores, combine, ground_truth_ranks, page
 from lodestone.plans.agents import Planner, Selector, browsed
+from lodestone.plans.runlog import RunLog, fingerprint
 from lodestone.plans.storage import discard, stored
 
 STATE = "qid long, iter int, sq_id int, source int, text string, target_k int, link_type string"
+HITS = "qid long, iter int, sq_id int, paper_id long, rank long, score double"
+#: What a run's log holds, by iteration.
+TABLES = {"states": STATE, "retrieved": HITS, "selected": HITS, "ranks": "qid long, iter int, sq_id int, paper_id long, rank long, total long", "ended": "qid long, status string"}
 
 
 def resolve_plan(plan: DataFrame, states: DataFrame, iteration: int) -> DataFrame:
@@ -82,13 +87,14 @@ def page_at(scores: DataFrame, asked: DataFrame) -> DataFrame:
 
 @dataclass
 class DeepRun:
-    """``states`` (STATE), ``retrieved`` and ``selected`` (qid, iter, sq_id, paper_id, rank, score), ``gt_ranks`` (qid, iter, sq_id, paper_id, rank, total), ``status`` (qid, status)."""
+    """``states`` (STATE), ``retrieved`` and ``selected`` (qid, iter, sq_id, paper_id, rank, score), ``gt_ranks`` (qid, iter, sq_id, paper_id, rank, total), ``status`` (qid, status), ``phases`` (iter, phase, rows, seconds)."""
 
     states: DataFrame
     retrieved: DataFrame
     selected: DataFrame
     gt_ranks: DataFrame
     status: DataFrame
+    phases: DataFrame | None = None
 
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -128,7 +134,7 @@ def selection(found: DataFrame, selector: Selector, browsing: Browsing | None =
     return first.join(asked, ["qid", "sq_id"], "left_anti").unionByName(keep(again))
 
 
-def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame, planner: Planner, selector: Selector, iterations: int = 5, stable_paging: bool = False, scorer: Scorer | None = None, finished: Finished | None = None, browsing: Browsing | None = None) -> DeepRun:
+def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame, planner: Planner, selector: Selector, iterations: int = 5, stable_paging: bool = False, scorer: Scorer | None = None, finished: Finished | None = None, browsing: Browsing | None = None, log: str | None = None) -> DeepRun:
     """Runs all queries (qid, query, before_date) for up to ``iterations``.
 
     ``scorer`` gives the scores of subqueries (qid, query, before_date) by any
@@ -141,15 +147,18 @@ def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame,
     'complete' if it has selected a paper, else 'failed'; and where it has no
     subqueries, 'failed'.  Ended queries take no part in what follows; the
     others are 'finished' after the last iteration.
+
+    With a folder ``log`` a run that broke off goes on, when called again with
+    the same queries, after the last iteration that ended: neither its planner
+    nor its searches are asked for again.
     """
     spark = queries.sparkSession
+    kept = RunLog(spark, TABLES, fingerprint(queries.select("qid", "query", "before_date")), log)
     scorer = scorer or (lambda asked: bm25_scores(index, asked))
-    states = spark.createDataFrame([], STATE)
-    hits = "qid long, iter int, sq_id int, paper_id long, rank long, score double"
-    retrieved = selected = spark.createDataFrame([], hits)
-    ranks = spark.createDataFrame([], "qid long, iter int, sq_id int, paper_id long, rank long, total long")
-    ended = spark.createDataFrame([], "qid long, status string")
-    for i in range(1, iterations + 1):
+    for i in range(kept.last + 1, iterations + 1):
+        if kept.over:
+            break
+        states, retrieved, selected, ended = (kept.table(t, i - 1) for t in ("states", "retrieved", "selected", "ended"))
         live = queries.select("qid").join(ended, "qid", "left_anti")
         over = live.limit(0)
         if finished is not None:
@@ -157,10 +166,13 @@ def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame,
         some = selected.select("qid").distinct().withColumn("any", F.lit(True))
         out = over.join(some, "qid", "left").select("qid", F.when(F.col("any"), "complete").otherwise("failed").alias("status"))
         live = live.join(over, "qid", "left_anti")
-        now = stored(resolve_plan(planner(i, states).join(live, "qid", "left_semi"), states, i))
+        now = kept.add("states", i, resolve_plan(planner(i, states).join(live, "qid", "left_semi"), states, i), "planner")
         idle = live.join(now.select("qid").distinct(), "qid", "left_anti").select("qid", F.lit("failed").alias("status"))
-        ended = stored(ended.unionByName(out).unionByName(idle))
+        kept.add("ended", i, out.unionByName(idle))
         if not now.head(1):
+            for t in ("retrieved", "selected", "ranks"):
+                kept.add(t, i, spark.createDataFrame([], TABLES[t]))
+            kept.end(i, over=True)
             break
         seen = retrieved.groupBy("qid", "sq_id").agg(F.count("*").alias("seen"))
         if stable_paging:
@@ -175,16 +187,17 @@ def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame,
         # One job gives the pages and the ranks: both read one exchange of the scores, which are never stored.
         pages = page_at(scores, asked).select("qid", "paper_id", "rank", "score", F.lit(None).cast("long").alias("total"))
         places = ground_truth_ranks(scores, pairs).select("qid", "paper_id", "rank", F.lit(None).cast("double").alias("score"), "total")
+        begin = time.monotonic()
         both = stored(pages.unionByName(places))
         at = ["qid.qid", F.lit(i).alias("iter"), "qid.sq_id", "paper_id", "rank"]
-        found, place = both.where("total IS NULL").select(*at, "score"), both.where("total IS NOT NULL").select(*at, "total")
-        states = stored(states.unionByName(now.select(*(f.name for f in states.schema))))
-        retrieved = stored(retrieved.unionByName(found))
-        selected = stored(selected.unionByName(selection(found, selector, browsing).select(*found.columns)))
-        ranks = stored(ranks.unionByName(place))
-        discard(both, now)
+        kept.add("ranks", i, both.where("total IS NOT NULL").select(*at, "total"))
+        found = kept.add("retrieved", i, both.where("total IS NULL").select(*at, "score"), "retrieval", begin)
+        kept.add("selected", i, selection(found, selector, browsing), "selector")
+        kept.end(i)
+        discard(both)
+    states, retrieved, selected, ranks, ended = (kept.table(t, min(kept.last, iterations)) for t in TABLES)
     status = queries.select("qid").join(ended, "qid", "left").select("qid", F.coalesce("status", F.lit("finished")).alias("status"))
-    return DeepRun(states, retrieved, selected, ranks, status)
+    return DeepRun(states, retrieved, selected, ranks, status, kept.phases())
 
 
 def simple_workflow(index: TermIndex | None, keys: DataFrame, truth: DataFrame, top_k: int = MAX_RESULTS, ks: tuple[int, ...] = (5, 10, 20), cutoff: int = 100, dates: DataFrame | None = None, scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame]:
