@@ -13,6 +13,8 @@ from lodestone.sources.writers import append_new
 
 VECTORS = "paper_id long, ord long, date string, arxiv_id string, embedding array<float>"
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: The token of the title's label, which every indexed paper has.
+LABEL = "title"
 #: Impact levels, and so blocks, of a term at most.
 LEVELS = 64
 #: Rows of a bucket of saved postings; a term with more fills several files.
@@ -38,27 +40,48 @@ def level(of: Column) -> Column:
     return F.floor(of * (LEVELS / (K1 + 1))).cast("int")
 
 
+def paper_postings(papers: DataFrame) -> DataFrame:
+    """(term, paper_id, ord, date, arxiv_id, dl, tf) of papers (paper_id, ord, title, abstract, date, arxiv_id) with a title or an abstract and a token."""
+    some = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("abstract", F.lit("")) != "")
+    words = papers.where(some).select("paper_id", "ord", F.coalesce("date", F.lit("")).alias("date"), "arxiv_id", tokens(index_text(F.col("title"), F.col("abstract"))).alias("toks"))
+    # Papers are dealt out once, by id: their counts need no further shuffle, and a search adds up a paper's terms where they lie.
+    long = words.repartition("paper_id").select("paper_id", "ord", "date", "arxiv_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    return long.groupBy("term", "paper_id", "ord", "date", "arxiv_id", "dl").agg(F.count("*").alias("tf"))
+
+
+def _blocks(postings: DataFrame, sizes: DataFrame) -> DataFrame:
+    weighed = postings.crossJoin(F.broadcast(sizes)).select("term", impact(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("impact"))  # one row of sizes
+    return weighed.groupBy("term", level(F.col("impact")).alias("level")).agg(F.count("*").alias("n"), F.max("impact").alias("most"))
+
+
+def _weights(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``terms`` and ``stats`` of (term, df, n, avgdl)."""
+    raw = stored(counted.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("term", "df", "n", "avgdl", "raw"))
+    mean = raw.agg(F.first("n", ignorenulls=True).alias("n"), F.first("avgdl", ignorenulls=True).alias("avgdl"), F.avg("raw").alias("mean_idf"))
+    terms = raw.crossJoin(F.broadcast(mean.select("mean_idf"))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return terms, mean
+
+
 def build_term_index(papers: DataFrame) -> TermIndex:
     """Index of papers (paper_id, ord, title, abstract, date, arxiv_id) with a title or an abstract and a token.
 
     Statistics are over indexed papers.  A term in more than half of them has
     a negative weight, which a quarter of the mean weight replaces.
     """
-    some = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("abstract", F.lit("")) != "")
-    words = papers.where(some).select("paper_id", "ord", F.coalesce("date", F.lit("")).alias("date"), "arxiv_id", tokens(index_text(F.col("title"), F.col("abstract"))).alias("toks"))
-    # Papers are dealt out once, by id: their counts need no further shuffle, and a search adds up a paper's terms where they lie.
-    long = words.repartition("paper_id").select("paper_id", "ord", "date", "arxiv_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     # Tokenised, counted and written once; what follows reads columns of the written table.
-    postings = stored(long.groupBy("term", "paper_id", "ord", "date", "arxiv_id", "dl").agg(F.count("*").alias("tf")))
+    postings = stored(paper_postings(papers))
     # Every indexed paper has the label's token once as a row, so its postings are the papers.
-    sizes = stored(postings.where(F.col("term") == "title").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-    weighed = postings.crossJoin(F.broadcast(sizes)).select("term", impact(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("impact"))  # one row of sizes
-    blocks = stored(weighed.groupBy("term", level(F.col("impact")).alias("level")).agg(F.count("*").alias("n"), F.max("impact").alias("most")))
+    sizes = stored(postings.where(F.col("term") == LABEL).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    blocks = stored(_blocks(postings, sizes))
     counted = blocks.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(sizes))
-    raw = stored(counted.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("term", "df", "n", "avgdl", "raw"))
-    mean = raw.agg(F.first("n", ignorenulls=True).alias("n"), F.first("avgdl", ignorenulls=True).alias("avgdl"), F.avg("raw").alias("mean_idf"))
-    terms = raw.crossJoin(F.broadcast(mean.select("mean_idf"))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return TermIndex(postings, terms, mean, blocks)
+    return TermIndex(postings, *_weights(counted), blocks)
+
+
+def merged_index(postings: DataFrame, counts: DataFrame) -> TermIndex:
+    """An index of postings whose counts (term, df, and dl, the added lengths of the papers with the term) are known; nothing is read of the postings before a search."""
+    counts = stored(counts.select("term", "df", "dl"))
+    sizes = counts.where(F.col("term") == LABEL).select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    return TermIndex(postings, *_weights(counts.crossJoin(F.broadcast(sizes))), _blocks(postings, sizes))
 
 
 def save_term_index(index: TermIndex, path: str, buckets: int | None = None) -> None:

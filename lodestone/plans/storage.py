@@ -35,6 +35,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def made_folder(spark: SparkSession, path: str) -> str:
+    at, files = _files(spark, path)
+    files.mkdirs(at)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, files = _files(spark, path)
+    files.delete(at, True)
+
+
 def commit(spark: SparkSession, path: str, text: str) -> None:
     """A small file at ``path``, there as a whole or not at all."""
     new, files = _files(spark, f"{path}.new")
