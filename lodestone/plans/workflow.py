@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from lodestone.operators.index import TermIndex
 from lodestone.operators.metrics import at_k, set_metrics, simple_distance
-from lodestone.operators.search import MAX_PAGES, MAX_RESULTS, bm25_scores, combine, ground_truth_ranks, page
+from lodestone.operators.search import MAX_PAGES, MAX_RESULTS, NOT_FOUND, combine, ground_truth_ranks, page
+from lodestone.operators.slices import Meeting, bm25_meeting
 from lodestone.plans.agents import Planner, Selector, browsed
 from lodestone.plans.runlog import RunLog, fingerprint
 from lodestone.plans.storage import discard, stored
@@ -97,7 +98,7 @@ class DeepRun:
     phases: DataFrame | None = None
 
 
-Scorer = Callable[[DataFrame], DataFrame]
+Scorer = Callable[[DataFrame], DataFrame | Meeting]
 Finished = Callable[[int, DataFrame], DataFrame]
 
 
@@ -134,11 +135,19 @@ def selection(found: DataFrame, selector: Selector, browsing: Browsing | None =
     return first.join(asked, ["qid", "sq_id"], "left_anti").unionByName(keep(again))
 
 
+def _best_and_ranks(scores: DataFrame | Meeting, most: int, truth: DataFrame, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that hold the ``most`` best papers of each query, and ranks of ``truth``, without the papers that are ``gone`` (qid, paper_id)."""
+    if isinstance(scores, Meeting):
+        return scores.best_and_ranks(most, truth, NOT_FOUND, gone)
+    left = scores if gone is None else scores.join(gone, ["qid", "paper_id"], "left_anti")
+    return left, ground_truth_ranks(left, truth)
+
+
 def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame, planner: Planner, selector: Selector, iterations: int = 5, stable_paging: bool = False, scorer: Scorer | None = None, finished: Finished | None = None, browsing: Browsing | None = None, log: str | None = None) -> DeepRun:
     """Runs all queries (qid, query, before_date) for up to ``iterations``.
 
     ``scorer`` gives the scores of subqueries (qid, query, before_date) by any
-    method, BM25 of ``index`` unless given.  Papers that a query has selected
+    method, as rows or as a meeting of slices, BM25 of ``index`` unless given.  Papers that a query has selected
     are left out of its later searches.  The offset of a subquery is the
     number of papers that it has retrieved, which skips unseen papers once
     some are left out; ``stable_paging`` subtracts those.
@@ -154,7 +163,7 @@ def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame,
     """
     spark = queries.sparkSession
     kept = RunLog(spark, TABLES, fingerprint(queries.select("qid", "query", "before_date")), log)
-    scorer = scorer or (lambda asked: bm25_scores(index, asked))
+    scorer = scorer or (lambda asked: bm25_meeting(index, asked))
     for i in range(kept.last + 1, iterations + 1):
         if kept.over:
             break
@@ -182,12 +191,12 @@ def deep_research(index: TermIndex | None, queries: DataFrame, truth: DataFrame,
         asked = now.join(queries.select("qid", "before_date"), "qid").join(seen, ["qid", "sq_id"], "left").select(key.alias("qid"), F.col("text").alias("query"), "before_date", "target_k", F.coalesce("seen", F.lit(0)).alias("offset"))
         banned = selected.select("qid", "paper_id").distinct()
         scores = scorer(asked.select("qid", "query", "before_date"))
-        scores = scores.withColumn("_q", F.col("qid.qid")).join(banned.withColumnRenamed("qid", "_q"), ["_q", "paper_id"], "left_anti").drop("_q")
         pairs = now.select("qid", "sq_id").join(truth, "qid").select(key.alias("qid"), "paper_id")
-        # One job gives the pages and the ranks: both read one exchange of the scores, which are never stored.
-        pages = page_at(scores, asked).select("qid", "paper_id", "rank", "score", F.lit(None).cast("long").alias("total"))
-        places = ground_truth_ranks(scores, pairs).select("qid", "paper_id", "rank", F.lit(None).cast("double").alias("score"), "total")
+        gone = now.select("qid", "sq_id").join(banned, "qid").select(key.alias("qid"), "paper_id")
         begin = time.monotonic()
+        best, places = _best_and_ranks(scores, MAX_PAGES * MAX_RESULTS, pairs, gone)
+        pages = page_at(best, asked).select("qid", "paper_id", "rank", "score", F.lit(None).cast("long").alias("total"))
+        places = places.select("qid", "paper_id", "rank", F.lit(None).cast("double").alias("score"), "total")
         both = stored(pages.unionByName(places))
         at = ["qid.qid", F.lit(i).alias("iter"), "qid.sq_id", "paper_id", "rank"]
         kept.add("ranks", i, both.where("total IS NOT NULL").select(*at, "total"))
@@ -208,11 +217,13 @@ def simple_workflow(index: TermIndex | None, keys: DataFrame, truth: DataFrame,
     """
     key = F.struct("qid", "sq_id")
     asked = keys.withColumn("before_date", F.lit(None).cast("string")) if dates is None else keys.join(dates, "qid")
-    scores = stored((scorer or (lambda a: bm25_scores(index, a)))(asked.select(key.alias("qid"), F.col("text").alias("query"), "before_date")))
-    results = combine(page(scores, top_k).select("qid.qid", "qid.sq_id", "rank", "paper_id", "score"))
+    scores = (scorer or (lambda a: bm25_meeting(index, a)))(asked.select(key.alias("qid"), F.col("text").alias("query"), "before_date"))
+    scores = scores if isinstance(scores, Meeting) else stored(scores)
+    best, place = _best_and_ranks(scores, top_k, keys.select("qid", "sq_id").join(truth, "qid").select(key.alias("qid"), "paper_id"))
+    results = combine(page(best, top_k).select("qid.qid", "qid.sq_id", "rank", "paper_id", "score"))
     ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "sq_id", "rank")) - 1)
     ranked = stored(ranked)
-    place = ground_truth_ranks(scores, keys.select("qid", "sq_id").join(truth, "qid").select(key.alias("qid"), "paper_id")).select("qid.qid", "paper_id", "rank")
+    place = place.select("qid.qid", "paper_id", "rank")
     flat = ranked.select("qid", F.lit(1).alias("iter"), "sq_id", "paper_id")
     metrics = set_metrics(truth, flat, flat, ["qid"]).select("qid", "recall", "precision", "matches", "total_gt")
     wide = at_k(truth, ranked, ks).groupBy("qid").pivot("k", list(ks)).agg(F.first("recall").alias("recall"), F.first("precision").alias("precision"))
