@@ -101,7 +101,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) ->
                 if i != j:
                     here = here & ((F.bit_count(_value(x, o, w)) > s) if i < j else (F.bit_count(_value(x, o, w)) >= s))
             first = first | here
-        met = probes.join(index, (F.col("seg") == F.col("pseg")) & (F.col("value") == F.col("pvalue")) & (F.bit_count(x) <= F.col("bound")) & first)
+        # A few bytes of queries become many probes, which no estimate of sizes sees: they meet the index by a shuffle, never as a broadcast.
+        met = probes.hint("merge").join(index.hint("merge"), (F.col("seg") == F.col("pseg")) & (F.col("value") == F.col("pvalue")) & (F.bit_count(x) <= F.col("bound")) & first)
         found = best.unionAll(met.select("q", "code", F.bit_count(x).alias("d")))
         # k codes of least distance are enough, with all that tie with the last.
         near = found.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy("d"))).where(F.col("r") <= k).drop("r")
@@ -113,7 +114,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) ->
         over = step is steps[-1] or covered >= bits
         state = pending.join(got, "q", "left").select("q", F.least("bound", "kth").alias("bound"), (F.coalesce(F.col("kth") <= covered, F.lit(False)) | F.lit(over)).alias("over"))
         state = written(state)
-        ended = best.join(state.where("over").select("q"), "q", "left_semi")
+        ended = written(best.join(state.where("over").select("q"), "q", "left_semi"))  # so that the last plan only reads what each step found
         done = ended if done is None else done.unionAll(ended)
         pending = state.where("not over").select("q", "bound")
         best = best.join(pending.select("q"), "q", "left_semi")
