@@ -43,10 +43,22 @@ def level(of: Column) -> Column:
 def paper_postings(papers: DataFrame) -> DataFrame:
     """(term, paper_id, ord, date, arxiv_id, dl, tf) of papers (paper_id, ord, title, abstract, date, arxiv_id) with a title or an abstract and a token."""
     some = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("abstract", F.lit("")) != "")
-    words = papers.where(some).select("paper_id", "ord", F.coalesce("date", F.lit("")).alias("date"), "arxiv_id", tokens(index_text(F.col("title"), F.col("abstract"))).alias("toks"))
-    # Papers are dealt out once, by id: their counts need no further shuffle, and a search adds up a paper's terms where they lie.
-    long = words.repartition("paper_id").select("paper_id", "ord", "date", "arxiv_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return long.groupBy("term", "paper_id", "ord", "date", "arxiv_id", "dl").agg(F.count("*").alias("tf"))
+    rows = papers.where(some).select("paper_id", "ord", F.coalesce("date", F.lit("")).alias("date"), "arxiv_id", "title", "abstract")
+    if len(papers.inputFiles()) < papers.sparkSession.sparkContext.defaultParallelism:
+        rows = rows.repartition("paper_id")  # else the input is dealt out already, and nothing is moved
+    counts = _counts(tokens(index_text(F.col("title"), F.col("abstract"))))
+    return rows.select("paper_id", "ord", "date", "arxiv_id", F.inline(counts)).select("term", "paper_id", "ord", "date", "arxiv_id", "dl", "tf")
+
+
+def _counts(toks: Column) -> Column:
+    """An array of (term, dl, tf) from the tokens of one paper, of which there are some: they are sorted, and the lengths of their runs are the counts.
+
+    A paper's counts are made in its own row, so that a task holds one paper.
+    """
+    one = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  (the value is worked out once)
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, b: F.transform(b, lambda i, j: F.struct(F.get(s, i).alias("term"), F.size(s).alias("dl"), (F.coalesce(F.get(b, j + 1), F.size(s)) - i).cast("long").alias("tf")))
+    return one(F.sort_array(toks), lambda s: one(begins(s), lambda b: runs(s, b)))
 
 
 def _blocks(postings: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -72,9 +84,8 @@ def build_term_index(papers: DataFrame) -> TermIndex:
     postings = stored(paper_postings(papers))
     # Every indexed paper has the label's token once as a row, so its postings are the papers.
     sizes = stored(postings.where(F.col("term") == LABEL).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-    blocks = stored(_blocks(postings, sizes))
-    counted = blocks.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(sizes))
-    return TermIndex(postings, *_weights(counted), blocks)
+    counted = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
+    return TermIndex(postings, *_weights(counted), _blocks(postings, sizes))  # blocks are made when a search by bounds reads them
 
 
 def merged_index(postings: DataFrame, counts: DataFrame) -> TermIndex:
@@ -89,8 +100,11 @@ def save_term_index(index: TermIndex, path: str, buckets: int | None = None) ->
     buckets = buckets or max(1, -(-index.postings.count() // BUCKET_ROWS))
     dealt = index.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).hint("rebalance", "bucket")
     dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    for name in ("terms", "stats", "blocks"):
+    for name in ("terms", "stats"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    # A term lies in few of the files, so that its blocks are nearly whole before they are moved.
+    saved = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    _blocks(saved, index.stats.select("n", "avgdl")).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def load_term_index(spark: SparkSession, path: str) -> TermIndex:
