@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lodestone.functions.arxiv import mapped_id, month_start, year_month
 from lodestone.functions.rouge import lcs_of, rouge_of, word_masks, words
 from lodestone.functions.text import clean_title, letters_key
+from lodestone.operators.bounds import small
 from lodestone.plans.storage import stored
 
 PAPER = {"title": "string", "abstract": "string", "date": "string", "authors": "array<string>", "category": "array<string>", "url": "string"}
@@ -132,7 +133,8 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     asked = parts.where(F.size("w") >= 5).select("item_id", three(F.col("w"), F.lit(1)).alias("key"))
     words_of = docs.select("doc_id", F.split("text", r"\s+").alias("w")).where(F.size("w") > 2)
     keys = words_of.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: three(F.col("w"), i)))).alias("key"))
-    maybe = keys.join(asked, "key").select("doc_id", "item_id").distinct()
+    maybe = keys.join(small(stored(asked)), "key").select("doc_id", "item_id").distinct()
+    maybe = small(stored(maybe))  # few pairs come to the texts
     long = maybe.join(docs.select("doc_id", "text"), "doc_id").join(parts.select("item_id", "passage"), "item_id").where(F.contains("text", "passage"))
     short = docs.select("doc_id", "text").join(parts.where(F.size("w") < 5).select("item_id", "passage"), F.contains("text", "passage"))
     return long.select("item_id", "doc_id").unionAll(short.select("item_id", "doc_id")).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("paper_id")).distinct()
