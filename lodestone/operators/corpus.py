@@ -67,7 +67,7 @@ def enrich(papers: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _prefixes(titles: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(t, n, word, nth) of the rarest words of each title (t, w): enough that two titles with F over SIMILAR share one.
+    """(t, n, word, nth, k) of the rarest words of each title (t, w): enough that two titles with F over SIMILAR share one.
 
     F over s needs a common subsequence of over s / (2 - s) of each title's
     words, so of its n words all but so many, less one, can be left out.
@@ -77,7 +77,7 @@ def _prefixes(titles: DataFrame, frequency: DataFrame) -> DataFrame:
     rows = rows.groupBy("t", "n", "word").agg(F.count("*").cast("int").alias("times")).select("t", "n", "word", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
     common = F.floor(F.col("n") * (SIMILAR / (2 - SIMILAR)) + 1e-9) + 1
     ranked = rows.join(frequency, "word", "left").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("df", F.lit(0)), "word", "nth")))
-    return ranked.where(F.col("k") <= F.col("n") - common + 1).select("t", "n", "word", "nth")
+    return ranked.where(F.col("k") <= F.col("n") - common + 1).select("t", "n", "word", "nth", "k")
 
 
 def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -88,9 +88,11 @@ def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     x, y = (d.select("t", words(F.col("t")).alias("w")).where(F.size("w") > 0) for d in (left, right))
     frequency = y.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    a, b = _prefixes(x, frequency), _prefixes(y, frequency).withColumnsRenamed({"t": "u", "n": "m"})
+    a, b = _prefixes(x, frequency), _prefixes(y, frequency).withColumnsRenamed({"t": "u", "n": "m", "k": "l"})
     fits = 2 * F.least("n", "m") > SIMILAR * (F.col("n") + F.col("m"))
-    pairs = stored(a.join(b, ["word", "nth"]).where(fits).select("t", "u").distinct())
+    # Of the first word that two titles share, all that they can share lies behind it in both.
+    reach = 2 * (1 + F.least(F.col("n") - F.col("k"), F.col("m") - F.col("l"))) > SIMILAR * (F.col("n") + F.col("m")) - 1e-9
+    pairs = stored(a.join(b, ["word", "nth"]).where(fits & reach).select("t", "u").distinct())
     # The bits of a title are worked out once, not for each pair.
     masks = stored(x.join(pairs.select("t").distinct(), "t", "left_semi").select("t", F.size("w").alias("n"), word_masks(F.col("w")).alias("masks")))
     both = pairs.join(masks, "t").withColumn("w", words(F.col("u")))
@@ -98,14 +100,19 @@ def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     return near.where(F.col("sim") > SIMILAR)
 
 
+def references_by_id(references: DataFrame, meta: DataFrame) -> DataFrame:
+    """(ref_id, m_id, m_title, how): the references that ``reference_lookup`` finds by id; no title is compared."""
+    both = references.join(meta.select(F.col("arxiv_id").alias("m_id"), F.col("title").alias("m_title")), F.col("arxiv_id") == F.col("m_id"))
+    return both.groupBy("ref_id").agg(F.min(F.struct("m_id", "m_title")).alias("m")).select("ref_id", "m.m_id", "m.m_title", F.lit("id").alias("how"))
+
+
 def reference_lookup(references: DataFrame, meta: DataFrame) -> DataFrame:
     """Each reference (ref_id, arxiv_id, title) by id, else by its most similar title of over 0.85 (the least id of equals), else an empty record.
 
     Titles are compared cleaned and once for each text.  The empty record has
     the reference's id and cleaned title; its other fields are empty.
     """
-    by_id = references.join(meta.select(F.col("arxiv_id").alias("m_id"), F.col("title").alias("m_title")), F.col("arxiv_id") == F.col("m_id"))
-    by_id = by_id.groupBy("ref_id").agg(F.min(F.struct("m_id", "m_title")).alias("m")).select("ref_id", "m.m_id", "m.m_title", F.lit("id").alias("how"))
+    by_id = references_by_id(references, meta)
     key = F.lower(clean_title(F.col("title"))).alias("t")
     rest = references.join(by_id, "ref_id", "left_anti").select("ref_id", key)
     titles = meta.groupBy(key).agg(F.min(F.struct(F.col("arxiv_id").alias("m_id"), F.col("title").alias("m_title"))).alias("m"))
