@@ -1,7 +1,8 @@
 """Members of one large JSON object or zip archive, read by several tasks.
 
-A JSON object is read as pieces that end at a closing brace, which Spark's
-text source cuts at any byte range of the file.  Whether a piece begins inside
+A JSON object, in one file or in several that follow one another, is read as
+pieces that end at a closing brace, which Spark's text source cuts at any byte
+range of a file.  Whether a piece begins inside
 a string, and how deep, follows from what the pieces before it hold: counts of
 quotes and brackets are added up within each range, and over the ranges, so
 that no task sees more than its own.  Members end where the depth is one.
@@ -26,6 +27,9 @@ from pyspark.sql.window import Window
 
 from lodestone.plans.storage import stored
 
+#: Members that are numbered together: so many texts meet in a task at least.
+MEMBERS = 4_096
+
 
 def _before(rows: DataFrame, value: Column, name: str) -> DataFrame:
     """``rows`` (block, line, ...) with the sum of ``value`` over all rows before: within the block, and of the blocks before, a row each."""
@@ -36,39 +40,52 @@ def _before(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return marked.withColumn("_own", own).join(F.broadcast(base), "block").withColumn(name, (F.col("_own") + F.col("_base")).cast("long")).drop("_v", "_own", "_base")
 
 
+def _blocks(pieces: DataFrame) -> DataFrame:
+    """(file, start, block, cut) of each byte range: its number in the order of files, and the line of a piece that the end of its file cuts off instead of a brace."""
+    ranges = pieces.groupBy("file", "start").agg(F.sum("bytes").alias("_bytes"), F.max("line").alias("_line"))
+    file = Window.partitionBy("file")
+    # Each piece counts its brace, so a file whose last piece has none comes out a byte too long.
+    cut = (F.sum("_bytes").over(file) > F.col("file.size")) & (F.col("start") == F.max("start").over(file))
+    return ranges.select("file", "start", (F.row_number().over(Window.orderBy("file", "start")) - 1).cast("long").alias("block"), F.when(cut, F.col("_line")).alias("cut"))
+
+
 def _count(text: Column, character: str) -> Column:
     return F.length(text) - F.length(F.translate(text, character, ""))
 
 
 def json_members(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """(key, ord, value) of the members of the JSON object in the file ``path``; ``ord`` is the place in the object.
+    """(key, ord, value) of the members of the JSON object at ``path``; ``ord`` is the place in the object.
 
-    Values are read by ``value_schema``; a value of another kind is null.
-    Keys are taken to differ.  White space around the object goes; an empty
-    object has no rows.
+    ``path`` is a file, or a folder of files (not compressed) that are the
+    object one after another, in order of their names, shorter names first;
+    each ends outside strings, behind a member's comma, say.  Values are read
+    by ``value_schema``; a value of another kind is null.  Keys are taken to
+    differ.  White space around the object goes; an empty object has no rows.
     """
     pieces = spark.read.option("lineSep", "}").text(path)
     # A block is a byte range; a task may read several, each in order.
-    pieces = pieces.select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    file = F.struct(F.length("_metadata.file_path").alias("length"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    pieces = pieces.select(file.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), "value")
     bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes, a quote always opens or closes a string
     parts = F.split(bare, '"')
     depth = lambda text: _count(text, "{[") - _count(text, "}]")
     outside = lambda odd: F.array_join(F.filter(parts, lambda x, i: i % 2 == odd), "")
-    marked = pieces.withColumns({"quotes": F.size(parts) - 1, "out0": depth(outside(0)), "out1": depth(outside(1))})
-    marked = _before(stored(marked), F.col("quotes"), "seen")
+    marked = stored(pieces.withColumns({"bytes": F.octet_length("value") + 1, "quotes": F.size(parts) - 1, "out0": depth(outside(0)), "out1": depth(outside(1))}))
+    marked = marked.join(F.broadcast(_blocks(marked)), ["file", "start"]).withColumn("braced", F.coalesce(F.col("line") != F.col("cut"), F.lit(True))).drop("file", "start", "bytes", "cut")
+    marked = _before(marked, F.col("quotes"), "seen")
     inside, ends_inside = F.col("seen") % 2 == 1, (F.col("seen") + F.col("quotes")) % 2 == 1
-    change = F.when(inside, F.col("out1")).otherwise(F.col("out0")) - F.when(ends_inside, 0).otherwise(1)
+    change = F.when(inside, F.col("out1")).otherwise(F.col("out0")) - F.when(ends_inside | ~F.col("braced"), 0).otherwise(1)
     deep = _before(marked.withColumns({"change": change, "ends_inside": ends_inside}), F.col("change"), "depth")
     after = F.col("depth") + F.col("change")
-    closed = (after == 1) & ~F.col("ends_inside")
+    closed = (after == 1) & ~F.col("ends_inside") & F.col("braced")
     grouped = _before(deep.withColumns({"after": after, "closed": closed}), F.col("closed").cast("int"), "member")
-    # Behind the object's own end there is white space only.
-    rows = grouped.where((F.col("depth") > 0) | ((F.col("block") == 0) & (F.trim(F.col("value")).startswith("{"))))
-    whole = rows.groupBy("member").agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("p"), F.bool_or("closed").alias("closed"))
-    text = F.array_join(F.transform("p", lambda x: x["value"]), "}")
-    body = F.regexp_replace(F.concat(text, F.when(F.col("closed"), "}").otherwise("")), r"^\s*[,{]", "")
+    # Before the object and behind its own end, whose brace goes, there is white space only.
+    rows = grouped.where((F.col("depth") > 0) | ((F.col("depth") == 0) & F.col("value").rlike(r"^\s*\{")))
+    piece = F.when(F.col("braced") & (F.col("after") > 0), F.concat("value", F.lit("}"))).otherwise(F.col("value"))
+    whole = rows.groupBy("member").agg(F.array_sort(F.collect_list(F.struct("block", "line", piece.alias("piece")))).alias("p"))
+    body = F.regexp_replace(F.array_join(F.transform("p", lambda x: x["piece"]), ""), r"^\s*[,{]", "")
     entries = F.map_entries(F.from_json(F.concat(F.lit("{"), body, F.lit("}")), f"MAP<STRING,STRUCT<{value_schema}>>"))
-    members = stored(whole.select((F.col("member") / 100_000).cast("long").alias("block"), F.col("member").alias("line"), entries.alias("entries")).where(F.size("entries") > 0))
+    members = stored(whole.select(F.expr(f"member div {MEMBERS}").alias("block"), F.col("member").alias("line"), entries.alias("entries")).where(F.size("entries") > 0))
     numbered = _before(members, F.size("entries"), "first")
     return numbered.select("first", F.posexplode("entries").alias("at", "e")).select(F.col("e.key").alias("key"), (F.col("first") + F.col("at")).cast("long").alias("ord"), F.col("e.value").alias("value"))
 

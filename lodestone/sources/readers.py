@@ -25,7 +25,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def paper_db(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
-    """A JSON object of papers by id; ``ord`` is the place in the object.  Byte ranges of the file are read by several tasks.
+    """A JSON object of papers by id, in a file or in part files in order; ``ord`` is the place in the object.  Byte ranges are read by several tasks.
 
     A missing file is an error, or no papers where none is ``required``.
     """

@@ -3,10 +3,12 @@
 import json
 import random
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import more_queries
 from lodestone.sources import members, readers, writers
 
 HOSTILE = ['a "quoted" }{ [text]', "back\\slash\\", '\\"', "}", "{", "", 'x"}, "y": {', "line\nbreak\t", "ü中😀 }", "\\\\\"}", "[{]}"]
@@ -32,6 +34,49 @@ def test_json_object_in_byte_ranges(spark, tmp_path, n, indent, size):
     assert n < 300 or tasks > 1
 
 
+@pytest.mark.parametrize(("indent", "size"), [(None, 997), (2, 4001), (1, 1 << 20)])
+def test_json_object_in_several_files(spark, tmp_path, monkeypatch, indent, size):
+    """An object cut behind members, before commas, in a member and at its very braces reads as one object; a shorter name comes first, and numbers go on over groups of members."""
+    monkeypatch.setattr(members, "MEMBERS", 7)
+    rng = random.Random(size)
+    papers = {f"k{i}{rng.choice(HOSTILE)}": {"arxiv_id": str(i), "title": rng.choice(HOSTILE), "abstract": "".join(rng.choices(HOSTILE, k=3)), "authors": rng.choices(HOSTILE, k=2), "extra": [{"a": [1, {"b": "}"}]}, {}]} for i in range(120)} | {"null": None, "last": None}
+    line = [f"{json.dumps(k)}: {json.dumps(v, indent=indent, ensure_ascii=False)}" for k, v in papers.items()]
+    comma = [",\n" if i < 20 or i > 80 else "" if i % 2 else "\n," for i in range(len(line) - 1)]
+    texts = ["\n ", "{", *(f"{x}{c if i < 20 or i > 80 else ''}" for i, (x, c) in enumerate(zip(line, comma, strict=False))), line[-1], "}\n", "\n"]
+    for i in range(20, 81):
+        texts[i + 3] = (comma[i] or ",") + texts[i + 3]  # the comma begins the next file
+    at = texts[50].rindex("}", 0, -2) + 1
+    texts[50:51] = [texts[50][:at], texts[50][at:]]  # ends with a nested value's brace
+    assert json.loads("".join(texts)) == papers
+    (tmp_path / "db").mkdir()
+    for i, text in enumerate(texts):
+        (tmp_path / "db" / f"part-{i + 40}.json").write_text(text)  # part-99 before part-100
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = readers.paper_db(spark, f"{tmp_path}/db").orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert [(r.paper_id, r.ord) for r in got] == [(k, i) for i, k in enumerate(papers)]
+    assert [(r.title, r.abstract, r.authors) for r in got] == [((v or {}).get("title"), (v or {}).get("abstract"), (v or {}).get("authors")) for v in papers.values()]
+
+
+def test_the_paper_file_is_written_by_several_tasks(spark, monkeypatch):
+    """No task writes all papers, and the parts are one object in order of ids."""
+    monkeypatch.setattr(more_queries, "place", lambda spark, name, f=more_queries.place: made.append(f(spark, name)) or made[-1])
+    made: list[str] = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.paper_id: r.ord for r in more_queries.file_paper_db(spark, "/root/testdata/sf0.001").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(Path(made[0].removeprefix("file:")).glob("part-*"))
+    sizes = [p.stat().st_size for p in parts]
+    assert len(parts) == 4 and max(sizes) < sum(sizes) / 2
+    written = json.loads("".join(p.read_text() for p in parts))
+    assert got == {k: i for i, k in enumerate(written)} and list(written) == sorted(written, key=int)
+
+
 def archive(path, names, kind=zipfile.ZIP_DEFLATED, comment=b""):
     with zipfile.ZipFile(path, "w", kind) as z:
         for name in names:
