@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import zipfile
 
 import pytest
@@ -108,3 +109,31 @@ def test_upsert_in_batches(spark, tmp_path):
     assert len(got) == 101 and got[5] == "new" and got[500] == "more" and got[6] == "v6"
 
 
+
+
+def test_batches_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    """A batch meets others under way; when one fails in its task, those are completed and marked, and the next call writes the others only."""
+    monkeypatch.setattr(batches, "AT_ONCE", 2, raising=False)
+    rows = spark.createDataFrame([(k, f"v{k}") for k in range(200)], "k long, v string")
+    path, started = str(tmp_path / "table"), tmp_path / "started"
+    started.mkdir()
+
+    def meeting(parts):
+        for part in parts:
+            (started / str(part.k.min())).touch()
+            until = time.time() + 15
+            while len(list(started.iterdir())) < 2:
+                if time.time() > until:
+                    raise RuntimeError("alone")
+                time.sleep(0.05)
+            if (part.k == 7).any() and not (tmp_path / "mended").exists():
+                raise RuntimeError("broken off")
+            yield part.assign(v=part.v.str.upper())
+
+    with pytest.raises(Exception, match="broken off"):
+        batches.upsert(rows, path, "k", 1, lambda b: b.coalesce(1).mapInPandas(meeting, b.schema), 20)
+    marks = len(list((tmp_path / "table" / "done").glob("[0-9]*")))
+    assert 0 < marks < 10 and 0 < batches.current(spark, path, "k").where("k <> 7").count() == batches.current(spark, path, "k").count() < 200
+    (tmp_path / "mended").touch()
+    assert batches.upsert(rows.limit(0), path, "k", 1, lambda b: b.coalesce(1).mapInPandas(meeting, b.schema), 20) == 10 - marks
+    assert {(r.k, r.v) for r in batches.current(spark, path, "k").collect()} == {(k, f"V{k}") for k in range(200)}
