@@ -88,7 +88,7 @@ def upsert(rows: DataFrame, path: str, key: str, run: int, prepare: Callable[[Da
         mark, store = _files(spark, f"{path}/done/{run}-{n}")
         store.create(mark, True).close()
 
-    inherited, under_way = inheritable_thread_target(spark)(write), set[Future]()
+    under_way: set[Future] = set()
     with ThreadPoolExecutor(AT_ONCE) as pool:  # waits for those under way, also after an error
         for n in left:
             if len(under_way) == AT_ONCE:
@@ -96,7 +96,7 @@ def upsert(rows: DataFrame, path: str, key: str, run: int, prepare: Callable[[Da
                 for batch in ended:
                     batch.result()
             prepared = prepare(spark.read.schema(schema).parquet(f"{staged}/batch={n}"))
-            under_way.add(pool.submit(inherited, prepared, n))
+            under_way.add(pool.submit(inheritable_thread_target(spark)(write), prepared, n))  # each with local properties of its own
     for batch in under_way:
         batch.result()
     return len(left)
