@@ -137,3 +137,11 @@ def test_batches_are_written_side_by_side(spark, tmp_path, monkeypatch):
     (tmp_path / "mended").touch()
     assert batches.upsert(rows.limit(0), path, "k", 1, lambda b: b.coalesce(1).mapInPandas(meeting, b.schema), 20) == 10 - marks
     assert {(r.k, r.v) for r in batches.current(spark, path, "k").collect()} == {(k, f"V{k}") for k in range(200)}
+
+
+def test_batches_share_no_local_properties(spark, tmp_path, monkeypatch):
+    """Spark changes the properties of a thread in each write, so every write under way has a copy of its own."""
+    made, copied = [], batches.inheritable_thread_target
+    monkeypatch.setattr(batches, "inheritable_thread_target", lambda f: made.append(1) or copied(f))
+    rows = spark.createDataFrame([(k, "v") for k in range(60)], "k long, v string")
+    assert batches.upsert(rows, str(tmp_path / "table"), "k", 1, batch_rows=20) == len(made) == 3
